@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import jaccard, token_counts, token_shards
+
+#: The vocabulary that the queries use; operators take a path.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.training_shards(documents(spark, sf_dir), VOCABULARY)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), VOCABULARY)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_training_order, op3_token_counts, op10_jaccard_join)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
