@@ -87,6 +87,7 @@ def training_shards(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, per
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     whole = made.join(first, "row").withColumn("number", F.col("before") + F.col("seq_no"))
+    slot = permuted(F.col("number"), max(n, 1), key)
     placed = whole.select(slot.alias("slot"), "doc_id", "seq_no", "n_tokens", "tokens")
     shards = max(1, -(-n // per_shard))
     parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
