@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard, licenses, pii, secrets, token_counts, token_shards
+from . import decontaminate, imatch, jaccard, langid, licenses, packing, pii, secrets, token_counts, token_shards
 
 #: The vocabulary that the queries use; operators take a path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,14 +27,26 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), VOCABULARY)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
 
@@ -43,7 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_training_order, op3_token_counts, op5_imatch, op7_pseudonyms, op9_licenses, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_training_order, op3_token_counts, op4_decontaminate, op5_imatch, op6_language_id, op7_pseudonyms, op8_packing, op9_licenses, op10_jaccard_join)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
