@@ -1 +1,6 @@
-"""See the package README."""
+"""Whole queries, composed of the library's operators."""
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import episode_queries  # noqa: F401
