@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The normal quantile of the intervals and of the power computation.
 Z, Z_POWER = 1.959964, 0.841621
@@ -30,12 +31,12 @@ def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when((n1 <= 0) | (n2 <= 0), 0.0).otherwise(F.when(spread == 0, 0.0).otherwise((k1 / n1 - k2 / n2) / spread))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-@F.pandas_udf("struct<two_sided double, one_sided double>")
+@F.pandas_udf(T.StructType([T.StructField("two_sided", T.DoubleType()), T.StructField("one_sided", T.DoubleType())]))
 def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.DataFrame:
     """Exact tests of b against c discordant pairs at any size; one-sided is P[X >= c]."""
 
@@ -56,14 +57,14 @@ def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tests(int(x), int(y)) for x, y in zip(b, c, strict=True)], columns=["two_sided", "one_sided"])
 
 
-def mcnemar_normal(b: Column, c: Column) -> Column:
-    """The continuity-corrected z of the normal form, used past 25 discordant pairs."""
-    return F.when(b + c > 0, F.greatest(F.abs(b - c) - 1, F.lit(0)) / F.sqrt((b + c).cast("double"))).otherwise(F.lit(0.0))
+def mcnemar_z(b: Column, c: Column) -> Column:
+    """The z of discordant pairs, positive where the second arm wins; 0 without any."""
+    return F.when(b + c > 0, (c - b) / F.sqrt((b + c).cast("double"))).otherwise(F.lit(0.0))
 
 
-def detectable(p: Column, n: Column) -> Column:
-    """The least difference of two rates that n pairs of arms can show."""
-    return F.when(n > 0, (Z + Z_POWER) * F.sqrt(2 * p * (1 - p) / n)).otherwise(F.lit(1.0))
+def detectable(n1: Column, n2: Column, rate: Column) -> Column:
+    """The least difference of two unpaired rates that can be shown, at 5 % and 80 % power."""
+    return F.when((n1 <= 0) | (n2 <= 0), 1.0).otherwise((Z + Z_POWER) * F.sqrt(2 * rate * (1 - rate) * (1 / n1 + 1 / n2) / 2))
 
 
 def holm(df: DataFrame, p: str, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:

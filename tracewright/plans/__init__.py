@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import episode_queries  # noqa: F401
+    from . import episode_queries, ledger_queries  # noqa: F401

@@ -36,10 +36,10 @@ def last_record_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.last_wins(e, "idx", "ts", "event_id").select("event_id", "idx", "dropped")
 
 
-@query(f"WITH {EPISODES} SELECT task, count(*) AS n, round(avg(reward), 2) AS mean_reward, round(coalesce(stddev_samp(reward), 0), 2) AS sd_reward, max(reward) <> min(reward) AS varies, bool_or(ok) AND NOT bool_and(ok) AS disagree, sum(ok::INT)::BIGINT AS successes FROM ep GROUP BY task")
+@query(f"WITH {EPISODES} SELECT task, count(*) AS n, round(sum(reward), 2) AS total_reward, round(coalesce(stddev_samp(reward), 0), 2) AS sd_reward, max(reward) <> min(reward) AS varies, bool_or(ok) AND NOT bool_and(ok) AS disagree, sum(ok::INT)::BIGINT AS successes FROM ep GROUP BY task")
 def group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ep.group_stats(episodes(spark, sf_dir), "task", "reward", "ok")
-    return g.select("task", "n", F.round("mean_reward", 2).alias("mean_reward"), F.round("sd_reward", 2).alias("sd_reward"), "varies", "disagree", "successes")
+    return g.select("task", "n", F.round(F.col("mean_reward") * F.col("n"), 2).alias("total_reward"), F.round("sd_reward", 2).alias("sd_reward"), "varies", "disagree", "successes")
 
 
 @query(f"""WITH {EPISODES}, g AS (SELECT task, family, count(*) AS n, max(reward) <> min(reward) AS varies, bool_or(ok) AND NOT bool_and(ok) AS disagree, sum(ok::INT) AS successes, task % 3 AS horizon FROM ep GROUP BY task, family)
