@@ -18,6 +18,7 @@ FORMS = {
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
     "date": r"(?<![\w/.-])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\w/-])",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
+    "abroad": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]\(?\d{2,4}\)?){2,4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
@@ -94,6 +95,19 @@ def _phone(m: Column, key: str) -> Column:
     return let(_digits(m), lambda d: refill(m, changed(d)))
 
 
+def _abroad(m: Column, key: str) -> Column:
+    """The country code stays, the other digits are permuted among all of their number; 8 to 15 digits in all are valid."""
+    lead = F.regexp_extract(m, r"^\+\d+", 0)
+
+    def changed(x: Column) -> Column:
+        n = F.char_length(x["d"])
+        low = F.call_function("div", n, F.lit(2)).cast("int")
+        return F.concat(x["lead"], refill(x["rest"], F.lpad(feistel(_number(x["d"]), _ten(n - low), _ten(low), key, "abroad").cast("string"), n, "0")))
+
+    rest = F.substr(m, F.char_length(lead) + 1)
+    return F.when(F.char_length(_digits(m)).between(8, 15), let(F.struct(lead.alias("lead"), rest.alias("rest"), _digits(rest).alias("d")), changed)).otherwise(m)
+
+
 def _ssn(m: Column, key: str) -> Column:
     """Area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
     area, group, serial = (_number(F.substring(m, *x)) for x in ((1, 3), (5, 2), (8, 4)))
@@ -149,7 +163,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid"))
 
 
-_CHANGES = {"email": _email, "ip": _ip, "ssn": _ssn, "iso_date": _iso, "date": _numeric_date, "phone": _phone, "card": _card}
+_CHANGES = {"email": _email, "ip": _ip, "ssn": _ssn, "iso_date": _iso, "date": _numeric_date, "phone": _phone, "abroad": _abroad, "card": _card}
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
