@@ -45,12 +45,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranged = docs.withColumn("range", range_bucket(docs, "doc_id", buckets_for(docs)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    used = sorted(r["range"] for r in ranged.select("range").distinct().collect())
-    used = used or [0]
+    # one row a range comes to the driver: its least id, null where it has rows without one
+    first = {r["range"]: None if r["nulls"] else r["least"] for r in ranged.groupBy("range").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).collect()}
+    used = sorted(first) or [0]
     # the first row of a range goes to the range before it as well, the very first to the last range
-    least = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("least"))
+    ids = F.array(*(F.lit(first.get(i)).cast("long") for i in range(used[-1] + 1)))
+    least = ranged.where(F.col("doc_id").eqNullSafe(F.element_at(ids, F.col("range") + 1))).groupBy("range", "doc_id").agg(F.min("text").alias("text"))
     before = F.create_map(*(F.lit(x) for pair in zip(used, [used[-1], *used[:-1]], strict=True) for x in pair))
-    guests = least.select(F.element_at(before, F.col("range")).alias("range"), "least.doc_id", "least.text", F.lit(True).alias("guest"))
+    guests = least.select(F.element_at(before, F.col("range")).alias("range"), "doc_id", "text", F.lit(True).alias("guest"))
     rows = ranged.select("range", "doc_id", "text", F.lit(False).alias("guest")).union(guests)
     follow = Window.partitionBy("range").orderBy("guest", *order)
     return rows.select("range", F.row_number().over(follow).alias("pos"), "guest", "doc_id", "text", F.lead("text").over(follow).alias("next"))
