@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, numbers
-from ..operators import replay, sampling, views
+from ..operators import audits, episodes, leakage, replay, sampling, tasks, views
 from ..registry import query
 from ..streaming import journals
-from .proxies import calls, table
+from .proxies import SPLITS, calls, splits, table
 
 
 def r6(c, name: str):
@@ -126,3 +126,34 @@ def fault_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"), ((F.col("c_custkey") * 7) % 10).alias("hidden"))
     i = F.row_number().over(Window.orderBy("hidden", sampling.keyed("fault-plan", F.col("task").cast("string")))) - 1
     return n.select("task", F.element_at(F.array(*map(F.lit, ("transient", "rate_limit", "malformed", "wrong_unit"))), (i % 4 + 1).cast("int")).alias("fault"))
+
+
+@query(f"WITH {SPLITS}, h AS (SELECT DISTINCT kind, value, split FROM keys), v AS (SELECT a.kind, a.split AS sa, b.split AS sb FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value AND a.split < b.split GROUP BY ALL) SELECT 'S10' AS veto, CASE WHEN (SELECT count(*) FROM keys) = 0 THEN 'INCONCLUSIVE' WHEN (SELECT count(*) FROM v) > 0 THEN 'BUG' ELSE 'OK' END AS status, (SELECT count(*) FROM keys) AS n_checked, (SELECT count(*) FROM v) AS n_bad")
+def leakage_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The veto of split leakage: BUG when two splits share a key."""
+    keys = splits(spark, sf_dir)
+    return audits.veto(leakage.crossings(keys, "kind", "value", "split"), keys, "S10")
+
+
+@query("SELECT 'S15' AS veto, CASE WHEN count(*) = 0 THEN 'INCONCLUSIVE' WHEN count(*) FILTER (l.doc_id IS NULL) > 0 THEN 'BUG' ELSE 'OK' END AS status, count(*) AS n_checked, count(*) FILTER (l.doc_id IS NULL) AS n_bad FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
+def attrition_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The veto of attrition: BUG when an assigned task has no trace."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return audits.veto(episodes.unassigned(docs, table(spark, sf_dir, "labels"), "doc_id"), docs, "S15")
+
+
+@query()
+def generated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of lookups for each customer, followed from its first key to its answer."""
+    labels = table(spark, sf_dir, "customer").select(F.col("c_name").alias("task_id"), (F.col("c_custkey") % 13 + 2).alias("horizon"))
+    return tasks.walked(tasks.lookup_chains(labels, b"stand-in"))
+
+
+@query()
+def causal_dataflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls on the dataflow into each order's last line: a line feeds a later one that shares its part's residue or supplier."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_linenumber").alias("call_id"), F.array((F.col("l_partkey") % 5).cast("string")).alias("gives"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("takes"))
+    li = li.dropDuplicates(["episode", "call_id"])
+    edges = audits.feeds(li, "episode", "call_id", "gives", "takes")
+    last = li.groupBy("episode").agg(F.max("call_id").alias("call_id"))
+    return audits.contributing(edges, last).groupBy("episode").agg(F.count("*").alias("contributing"))
