@@ -64,6 +64,20 @@ def test_answers(spark):
     assert tuple(got) == ("b d", "y", "y", "")
 
 
+def test_tool_calls(spark):
+    cases = {
+        'x <tool_call><function=kb_lookup>\n<parameter=key>\nK1 "a"\n</parameter>\n</function></tool_call>': [("kb_lookup", '{"key":"K1 \\"a\\""}')],
+        "<function=a><parameter=p>1</parameter><parameter=q>2": [("a", '{"p":"1","q":"2"}')],
+        '<tool_call>{"name": "calc", "arguments": {"e":"1+1"}}</tool_call>': [("calc", '{"e":"1+1"}')],
+        '<tool_call>{"name": "calc", "arguments": "{\\"e\\":1}"}': [("calc", '{"e":1}')],
+        "<tool_call>{broken</tool_call>": [],
+        "none": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: [tuple(c) for c in r["c"]] for r in df.select("t", answers.tool_calls(F.col("t")).alias("c")).collect()}
+    assert got == cases
+
+
 def test_receipts_and_canonical_json(spark):
     got = one(spark, canon.receipt(b"\xaa" * 32, F.lit("t1"), F.lit(1), F.lit('{"ok":true}')), sampling.keyed("view-cap-v1", F.lit("lookup_chain-h4"), F.lit("distill-lookup_chain-h4-0007")))
     assert tuple(got) == ("r-60ea31536c481b17e7a6b2195da52a76", "3d713b29d609ee09b8a99c886a408f9b89b7b2bf9d7683d9f793e373ea40bf9c")

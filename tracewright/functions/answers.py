@@ -56,6 +56,33 @@ def tool_names(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(text, F.lit(r"<function=([\w.-]+)>"), F.lit(1)), F.regexp_extract_all(text, F.lit(r'"name"\s*:\s*"([\w.-]+)"'), F.lit(1)))
 
 
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    whole = F.to_json(F.array(text))
+    return F.substr(whole, F.lit(2), F.char_length(whole) - 2)
+
+
+def tool_calls(text: Column) -> Column:
+    """array<struct<name, arguments>> of the calls in a completion; arguments are a JSON object as text.
+
+    The XML form comes first; where there is none, JSON objects between call marks are read. A call that the text's end cuts
+    off counts with what is there, and arguments that are JSON in a JSON string are taken out of it.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<function=[\w.-]+>.*?(?:</function>|(?=<function=)|(?=</tool_call>)|\z)"), F.lit(0))
+
+    def parameter(p: Column) -> Column:
+        value = F.trim(F.regexp_replace(F.regexp_replace(p, r"^<parameter=[\w.-]+>", ""), r"</parameter>$", ""))
+        return F.concat(_quoted(F.regexp_extract(p, r"^<parameter=([\w.-]+)>", 1)), F.lit(":"), _quoted(F.regexp_replace(value, r"^\n+|\n+$", "")))
+
+    def call(b: Column) -> Column:
+        parameters = F.regexp_extract_all(b, F.lit(r"(?s)<parameter=[\w.-]+>.*?(?:</parameter>|(?=<parameter=)|(?=</function>)|\z)"), F.lit(0))
+        return F.struct(F.regexp_extract(b, r"^<function=([\w.-]+)>", 1).alias("name"), F.concat(F.lit("{"), F.array_join(F.transform(parameters, parameter), ","), F.lit("}")).alias("arguments"))
+
+    objects = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*(?:</tool_call>|\z)"), F.lit(1))
+    named = F.transform(objects, lambda j: F.struct(F.get_json_object(j, "$.name").alias("name"), F.coalesce(F.get_json_object(j, "$.arguments"), F.lit("{}")).alias("arguments")))
+    return F.when(F.size(blocks) > 0, F.transform(blocks, call)).otherwise(F.filter(named, lambda c: c["name"].isNotNull()))
+
+
 def termination(call_cap: Column, token_budget: Column, decision_budget: Column) -> Column:
     """Why an episode ended, by precedence."""
     return F.when(call_cap, "call_cap").when(token_budget, "token_budget").when(decision_budget, "decision_budget").otherwise("answered")
