@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +23,33 @@ TEMPLATES = (
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
-#: Words of a file that are looked up: the rarest of the licence vocabulary, at most.
-RARE = 24
+#: Words of a file that are looked up: the rarest over all documents of the licence vocabulary, at most.
+RARE = 12
 #: Words that have to agree in their relative position.
 AGREE = 3
+#: A template's votes are numbered from its own multiple of SPAN, with HALF for place 0.
+SPAN, HALF = 1 << 33, 1 << 32
 
 
 def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower case. Letters past ASCII are lowered too, which moves no word's end and makes no base phrase."""
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def _phrase(phrase: str) -> str:
     return "(?<![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])" + f"{GAP}+".join(phrase.split()) + "(?![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
 
 
-def rarity(templates=TEMPLATES) -> dict[str, float]:
-    """Inverse document frequency of each word over the templates."""
-    sets = [set(text.split()) for _, text, _ in templates]
-    return {w: math.log((1 + len(sets)) / (1 + sum(w in s for s in sets))) for s in sets for w in s}
+def rarity(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> list[str]:
+    """The words of the templates, the rarest first: by the number of documents that have them, over all documents.
+
+    One row a word of the templates comes to the driver.
+    """
+    words = sorted({w for _, text, _ in templates for w in text.split()})
+    known = F.array(*map(F.lit, words))
+    own = docs.select(F.explode(F.array_intersect(F.split(_lower(F.col(text_col).cast("string")), GAP + "+"), known)).alias("word"))
+    seen = {r["word"]: r["n"] for r in own.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return sorted(words, key=lambda w: (seen.get(w, 0), w))
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -53,6 +60,13 @@ def places(words: Column, phrase: str) -> Column:
     return F.filter(starts, lambda i: F.coalesce(_all([F.try_element_at(words, i + k + 2) == w for k, w in enumerate(rest)]), F.lit(False)))
 
 
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
 def _all(tests: list[Column]) -> Column:
     out = F.lit(True)
     for t in tests:
@@ -64,21 +78,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     """(doc_id, n_words, base, hits): base phrase places and template hits of every whole text.
 
     base: array<struct<start, label>>, by start. hits: array<struct<label, at, agree, share>>: the template would begin at
-    word ``at``, ``agree`` of the looked-up words stand where it has them, ``share`` of its own rare words. A text's
+    word ``at``, ``agree`` of the looked-up words stand where it has them, ``share`` of as many as are looked up. A text's
     looked-up words are the RARE rarest of the licence vocabulary that it has, all their places counted. A hit needs AGREE
     words at one relative position and its key phrase at its place. Null is taken as empty; an empty text has no words.
     Repeated rows are repeated; other columns aren't read.
     """
-    idf = rarity(templates)
-    vocabulary = sorted(idf, key=lambda w: (-idf[w], w))
+    vocabulary = rarity(docs, templates, text_col)
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, (_, text, _) in enumerate(templates):
         for i, w in enumerate(text.split()):
             postings.setdefault(w, []).append((t, i))
     texts = docs.select(F.col(id_col).alias("doc_id"), _lower(F.col(text_col).cast("string")).alias("text"))
-    texts = texts.withColumn("has_base", F.col("text").rlike("|".join(_phrase(p) for p, _ in PHRASES)))
-    # a template's key phrase can't be there without its first two words
-    texts = texts.withColumn("has_key", F.col("text").rlike("|".join(_phrase(" ".join(k.split()[:2])) for _, _, k in templates)))
+    # a phrase's rarest word is looked for first, as that is cheap
+    has = lambda phrases: _any([F.contains("text", F.lit(min(p.split(), key=vocabulary.index) if set(p.split()) <= set(vocabulary) else max(p.split(), key=len))) & F.col("text").rlike(_phrase(p)) for p in phrases])
+    texts = texts.withColumn("has_base", has([p for p, _ in PHRASES])).withColumn("has_key", has([k for _, _, k in templates]))
     texts = texts.withColumn("words", F.when(F.col("has_base") | F.col("has_key"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
     count = F.coalesce(F.size("words"), F.lit(-1))
     texts = texts.withColumn("n_words", F.when(count >= 0, count).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long"))
@@ -89,23 +102,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
 
     no_hits = F.array().cast("array<struct<label:string,at:int,agree:int,share:double>>")
     order = F.create_map(*(x for i, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(i))))
-    index = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in postings[w])))))
+    index = F.array(*(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("i")) for t, i in postings[w])) for w in vocabulary))
 
     def hits(words: Column) -> Column:
         ranks = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(order, w)), lambda r: r.isNotNull()))), 1, RARE)
 
         def posted(looked_up: Column) -> Column:
-            own = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(looked_up, F.coalesce(F.try_element_at(order, x["w"]), F.lit(-1))))
-            return F.flatten(F.transform(own, lambda x: F.transform(F.try_element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).cast("int").alias("at"), x["w"].alias("w")))))
+            """A number for each (template, place) that a looked-up word's place votes for, sorted."""
+            own = F.filter(F.transform(words, lambda w, i: F.struct(F.try_element_at(order, w).alias("r"), i.alias("i"))), lambda x: F.array_contains(looked_up, x["r"]))
+            return F.array_sort(F.flatten(F.transform(own, lambda x: F.transform(F.element_at(index, x["r"] + 1), lambda p: p["t"] * SPAN + HALF + x["i"] - p["i"]))))
 
-        def agreed(all_posted: Column) -> Column:
-            spots = F.array_distinct(F.transform(all_posted, lambda p: F.struct(p["t"].alias("t"), p["at"].alias("at"))))
-            counted = F.transform(spots, lambda s: F.struct(s["t"].alias("t"), s["at"].alias("at"), F.size(F.filter(all_posted, lambda p: (p["t"] == s["t"]) & (p["at"] == s["at"]))).alias("agree")))
-            return F.filter(counted, lambda s: s["agree"] >= AGREE)
+        def agreed(votes: Column) -> Column:
+            """Places with AGREE votes or more: in the sorted votes, equal to the one AGREE - 1 further on."""
+            spots = F.array_distinct(F.filter(F.transform(votes, lambda v, i: F.when(F.try_element_at(votes, i + AGREE) == v, v)), lambda v: v.isNotNull()))
+            return F.transform(spots, lambda v: F.struct(F.call_function("div", v, F.lit(SPAN)).cast("int").alias("t"), (v % SPAN - HALF).cast("int").alias("at"), F.size(F.filter(votes, lambda u: u == v)).alias("agree")))
 
         candidates = let(let(ranks, posted), agreed)
         labels = F.array(*(F.lit(label) for label, _, _ in templates))
-        sizes = F.array(*(F.lit(len(text.split())) for _, text, _ in templates))
+        sizes = F.array(*(F.lit(min(RARE, len(text.split()))) for _, text, _ in templates))
         keys = F.array(*(F.lit(key) for _, _, key in templates))
         offsets = F.array(*(F.lit(_offset(text, key)) for _, text, key in templates))
         lengths = F.array(*(F.lit(len(key.split())) for _, _, key in templates))
