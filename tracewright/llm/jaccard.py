@@ -7,7 +7,8 @@ column in sorted blocks: a column of up to ``SMALL`` rows adds one to the overla
 overlap stays below the bound that follows from both sizes are discarded. In a larger column each row is paired with a hub
 only, the row of like size whose leading columns are the most common: in a group of near copies that is the one with the
 least of its own, so all others are near it. When the links found so far are known, rows that are outside the hub's
-component are paired with those rows of the column outside their own with which they can still reach the bound. So work on
+component are paired with those rows of the column outside their own with which they can still reach the bound. A column that
+is dealt over blocks is a larger one, however few rows each block has, so that its rows meet across blocks. So work on
 a group of many near copies is linear, and no link that joins two components is lost. Remaining pairs are decided by the
 exact overlap of their whole sets.
 """
@@ -28,7 +29,7 @@ from .store import settle
 
 #: Rows up to which all pairs of a column are counted.
 SMALL = 16
-#: Rows of a column that stay together; hotter columns are dealt over several blocks.
+#: Rows of a column that stay together; columns that are hotter in the corpus are dealt over several blocks, numbered from 1.
 BLOCK = 20_000
 #: Slots of the sketch: at least, at most. One row of counters, 4 bytes a slot when summed.
 SLOTS = (1 << 20, 1 << 26)
@@ -123,7 +124,7 @@ def _leading(k: int, p: int, q: int, sketch, slots: int):
                     blocks = 1 + load[lead] // most
                     own = np.array([int(math.log(n) / math.log(q / p)) if p < q else n, -int(256 * np.log2(np.maximum(load[lead], 1)).mean()), n], np.int32)
                     band, rank, size = (np.full(len(lead), x, np.int32) for x in own)
-                    out.append((s[lead].view(np.int64), (np.uint64(name % 2**64) % blocks.astype(np.uint64)).astype(np.int32), band, rank, size, np.full(len(lead), name, np.int64), np.arange(len(lead), dtype=np.int32)))
+                    out.append((s[lead].view(np.int64), np.where(blocks > 1, 1 + (np.uint64(name % 2**64) % blocks.astype(np.uint64)).astype(np.int32), 0).astype(np.int32), band, rank, size, np.full(len(lead), name, np.int64), np.arange(len(lead), dtype=np.int32)))
                 if sum(len(x[0]) for x in out) > 200_000:
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
                     out = []
@@ -183,7 +184,7 @@ def _products(p: int, q: int):
             starts = np.concatenate(([0], edge))
             size = np.diff(np.concatenate((starts, [len(rows[0])])))
             last = tuple(x[starts[-1] :].copy() for x in rows)
-            if size[-1] <= SMALL:
+            if size[-1] <= SMALL and not last[1][0]:
                 held = last
             else:
                 out, hub = starred(last, None)
@@ -194,8 +195,9 @@ def _products(p: int, q: int):
             yield from closed(held, np.array([0]), np.array([len(held[0])]))
 
     def closed(rows, starts, size):
-        """What whole columns give."""
-        keep = np.repeat((size > 1) & (size <= SMALL), size)
+        """What whole columns and whole blocks give."""
+        big = (size > SMALL) | (rows[1][starts] > 0)
+        keep = np.repeat((size > 1) & ~big, size)
         run_of = np.repeat(np.arange(len(size)), size)[keep]
         cs, ns, names, pos = (rows[i][: len(keep)][keep] for i in (0, 3, 4, 5))
         for d in range(1, SMALL):
@@ -208,7 +210,7 @@ def _products(p: int, q: int):
             i = i[low * q >= high * p]
             if len(i):
                 yield made(names[i], ns[i], names[i + d], ns[i + d], cs[i], pos[i], True)
-        for s, m in zip(starts[size > SMALL], size[size > SMALL], strict=True):
+        for s, m in zip(starts[big], size[big], strict=True):
             yield starred(tuple(x[s : s + m] for x in rows), None)[0]
 
     return run
