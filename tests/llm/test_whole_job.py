@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracewright.llm import jaccard
+from tracewright.llm import jaccard, licenses
 
 
 def components(sets, p):
@@ -37,3 +37,22 @@ def test_rows_of_a_dealt_column_meet_across_its_blocks(spark, monkeypatch, block
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert got == dict(enumerate(components(sets, 85)))
+
+
+def test_all_templates_of_one_file_are_found(spark):
+    texts, names = [t for _, t, _ in licenses.TEMPLATES], sorted(label for label, _, _ in licenses.TEMPLATES)
+    rng = random.Random(4)
+    orders = [texts, texts[::-1], *(rng.sample(texts, len(texts)) for _ in range(4))]
+    # the last one's common words stand beside all the rarer licence words, out of their order
+    rest = " ".join(sorted({w for t in texts for w in t.split()}))
+    files = [" some words between ".join(o) for o in orders] + [f"{rest} {dict((a, b) for a, b, _ in licenses.TEMPLATES)['cc']} {rest}"]
+    docs = spark.createDataFrame(list(enumerate(files)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["hits"] for r in licenses.scan(docs).collect()}
+    for i, order in enumerate(orders):
+        places, at = {}, 0
+        for text in order:
+            places[next(a for a, b, _ in licenses.TEMPLATES if b == text)] = (at, len(text.split()))
+            at += len(text.split()) + 3
+        assert sorted(h["label"] for h in rows[i]) == names
+        assert all((h["at"], h["agree"], h["share"]) == (*places[h["label"]], 1.0) for h in rows[i])
+    assert [h["label"] for h in rows[len(orders)]] == ["cc"]

@@ -1,4 +1,4 @@
-"""License scans: base phrases, and templates found by a positional index of their rarest words."""
+"""License scans: base phrases, and templates found by a positional index of the rarest word of each one's key phrase."""
 
 from __future__ import annotations
 
@@ -23,12 +23,10 @@ TEMPLATES = (
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
-#: Words of a file that are looked up: the rarest over all documents of the licence vocabulary, at most.
-RARE = 12
+#: Words in place from which on a template's share is whole; fewer where it has fewer words.
+ENOUGH = 12
 #: Words that have to agree in their relative position.
 AGREE = 3
-#: A template's votes are numbered from its own multiple of SPAN, with HALF for place 0.
-SPAN, HALF = 1 << 33, 1 << 32
 
 
 def _lower(text: Column) -> Column:
@@ -78,16 +76,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     """(doc_id, n_words, base, hits): base phrase places and template hits of every whole text.
 
     base: array<struct<start, label>>, by start. hits: array<struct<label, at, agree, share>>: the template would begin at
-    word ``at``, ``agree`` of the looked-up words stand where it has them, ``share`` of as many as are looked up. A text's
-    looked-up words are the RARE rarest of the licence vocabulary that it has, all their places counted. A hit needs AGREE
-    words at one relative position and its key phrase at its place. Null is taken as empty; an empty text has no words.
-    Repeated rows are repeated; other columns aren't read.
+    word ``at``, ``agree`` of all its words stand where it has them, ``share`` is that of ENOUGH words, 1 at most. A hit
+    needs AGREE words in place and its key phrase at its place. So each place of the key phrase's rarest word is looked at,
+    in every text and for every template, whatever other words the text has. Null is taken as empty; an empty text has no
+    words. Repeated rows are repeated; other columns aren't read.
     """
     vocabulary = rarity(docs, templates, text_col)
+    # each template is posted once: under the rarest word of its key phrase, with that word's place in the template
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(templates):
-        for i, w in enumerate(text.split()):
-            postings.setdefault(w, []).append((t, i))
+    for t, (_, text, key) in enumerate(templates):
+        rarest = min(key.split(), key=vocabulary.index)
+        postings.setdefault(rarest, []).append((t, _offset(text, key) + key.split().index(rarest)))
     texts = docs.select(F.col(id_col).alias("doc_id"), _lower(F.col(text_col).cast("string")).alias("text"))
     # a phrase's rarest word is looked for first, as that is cheap
     has = lambda phrases: _any([F.contains("text", F.lit(min(p.split(), key=vocabulary.index) if set(p.split()) <= set(vocabulary) else max(p.split(), key=len))) & F.col("text").rlike(_phrase(p)) for p in phrases])
@@ -101,32 +100,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     texts = texts.withColumn("base", F.when(F.col("has_base"), F.array_sort(found)).otherwise(none))
 
     no_hits = F.array().cast("array<struct<label:string,at:int,agree:int,share:double>>")
-    order = F.create_map(*(x for i, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(i))))
-    index = F.array(*(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("i")) for t, i in postings[w])) for w in vocabulary))
+    index = F.create_map(*(x for w, posted in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in posted)))))
 
     def hits(words: Column) -> Column:
-        ranks = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(order, w)), lambda r: r.isNotNull()))), 1, RARE)
-
-        def posted(looked_up: Column) -> Column:
-            """A number for each (template, place) that a looked-up word's place votes for, sorted."""
-            own = F.filter(F.transform(words, lambda w, i: F.struct(F.try_element_at(order, w).alias("r"), i.alias("i"))), lambda x: F.array_contains(looked_up, x["r"]))
-            return F.array_sort(F.flatten(F.transform(own, lambda x: F.transform(F.element_at(index, x["r"] + 1), lambda p: p["t"] * SPAN + HALF + x["i"] - p["i"]))))
-
-        def agreed(votes: Column) -> Column:
-            """Places with AGREE votes or more: in the sorted votes, equal to the one AGREE - 1 further on."""
-            spots = F.array_distinct(F.filter(F.transform(votes, lambda v, i: F.when(F.try_element_at(votes, i + AGREE) == v, v)), lambda v: v.isNotNull()))
-            return F.transform(spots, lambda v: F.struct(F.call_function("div", v, F.lit(SPAN)).cast("int").alias("t"), (v % SPAN - HALF).cast("int").alias("at"), F.size(F.filter(votes, lambda u: u == v)).alias("agree")))
-
-        candidates = let(let(ranks, posted), agreed)
+        posted = F.transform(words, lambda w, i: F.transform(F.try_element_at(index, w), lambda p: F.struct(p["t"].alias("t"), (i - p["i"]).cast("int").alias("at"))))
+        candidates = F.flatten(F.filter(posted, lambda p: p.isNotNull()))
         labels = F.array(*(F.lit(label) for label, _, _ in templates))
-        sizes = F.array(*(F.lit(min(RARE, len(text.split()))) for _, text, _ in templates))
+        sizes = F.array(*(F.lit(min(ENOUGH, len(text.split()))) for _, text, _ in templates))
+        bodies = F.array(*(F.array(*map(F.lit, text.split())) for _, text, _ in templates))
         keys = F.array(*(F.lit(key) for _, _, key in templates))
         offsets = F.array(*(F.lit(_offset(text, key)) for _, text, key in templates))
         lengths = F.array(*(F.lit(len(key.split())) for _, _, key in templates))
         at = lambda a, s: F.element_at(a, s["t"] + 1)
         start = lambda s: s["at"] + at(offsets, s)
         held = F.filter(candidates, lambda s: F.when(start(s) >= 0, F.array_join(F.slice(words, F.greatest(start(s), F.lit(0)) + 1, at(lengths, s)), " ") == at(keys, s)).otherwise(F.lit(False)))
-        return F.transform(held, lambda s: F.struct(at(labels, s).alias("label"), s["at"].alias("at"), s["agree"].cast("int").alias("agree"), F.least(F.lit(1.0), s["agree"] / at(sizes, s)).alias("share")))
+        in_place = lambda s: F.size(F.filter(F.transform(at(bodies, s), lambda w, i: F.when(s["at"] + i >= 0, F.get(words, s["at"] + i) == w)), lambda same: same))
+        counted = F.filter(F.transform(held, lambda s: F.struct(s["t"].alias("t"), s["at"].alias("at"), in_place(s).alias("agree"))), lambda s: s["agree"] >= AGREE)
+        ordered = F.array_sort(counted)
+        return F.transform(ordered, lambda s: F.struct(at(labels, s).alias("label"), s["at"].alias("at"), s["agree"].alias("agree"), F.least(F.lit(1.0), s["agree"] / at(sizes, s)).alias("share")))
 
     texts = texts.withColumn("hits", F.when(F.col("has_key"), hits(F.col("words"))).otherwise(no_hits))
     return texts.select("doc_id", "n_words", "base", "hits")
