@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracewright.llm import jaccard, licenses
+from tracewright.llm import imatch, jaccard, licenses
 
 
 def components(sets, p):
@@ -56,3 +56,27 @@ def test_all_templates_of_one_file_are_found(spark):
         assert sorted(h["label"] for h in rows[i]) == names
         assert all((h["at"], h["agree"], h["share"]) == (*places[h["label"]], 1.0) for h in rows[i])
     assert [h["label"] for h in rows[len(orders)]] == ["cc"]
+
+
+def test_near_copies_of_a_hot_group_have_like_fingerprints(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    notice = [word() for _ in range(80)]
+    vocabulary = [word() for _ in range(300)]
+    plain = " ".join(notice)
+    variants = [plain, plain.upper(), plain.title(), ", ".join(notice), " ".join(notice[:-1])]
+    rows = [(i, variants[i % 5]) for i in range(40)]  # a third of all rows, each followed by a near copy
+    rows += [(40 + i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
+    assert len({got[i]["fingerprint"] for i in range(40) if i % 5 < 4}) == 1
+    assert all(got[i]["near_next"] >= 0.7 for i in range(39))
+
+
+def test_texts_of_common_terms_only_are_like_their_near_copies(spark):
+    common = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda my".split()
+    rows = [(i, f"{' '.join(common[:-(1 + i % 2)])} {'own' * (i > 3)}{chr(97 + i) * 3 * (i > 3)}") for i in range(60) if i < 26]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
+    assert got[0]["fingerprint"] == got[2]["fingerprint"] and len(got[0]["fingerprint"]) == 16 * imatch.CHAINS
+    assert got[0]["near_next"] >= 0.5

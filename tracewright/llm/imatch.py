@@ -26,12 +26,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
-    """(term): 64-bit names of the terms within the band of document frequency, counted over all documents.
+    """(term): 64-bit names of the terms within the band of document frequency, counted over all distinct term sets.
 
-    The inverse document frequency of a kept term is between -ln(share) and ln(n / least).
+    Texts with the same terms count once, so that copies don't make their terms common. The inverse document frequency of a
+    kept term is between -ln(share) and ln(n / least), n being the number of distinct sets.
     """
-    n = docs.count()
-    seen = docs.select(F.explode(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    named = docs.select(F.array_sort(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("terms")).where(F.size("terms") > 0)
+    sets = settle(named.groupBy(F.xxhash64("terms").alias("name")).agg(F.first("terms").alias("terms")), "sets")
+    n = sets.count()
+    seen = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     return seen.where(F.col("docs").between(least, max(least, math.floor(share * n)))).select("term")
 
 
@@ -97,8 +100,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
-    Null is taken as an empty text. A text without a term of the lexicon has the SHA-256 of its terms, or of itself if it
-    has none, as its fingerprint; it is like equal texts only. Repeated rows are repeated: rows of one id and text follow
+    Null is taken as an empty text. The chains of a text without a term of the lexicon are taken over all its terms; one
+    without any term has the SHA-256 of itself and is like equal texts only. Repeated rows are repeated: rows of one id and text follow
     one another. One row is its own next. An empty table gives an empty one; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -107,20 +110,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next"))))
     # one array a row: its facts, and the terms of both texts
     term = lambda which: lambda t: _item(which, F.xxhash64(t))
-    facts = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("own"), F.sha2("edited", 256).alias("edited"))
+    facts = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited"))
     items = F.concat(F.array(_item(0, F.xxhash64("range", "pos"), facts)), F.transform(terms(F.col("text")), term(1)), F.transform(terms(F.col("edited")), term(2)))
     each = rows.select("range", "pos", "guest", F.explode(items).alias("x")).select("range", "pos", "guest", "x.*")
     kept = each.join(known.withColumn("known", F.lit(True)), "term", "left").where("which = 0 or known")
     found = F.when(F.col("which") > 0, F.struct("which", "term", _levels(F.col("term")).alias("levels")))
     whole = kept.groupBy("range", "pos", "guest").agg(F.max("facts").alias("facts"), F.array_sort(F.collect_list(found)).alias("found"))
     side = lambda which: F.transform(F.filter("found", lambda x: x["which"] == which), lambda x: F.struct(x["term"].alias("term"), x["levels"].alias("levels")))
-    mark = lambda which, sha: let(side(which), lambda f: F.when(F.size(f) > 0, fingerprint(f)).otherwise(sha))
-    marked = whole.select("range", "pos", "guest", "facts.doc_id", "facts.n_chars", F.col("facts.edited").alias("edited_sha256"), mark(1, F.col("facts.own")).alias("fingerprint"), mark(2, F.col("facts.edited")).alias("edited_fingerprint"))
+    mark = lambda which: let(side(which), lambda f: F.when(F.size(f) > 0, fingerprint(f)))
+    marked = whole.select("range", "pos", "guest", "facts.doc_id", "facts.n_chars", F.col("facts.edited").alias("edited_sha256"), mark(1).alias("fingerprint"), mark(2).alias("edited_fingerprint"))
+    marked = settle(marked, "prints")
+    # the few texts without a term of the lexicon are read again
+    keys, without = ["range", "pos", "guest"], F.col("fingerprint").isNull() | (~F.col("guest") & F.col("edited_fingerprint").isNull())
+    again = rows.join(marked.where(without).select(*keys), keys, "left_semi").select(*keys, _of_all("text").alias("all_text"), _of_all("edited").alias("all_edited"))
+    marked = marked.where(~without).union(marked.where(without).join(again, keys).select(*keys, "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", "all_text"), F.coalesce("edited_fingerprint", "all_edited")))
     marked = marked.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("pos"))).where("not guest")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
 
 
+def _of_all(text: str) -> Column:
+    """The fingerprint over all terms of a text, or its SHA-256 where it has none."""
+    every = F.array_sort(F.transform(terms(F.col(text)), lambda t: let(F.xxhash64(t), lambda h: F.struct(h.alias("term"), _levels(h).alias("levels")))))
+    return let(every, lambda f: F.when(F.size(f) > 0, fingerprint(f)).otherwise(F.sha2(F.col(text), 256)))
+
+
 def _item(which: int, term: Column, facts: Column | None = None) -> Column:
-    kind = "struct<doc_id:bigint,n_chars:bigint,own:string,edited:string>"
+    kind = "struct<doc_id:bigint,n_chars:bigint,edited:string>"
     return F.struct(F.lit(which).alias("which"), term.alias("term"), (F.lit(None) if facts is None else facts).cast(kind).alias("facts"))
