@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracewright.llm import imatch, jaccard, licenses
+from tracewright.llm import imatch, jaccard, langid, licenses
 
 
 def components(sets, p):
@@ -80,3 +80,19 @@ def test_texts_of_common_terms_only_are_like_their_near_copies(spark):
     got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
     assert got[0]["fingerprint"] == got[2]["fingerprint"] and len(got[0]["fingerprint"]) == 16 * imatch.CHAINS
     assert got[0]["near_next"] >= 0.5
+
+
+def test_texts_stay_when_no_language_was_learned(spark):
+    rows = [(i, t, None) for i, t in enumerate(["a clean text", "noch ein Text", "Ж", "12 !?", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.identified(docs).collect()} == {0, 1, 2}
+
+
+def test_letters_of_no_language_go_by_the_score(spark):
+    rng = random.Random(6)
+    words = {"en": "the house river walking think quiet other water".split(), "de": "der fluss straße über schön gehen wasser andere".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 60))), lang if i % 5 else None) for i in range(400) for lang in [("en", "de")[i % 2]]]
+    junk = [(400 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(30)), None) for i in range(10)]
+    junk += [(410, "слово за словом", None)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(3)
+    assert {r["doc_id"] for r in langid.identified(docs).collect()} == set(range(400))

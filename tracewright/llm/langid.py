@@ -21,6 +21,9 @@ SLOTS, HASHES = 1 << 20, 3
 SAMPLE = 20_000
 #: An n-gram belongs to a language in which it is seen so often, and no rarer than this share of where it is commonest.
 LEAST_SEEN, SHARE = 3, 0.25
+#: A text is in none of the learned languages below this share of the score that all but a hundredth of held-out texts reach.
+#: The floor is measured on about MEASURED of them; with fewer than LEAST_MEASURED nothing is rejected by its score.
+FLOOR, MEASURED, LEAST_MEASURED = 0.5, 5_000, 30
 NONE = "und"
 
 
@@ -170,16 +173,34 @@ def languages(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs.where(~held_out()).select("doc_id", "text", "lang")))
 
 
+def floor_of(held: DataFrame, model: Filter) -> float:
+    """The least score of a text in a learned language, from held-out rows (doc_id, text, lang); 0 where they are too few."""
+    rows = held.where("lang is not null and text is not null").where(F.col("lang").isin(model.languages))
+    n = max(rows.count(), 1)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("floor")), F.lit(1 << 20)) < min(1 << 20, math.ceil((1 << 20) * MEASURED / n)))
+    seen = predict(rows, model).where(F.col("lang_pred") != NONE).agg(F.count("*").alias("n"), F.percentile_approx("score", 0.01).alias("low")).first()
+    return FLOOR * seen["low"] if seen["n"] >= LEAST_MEASURED else 0.0
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: texts that are null or have no letter go."""
+    """The rows of ``docs``, all columns, whose text is in a learned language: its best score reaches the measured floor.
+
+    Texts that are null or have no letter go. Where nothing was learned there is no verdict, and every text with a letter
+    stays; so it does where the held-out texts are too few to measure a floor.
+    """
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    floor = floor_of(docs.where(held_out()).select("doc_id", "text", "lang"), model) if model.languages else 0.0
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                lang, _ = _predicted(sent.value, part.column(at))
-                yield part.filter(pa.array([x != NONE for x in lang], pa.bool_()))
+                if sent.value.languages:
+                    lang, score = _predicted(sent.value, part.column(at))
+                    stays = [x != NONE and y >= floor for x, y in zip(lang, score.tolist(), strict=True)]
+                else:
+                    stays = grams(part.column(at))[2] > 0
+                yield part.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
