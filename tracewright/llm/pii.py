@@ -10,15 +10,21 @@ from .spans import let, replaced
 KEY = "pseudonyms-1"
 ROUNDS = 8
 
+#: English months, in full or short, and the calling codes of one or two digits; all others have three.
+MONTH = r"(?:[Jj]an(?:uary)?|[Ff]eb(?:ruary)?|[Mm]ar(?:ch)?|[Aa]pr(?:il)?|[Mm]ay|[Jj]une?|[Jj]uly?|[Aa]ug(?:ust)?|[Ss]ept?(?:ember)?|[Oo]ct(?:ober)?|[Nn]ov(?:ember)?|[Dd]ec(?:ember)?)"
+CODE = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: The forms that are looked for. Whether a match counts is decided by its checks below.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
-    "date": r"(?<![\w/.-])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\w/-])",
+    "date": r"(?<![\w/.-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?![\w/-])",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
-    "abroad": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]\(?\d{2,4}\)?){2,4}(?![\w-])",
+    "plain_phone": r"(?<![\w+])(?<!\d[.,-])(?:\+?1)?[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d)",
+    "abroad": r"(?<![\w+])\+[2-9](?:[ .-]?\(?\d\)?){7,14}(?![\w-])",
+    "named_date": rf"(?<![\w/.-])(?:\d{{1,2}}\.? {MONTH}\.?,?|{MONTH}\.? \d{{1,2}},?) \d{{4}}(?![\w/-])",
     "card": r"(?<![\w-])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
@@ -96,16 +102,16 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _abroad(m: Column, key: str) -> Column:
-    """The country code stays, the other digits are permuted among all of their number; 8 to 15 digits in all are valid."""
-    lead = F.regexp_extract(m, r"^\+\d+", 0)
+    """The country code stays, the other digits are permuted among all of their number, however they are grouped."""
 
-    def changed(x: Column) -> Column:
-        n = F.char_length(x["d"])
+    def changed(d: Column) -> Column:
+        lead = F.regexp_extract(d, CODE, 0)
+        own = F.substr(d, F.char_length(lead) + 1)
+        n = F.char_length(own)
         low = F.call_function("div", n, F.lit(2)).cast("int")
-        return F.concat(x["lead"], refill(x["rest"], F.lpad(feistel(_number(x["d"]), _ten(n - low), _ten(low), key, "abroad").cast("string"), n, "0")))
+        return F.concat(lead, F.lpad(feistel(_number(own), _ten(n - low), _ten(low), key, "abroad").cast("string"), n, "0"))
 
-    rest = F.substr(m, F.char_length(lead) + 1)
-    return F.when(F.char_length(_digits(m)).between(8, 15), let(F.struct(lead.alias("lead"), rest.alias("rest"), _digits(rest).alias("d")), changed)).otherwise(m)
+    return let(_digits(m), lambda d: refill(m, changed(d)))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -149,13 +155,28 @@ def _numeric_date(m: Column, key: str) -> Column:
 
     def changed(x: Column) -> Column:
         a, b, y = (F.element_at(x, i) for i in (1, 2, 3))
-        sep = F.when(F.instr(m, "/") > 0, F.lit("/")).otherwise(F.lit("."))
+        sep = F.regexp_extract(m, "[/.-]", 0)
         date = lambda month, day: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
         month_first = date(a, b)
         write = lambda one, two: lambda d: F.concat_ws("", F.date_format(d, one), sep, F.date_format(d, two), sep, F.date_format(d, "yyyy"))
         return F.when(month_first.isNotNull(), _day(month_first, write("MM", "dd"), m, key)).otherwise(_day(date(b, a), write("dd", "MM"), m, key))
 
-    return let(F.split(m, "[/.]"), changed)
+    return let(F.split(m, "[/.-]"), changed)
+
+
+def _named_date(m: Column, key: str) -> Column:
+    """The order and the length of the month's name stay."""
+    name = F.regexp_extract(m, "[A-Za-z]+", 0)
+    month = F.call_function("div", F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(name, F.lit(3)))) + 2, F.lit(3)).cast("string")
+    day = F.regexp_extract(m, r"(?<!\d)\d{1,2}(?!\d)", 0)
+    date = F.try_to_timestamp(F.concat_ws("-", F.right(m, F.lit(4)), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+
+    def written(d: Column) -> Column:
+        month = F.when(F.char_length(name) > 4, F.date_format(d, "MMMM")).otherwise(F.date_format(d, "MMM"))
+        out = F.regexp_replace(F.regexp_replace(m, F.lit("[A-Za-z]+"), month), F.lit(r"\d{4}$"), F.date_format(d, "yyyy"))
+        return F.regexp_replace(out, F.lit(r"(?<!\d)\d{1,2}(?!\d)"), F.date_format(d, "dd"))
+
+    return _day(date, written, m, key)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -163,7 +184,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid"))
 
 
-_CHANGES = {"email": _email, "ip": _ip, "ssn": _ssn, "iso_date": _iso, "date": _numeric_date, "phone": _phone, "abroad": _abroad, "card": _card}
+_CHANGES = {"email": _email, "ip": _ip, "ssn": _ssn, "iso_date": _iso, "date": _numeric_date, "phone": _phone, "plain_phone": _phone, "abroad": _abroad, "named_date": _named_date, "card": _card}
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
