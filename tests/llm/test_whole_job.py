@@ -79,7 +79,7 @@ def test_texts_of_common_terms_only_are_like_their_near_copies(spark):
     rows = [(i, f"{' '.join(common[:-(1 + i % 2)])} {'own' * (i > 3)}{chr(97 + i) * 3 * (i > 3)}") for i in range(60) if i < 26]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
-    assert got[0]["fingerprint"] == got[2]["fingerprint"] and len(got[0]["fingerprint"]) == 16 * imatch.CHAINS
+    assert got[0]["fingerprint"] == got[2]["fingerprint"] and len(got[0]["fingerprint"]) == 8 * imatch.HASHES
     assert got[0]["near_next"] >= 0.5
 
 

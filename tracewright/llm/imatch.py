@@ -1,4 +1,4 @@
-"""I-Match fingerprints: hashes of a text's sorted distinct terms in several randomised subsets of a lexicon."""
+"""I-Match fingerprints: hashes of a text's sorted distinct terms in several fixed, randomised subsets of a lexicon."""
 
 from __future__ import annotations
 
@@ -15,27 +15,42 @@ from .store import settle
 TERM_GAP = r"[^\p{L}]+"
 #: The lexicon's band: terms in this many documents at least, and in this share of them at most.
 LEAST_DOCS, MOST_SHARE = 2, 0.05
-#: Chains of subsets. Level l of a chain keeps one term of 2^l, and every level is part of the one before.
-CHAINS = 16
-#: Lexicon rows (8 bytes each) up to which it is broadcast; beyond that it is joined by a shuffle.
+#: Subsets of the lexicon: SUBSETS of each density from 1 / 2^DENSITIES up to 1 / 2, the sparsest first.
+DENSITIES, SUBSETS = 10, 6
+#: Subsets that are compared: of those that have a term of either text, the sparsest.
+COMPARED = 16
+#: Lexicon rows (16 bytes each) up to which it is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 3_000_000
 
+HASHES = DENSITIES * SUBSETS
+
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_GAP), lambda t: t != ""))
 
 
-def lexicon(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
-    """(term): 64-bit names of the terms within the band of document frequency, counted over all distinct term sets.
+def subsets(term: Column) -> Column:
+    """The subsets that a term is in, by its name alone: bit k of a number for the k-th subset."""
+    among = F.lit([(1 << (DENSITIES - k // SUBSETS)) - 1 for k in range(HASHES)])
+    member = lambda k: F.xxhash64(term, k).bitwiseAND(F.element_at(among, k + 1).cast("long")) == 0
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0).cast("long"), lambda mask, k: mask.bitwiseOR(F.when(member(k), bit(k)).otherwise(F.lit(0).cast("long"))))
+
 
-    Texts with the same terms count once, so that copies don't make their terms common. The inverse document frequency of a
-    kept term is between -ln(share) and ln(n / least), n being the number of distinct sets.
+def lexicon(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """((term, mask), (term)): 64-bit names of the terms within the band with the subsets they are in, and those above it.
+
+    Document frequency is counted over all distinct term sets: texts with the same terms count once, so that copies don't
+    make their terms common. The inverse document frequency of a kept term is between -ln(share) and ln(n / least), n being
+    the number of distinct sets. Terms above the band are at most the mean size of a set divided by ``share``, or few
+    enough to be in less than ``least`` sets.
     """
     named = docs.select(F.array_sort(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("terms")).where(F.size("terms") > 0)
     sets = settle(named.groupBy(F.xxhash64("terms").alias("name")).agg(F.first("terms").alias("terms")), "sets")
     n = sets.count()
-    seen = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
-    return seen.where(F.col("docs").between(least, max(least, math.floor(share * n)))).select("term")
+    seen = settle(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least), "terms")
+    most = max(least, math.floor(share * n))
+    return seen.where(F.col("docs") <= most).select("term", subsets(F.col("term")).alias("mask")), seen.where(F.col("docs") > most).select("term")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -43,20 +58,22 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows are dealt by ranges of the id and each range also gets the first row of the next one as a guest at its end, so no
     task sees all rows; ``pos`` is a row's place in its range. Rows of one id follow one another in the order of their
-    texts; those without an id come first.
+    texts; those without an id come first, in the order of a hash of their texts, by which they are dealt.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = docs.withColumn("range", range_bucket(docs, "doc_id", buckets_for(docs)))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    # one row a range comes to the driver: its least id, null where it has rows without one
-    first = {r["range"]: None if r["nulls"] else r["least"] for r in ranged.groupBy("range").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).collect()}
+    docs = docs.withColumn("tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    ranged = docs.withColumn("range", range_bucket(docs, "doc_id", buckets_for(docs), "tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
+    place = F.struct(F.coalesce("doc_id", "tie").alias("at"), F.col("doc_id").isNull().alias("none"))
+    # one row a range comes to the driver: the least id in it, or the least hash where rows have none
+    first = {r["range"]: r["least"] for r in ranged.groupBy("range").agg(F.min(place).alias("least")).collect()}
     used = sorted(first) or [0]
     # the first row of a range goes to the range before it as well, the very first to the last range
-    ids = F.array(*(F.lit(first.get(i)).cast("long") for i in range(used[-1] + 1)))
-    least = ranged.where(F.col("doc_id").eqNullSafe(F.element_at(ids, F.col("range") + 1))).groupBy("range", "doc_id").agg(F.min("text").alias("text"))
-    before = F.create_map(*(F.lit(x) for pair in zip(used, [used[-1], *used[:-1]], strict=True) for x in pair))
-    guests = least.select(F.element_at(before, F.col("range")).alias("range"), "doc_id", "text", F.lit(True).alias("guest"))
-    rows = ranged.select("range", "doc_id", "text", F.lit(False).alias("guest")).union(guests)
+    ids = F.array(*(F.lit(first[i]["at"] if i in first else None).cast("long") for i in range(used[-1] + 1)))
+    least = ranged.where(F.coalesce("doc_id", "tie") == F.get(ids, F.col("range"))).groupBy("range", "doc_id", "tie").agg(F.min("text").alias("text"))
+    before = F.array(*(F.lit(used[used.index(i) - 1] if i in first else None).cast("int") for i in range(used[-1] + 1)))
+    guests = least.select(F.get(before, F.col("range")).alias("range"), "doc_id", "tie", "text", F.lit(True).alias("guest"))
+    rows = ranged.select("range", "doc_id", "tie", "text", F.lit(False).alias("guest")).union(guests)
     follow = Window.partitionBy("range").orderBy("guest", *order)
     return rows.select("range", F.row_number().over(follow).alias("pos"), "guest", "doc_id", "text", F.lead("text").over(follow).alias("next"))
 
@@ -67,72 +84,79 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.char_length(text) - half), F.left(following, half))
 
 
-def _levels(term: Column) -> Column:
-    """The level of a term in each chain, four bits a chain: how many subsets after the first it is in."""
-    out = F.lit(0).cast("long")
-    for chain in range(CHAINS):
-        h = F.xxhash64(term, F.lit(chain)).bitwiseOR(F.lit(1 << 15))
-        zeros = F.bit_count(h.bitwiseAND(-h) - 1).cast("long")
-        out = out.bitwiseOR(F.shiftleft(zeros, 4 * chain))
-    return out
+def hashes(found: Column) -> Column:
+    """One 32-bit hash a subset, from array<struct<term, mask>> sorted by term; 0 where the text has no term of it."""
 
+    def one(found: Column, k: Column) -> Column:
+        own = F.transform(F.filter(found, lambda x: F.call_function("shiftright", x["mask"], k).bitwiseAND(F.lit(1).cast("long")) != 0), lambda x: x["term"])
+        return let(own, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
 
-def fingerprint(found: Column) -> Column:
-    """One hash a chain, in hexadecimal, from array<struct<term, levels>> of the terms in the lexicon.
+    every = let(found, lambda f: F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: one(f, k)))
+    return let(every, lambda h: F.when(F.exists(h, lambda x: x != 0), h))
 
-    Of each chain's subsets the sparsest is taken that still has a term of the text; its terms are sorted and hashed.
-    """
 
-    def chain(c: int) -> Column:
-        level = lambda x: F.shiftrightunsigned(x["levels"], 4 * c).bitwiseAND(F.lit(15).cast("long"))
-        top = F.array_max(F.transform(found, level))
-        return let(top, lambda m: F.lpad(F.lower(F.hex(F.xxhash64(F.transform(F.filter(found, lambda x: level(x) == m), lambda x: x["term"])))), 16, "0"))
-
-    return F.array_join(F.array(*(chain(c) for c in range(CHAINS))), "")
+def written(h: Column, text: Column) -> Column:
+    """The fingerprint: the hashes in hexadecimal, or the SHA-256 of a text that has no term in any subset."""
+    return F.when(h.isNull(), F.sha2(text, 256)).otherwise(F.array_join(F.transform(h, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of chains whose hashes are equal; fingerprints without chains are alike only when equal."""
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(CHAINS - 1)), lambda i: F.substr(a, i * 16 + 1, F.lit(16)) == F.substr(b, i * 16 + 1, F.lit(16)))) / F.lit(float(CHAINS))
-    return F.when(a == b, F.lit(1.0)).when((F.char_length(a) != CHAINS * 16) | (F.char_length(b) != CHAINS * 16), F.lit(0.0)).otherwise(same)
+    """The share of equal hashes, among the COMPARED sparsest subsets that have a term of either text.
+
+    A subset of density d keeps its hash when none of its terms is lost or added, so sparse ones tell half-equal texts from
+    unlike ones and dense ones tell copies from near copies. Equal fingerprints are alike, whatever they are; other
+    fingerprints without hashes aren't.
+    """
+    part = lambda f, i: F.substr(f, i * 8 + 1, F.lit(8))
+    both = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.struct(part(a, i).alias("a"), part(b, i).alias("b")))
+    used = F.slice(F.filter(both, lambda x: (x["a"] != "00000000") | (x["b"] != "00000000")), 1, COMPARED)
+    share = let(used, lambda u: F.size(F.filter(u, lambda x: x["a"] == x["b"])) / F.size(u))
+    return F.when(a == b, F.lit(1.0)).when((F.char_length(a) != HASHES * 8) | (F.char_length(b) != HASHES * 8), F.lit(0.0)).otherwise(share)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
-    Null is taken as an empty text. The chains of a text without a term of the lexicon are taken over all its terms; one
-    without any term has the SHA-256 of itself and is like equal texts only. Repeated rows are repeated: rows of one id and text follow
-    one another. One row is its own next. An empty table gives an empty one; other columns aren't read.
+    Null is taken as an empty text. A text without a term of the lexicon's subsets is hashed over all its terms, by the
+    same rule; one that then has no hash either, as one without a letter, has the SHA-256 of itself and is like equal texts
+    only. Repeated rows are repeated: rows of one id and text follow one another. Rows of one id come in the order of their
+    texts, those without an id first. One row is its own next. Texts may be of any length. An empty table gives an empty
+    one; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = settle(lexicon(docs), "lexicon")
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    known, above = lexicon(docs)
+    known = settle(known, "lexicon")
     rows = with_next(docs).withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next"))))
     # one array a row: its facts, and the terms of both texts
     term = lambda which: lambda t: _item(which, F.xxhash64(t))
     facts = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited"))
-    items = F.concat(F.array(_item(0, F.xxhash64("range", "pos"), facts)), F.transform(terms(F.col("text")), term(1)), F.transform(terms(F.col("edited")), term(2)))
-    each = rows.select("range", "pos", "guest", F.explode(items).alias("x")).select("range", "pos", "guest", "x.*")
-    kept = each.join(known.withColumn("known", F.lit(True)), "term", "left").where("which = 0 or known")
-    found = F.when(F.col("which") > 0, F.struct("which", "term", _levels(F.col("term")).alias("levels")))
-    whole = kept.groupBy("range", "pos", "guest").agg(F.max("facts").alias("facts"), F.array_sort(F.collect_list(found)).alias("found"))
-    side = lambda which: F.transform(F.filter("found", lambda x: x["which"] == which), lambda x: F.struct(x["term"].alias("term"), x["levels"].alias("levels")))
-    mark = lambda which: let(side(which), lambda f: F.when(F.size(f) > 0, fingerprint(f)))
-    marked = whole.select("range", "pos", "guest", "facts.doc_id", "facts.n_chars", F.col("facts.edited").alias("edited_sha256"), mark(1).alias("fingerprint"), mark(2).alias("edited_fingerprint"))
+    items = F.concat(F.array(_item(0, F.lit(None).cast("long"), facts)), F.transform(terms(F.col("text")), term(1)), F.transform(terms(F.col("edited")), term(2)))
+    keys = ["range", "pos", "guest"]
+    each = rows.select(*keys, F.explode(items).alias("x")).select(*keys, "x.*")
+    if known.count() <= BROADCAST_ROWS:
+        kept = each.join(F.broadcast(known), "term", "left").where("which = 0 or mask is not null")
+    else:
+        # the terms above the band, which most texts have, go before the shuffle; they are few
+        each = settle(each.join(F.broadcast(above), "term", "left_anti"), "terms")
+        kept = each.where("which = 0").withColumn("mask", F.lit(None).cast("long")).unionByName(each.where("which > 0").join(known, "term"))
+    found = F.when(F.col("which") > 0, F.struct("which", "term", "mask"))
+    whole = kept.groupBy(*keys).agg(F.max("facts").alias("facts"), F.array_sort(F.collect_list(found)).alias("found"))
+    side = lambda which: F.filter("found", lambda x: x["which"] == which)
+    marked = whole.select(*keys, "facts.*", hashes(side(1)).alias("own"), F.when(~F.col("guest"), hashes(side(2))).alias("other"))
     marked = settle(marked, "prints")
     # the few texts without a term of the lexicon are read again
-    keys, without = ["range", "pos", "guest"], F.col("fingerprint").isNull() | (~F.col("guest") & F.col("edited_fingerprint").isNull())
-    again = rows.join(marked.where(without).select(*keys), keys, "left_semi").select(*keys, _of_all("text").alias("all_text"), _of_all("edited").alias("all_edited"))
-    marked = marked.where(~without).union(marked.where(without).join(again, keys).select(*keys, "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", "all_text"), F.coalesce("edited_fingerprint", "all_edited")))
+    without = F.col("own").isNull() | (~F.col("guest") & F.col("other").isNull())
+    again = rows.join(marked.where(without).select(*keys), keys, "left_semi").select(*keys, _of_all("text").alias("all_own"), _of_all("edited").alias("all_other"), "text", F.col("edited").alias("edited_text"))
+    again = marked.where(without).join(again, keys).select(*keys, "doc_id", "n_chars", "edited", written(F.coalesce("own", "all_own"), F.col("text")).alias("fingerprint"), written(F.coalesce("other", "all_other"), F.col("edited_text")).alias("edited_fingerprint"))
+    marked = marked.where(~without).select(*keys, "doc_id", "n_chars", "edited", written(F.col("own"), F.lit("")).alias("fingerprint"), F.when(~F.col("guest"), written(F.col("other"), F.lit(""))).alias("edited_fingerprint")).union(again)
     marked = marked.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("pos"))).where("not guest")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+    return marked.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
 
 
 def _of_all(text: str) -> Column:
-    """The fingerprint over all terms of a text, or its SHA-256 where it has none."""
-    every = F.array_sort(F.transform(terms(F.col(text)), lambda t: let(F.xxhash64(t), lambda h: F.struct(h.alias("term"), _levels(h).alias("levels")))))
-    return let(every, lambda f: F.when(F.size(f) > 0, fingerprint(f)).otherwise(F.sha2(F.col(text), 256)))
+    """The hashes over all terms of a text."""
+    return hashes(F.array_sort(F.transform(terms(F.col(text)), lambda t: let(F.xxhash64(t), lambda h: F.struct(h.alias("term"), subsets(h).alias("mask"))))))
 
 
 def _item(which: int, term: Column, facts: Column | None = None) -> Column:
