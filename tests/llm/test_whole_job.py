@@ -40,6 +40,36 @@ def test_rows_of_a_dealt_column_meet_across_its_blocks(spark, monkeypatch, block
     assert got == dict(enumerate(components(sets, 85)))
 
 
+@pytest.mark.parametrize(("block", "seed"), [(40, 1), (100, 2), (400, 3), (100, 4)])
+def test_hot_and_rare_columns_in_shared_slots(spark, monkeypatch, block, seed):
+    """Few sketch slots, so that rare shingles share one with hot ones and are dealt like them."""
+    rng = random.Random(seed)
+    notice = [f"n{i}" for i in range(100)]
+    texts = []
+    for i in range(220):
+        cut = rng.randrange(80)
+        texts.append(" ".join([*notice[cut : cut + 20], f"u{i}_{rng.randrange(3)}"]))
+        own = [f"o{i}_{j}" for j in range(rng.choice([1, 2, 4, 60]))]
+        texts.append(" ".join(notice[: rng.choice([90, 95, 100])] + own))
+        twin = [f"t{i}_{j}" for j in range(25)]
+        texts += [" ".join(twin), " ".join([*twin[:-1], "other"])]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SLOTS", (1 << 10, 1 << 10))
+    monkeypatch.setattr(jaccard, "PART", 1 << 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(components(sets, 85)))
+
+
+def test_documents_are_joined_where_the_filter_is_too_small(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_BITS", (64, 64, 64))
+    texts = [f"{' '.join(f'w{i // 2}_{j}' for j in range(30))} x{i}" for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0] + "y"), (None, "alone here and there")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert {(i, i - i % 2) for i in range(40)} <= got and len(got) == 42
+
+
 def test_all_templates_of_one_file_are_found(spark):
     texts, names = [t for _, t, _ in licenses.TEMPLATES], sorted(label for label, _, _ in licenses.TEMPLATES)
     rng = random.Random(4)
@@ -107,7 +137,7 @@ def test_all_spellings_of_a_value_have_one_pseudonym(spark):
         ["1999-12-31", "31-12-1999", "12-31-1999", "31.12.1999", "12/31/1999", "31 December 1999", "December 31, 1999", "31 Dec 1999", "Dec. 31, 1999", "31. December 1999"],
     ]
     flat = [(i, f"on {v}, so") for i, v in enumerate(v for g in groups for v in g)]
-    out = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(flat, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(flat, "doc_id long, text string"), "key").collect()}
     assert all(r["changed"] for r in out.values())
     months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
     i = 0
@@ -126,5 +156,5 @@ def test_all_spellings_of_a_value_have_one_pseudonym(spark):
             i += 1
         assert len(seen) == 1, (group, seen)
     kept = ["12345678901234567890123", "3.4155550123", "1155550123", "+33 1", "31 Movember 1999", "45-45-1999"]
-    same = pii.report(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")).collect()
+    same = pii.report(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string"), "key").collect()
     assert not any(r["changed"] for r in same)

@@ -15,42 +15,45 @@ from .store import settle
 TERM_GAP = r"[^\p{L}]+"
 #: The lexicon's band: terms in this many documents at least, and in this share of them at most.
 LEAST_DOCS, MOST_SHARE = 2, 0.05
-#: Subsets of the lexicon: SUBSETS of each density from 1 / 2^DENSITIES up to 1 / 2, the sparsest first.
-DENSITIES, SUBSETS = 10, 6
+#: Subsets of the lexicon: CHAINS of each density from 1 / 2^SPARSEST up to 1 / 2^DENSEST, the sparsest first. A term is in
+#: the subset of density 1 / 2^l of chain c if l bits of its name, from bit SPARSEST * c on, are 0; so a chain's subsets are
+#: each part of the denser one, and a text's terms are sifted once more for each. Most terms are in no subset.
+DENSEST, SPARSEST, CHAINS = 4, 10, 6
 #: Subsets that are compared: of those that have a term of either text, the sparsest.
 COMPARED = 16
-#: Lexicon rows (16 bytes each) up to which it is broadcast; beyond that it is joined by a shuffle.
+#: Lexicon rows (8 bytes each) up to which it is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 3_000_000
 
-HASHES = DENSITIES * SUBSETS
+HASHES = (SPARSEST - DENSEST + 1) * CHAINS
 
 
-def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_GAP), lambda t: t != ""))
+def name(term: Column) -> Column:
+    """A term's name: 63 bits of its hash."""
+    return F.shiftright(F.xxhash64(term), 1)
 
 
-def subsets(term: Column) -> Column:
-    """The subsets that a term is in, by its name alone: bit k of a number for the k-th subset."""
-    among = F.lit([(1 << (DENSITIES - k // SUBSETS)) - 1 for k in range(HASHES)])
-    member = lambda k: F.xxhash64(term, k).bitwiseAND(F.element_at(among, k + 1).cast("long")) == 0
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0).cast("long"), lambda mask, k: mask.bitwiseOR(F.when(member(k), bit(k)).otherwise(F.lit(0).cast("long"))))
+def terms(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_GAP), lambda t: t != ""))
 
 
 def lexicon(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """((term, mask), (term)): 64-bit names of the terms within the band with the subsets they are in, and those above it.
+    """((term), (term)): names of the terms within the band of document frequency that are in a subset, and of those above it.
 
     Document frequency is counted over all distinct term sets: texts with the same terms count once, so that copies don't
     make their terms common. The inverse document frequency of a kept term is between -ln(share) and ln(n / least), n being
     the number of distinct sets. Terms above the band are at most the mean size of a set divided by ``share``, or few
     enough to be in less than ``least`` sets.
     """
-    named = docs.select(F.array_sort(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("terms")).where(F.size("terms") > 0)
-    sets = settle(named.groupBy(F.xxhash64("terms").alias("name")).agg(F.first("terms").alias("terms")), "sets")
+    named = docs.select(F.sort_array(F.transform(terms(F.col("text")), name)).alias("terms"))
+    # texts without a term are one set that is left out afterwards: a filter here would take all texts apart twice
+    sets = settle(named.groupBy(F.xxhash64("terms").alias("name")).agg(F.first("terms").alias("terms")), "sets").where(F.size("terms") > 0)
     n = sets.count()
     seen = settle(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least), "terms")
     most = max(least, math.floor(share * n))
-    return seen.where(F.col("docs") <= most).select("term", subsets(F.col("term")).alias("mask")), seen.where(F.col("docs") > most).select("term")
+    chosen = F.lit(False)
+    for c in range(CHAINS):
+        chosen = chosen | (F.col("term").bitwiseAND(F.lit(((1 << DENSEST) - 1) << (SPARSEST * c)).cast("long")) == 0)
+    return seen.where((F.col("docs") <= most) & chosen).select("term"), seen.where(F.col("docs") > most).select("term")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -85,14 +88,23 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def hashes(found: Column) -> Column:
-    """One 32-bit hash a subset, from array<struct<term, mask>> sorted by term; 0 where the text has no term of it."""
+    """One 32-bit hash a subset, from the sorted names of a text's terms; 0 where the text has no term of it.
 
-    def one(found: Column, k: Column) -> Column:
-        own = F.transform(F.filter(found, lambda x: F.call_function("shiftright", x["mask"], k).bitwiseAND(F.lit(1).cast("long")) != 0), lambda x: x["term"])
-        return let(own, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
+    Null where no subset has a term of the text.
+    """
+    named = lambda terms: F.when(F.size(terms) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    levels = SPARSEST - DENSEST + 1
+
+    def chain(terms: Column, c: int) -> Column:
+        masks = [((1 << DENSEST) - 1) << (SPARSEST * c), *(1 << (SPARSEST * c + i) for i in range(DENSEST, SPARSEST))]
+        sifted = lambda acc, bits: F.concat(acc, F.array(F.filter(F.element_at(acc, -1), lambda x: x.bitwiseAND(bits) == 0)))
+        every = F.aggregate(F.lit(masks).cast("array<bigint>"), F.array(terms), sifted)
+        return F.transform(F.slice(every, 2, levels), named)
 
-    every = let(found, lambda f: F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: one(f, k)))
-    return let(every, lambda h: F.when(F.exists(h, lambda x: x != 0), h))
+    flat = let(found, lambda t: F.concat(*(chain(t, c) for c in range(CHAINS))))
+    places = F.lit([c * levels + level for level in reversed(range(levels)) for c in range(CHAINS)])
+    ordered = let(flat, lambda h: F.transform(places, lambda k: F.get(h, k)))
+    return let(ordered, lambda h: F.when(F.exists(h, lambda x: x != 0), h))
 
 
 def written(h: Column, text: Column) -> Column:
@@ -117,48 +129,44 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
-    Null is taken as an empty text. A text without a term of the lexicon's subsets is hashed over all its terms, by the
-    same rule; one that then has no hash either, as one without a letter, has the SHA-256 of itself and is like equal texts
-    only. Repeated rows are repeated: rows of one id and text follow one another. Rows of one id come in the order of their
-    texts, those without an id first. One row is its own next. Texts may be of any length. An empty table gives an empty
-    one; other columns aren't read.
+    Null is taken as an empty text. A text without a lexicon term in a subset is hashed over all its terms by the same
+    rule; if none of these is in a subset either, all its hashes are that of its sorted terms together, and one without a
+    term, as one without a letter, has the SHA-256 of itself and is like equal texts only. Repeated rows are repeated: rows
+    of one id and text follow one another. Rows of one id come in the order of their texts, those without an id first. One
+    row is its own next. Texts may be of any length. An empty table gives an empty one; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known, above = lexicon(docs)
     known = settle(known, "lexicon")
     rows = with_next(docs).withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next"))))
-    # one array a row: its facts, and the terms of both texts
-    term = lambda which: lambda t: _item(which, F.xxhash64(t))
-    facts = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited"))
-    items = F.concat(F.array(_item(0, F.lit(None).cast("long"), facts)), F.transform(terms(F.col("text")), term(1)), F.transform(terms(F.col("edited")), term(2)))
-    keys = ["range", "pos", "guest"]
-    each = rows.select(*keys, F.explode(items).alias("x")).select(*keys, "x.*")
+    keys, facts = ["range", "pos", "guest"], ["doc_id", "n_chars", "edited_sha256"]
+    # the names of both texts' terms in one array, the lowest bit telling them apart; 0 stands for the row itself, so that
+    # no array is empty and none has to be made twice to see that (explode_outer)
+    side = lambda text, which: F.transform(terms(F.col(text)), lambda t: F.shiftleft(name(t), 1).bitwiseOR(F.lit(which).cast("long")))
+    items = F.concat(F.array(F.lit(0).cast("long")), side("text", 0), side("edited", 1))
+    each = rows.select(*keys, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), items.alias("items"))
+    each = each.select(*keys, *facts, F.explode_outer("items").alias("item")).withColumn("term", F.shiftright("item", 1))
     if known.count() <= BROADCAST_ROWS:
-        kept = each.join(F.broadcast(known), "term", "left").where("which = 0 or mask is not null")
+        kept = each.join(F.broadcast(known.union(known.sparkSession.range(1).select(F.col("id").alias("term")))), "term")
     else:
         # the terms above the band, which most texts have, go before the shuffle; they are few
         each = settle(each.join(F.broadcast(above), "term", "left_anti"), "terms")
-        kept = each.where("which = 0").withColumn("mask", F.lit(None).cast("long")).unionByName(each.where("which > 0").join(known, "term"))
-    found = F.when(F.col("which") > 0, F.struct("which", "term", "mask"))
-    whole = kept.groupBy(*keys).agg(F.max("facts").alias("facts"), F.array_sort(F.collect_list(found)).alias("found"))
-    side = lambda which: F.filter("found", lambda x: x["which"] == which)
-    marked = whole.select(*keys, "facts.*", hashes(side(1)).alias("own"), F.when(~F.col("guest"), hashes(side(2))).alias("other"))
+        kept = each.where("item = 0").unionByName(each.where("item <> 0").join(known, "term"))
+    found = lambda which: F.sort_array(F.collect_list(F.when((F.col("item") != 0) & (F.col("item").bitwiseAND(F.lit(1).cast("long")) == which), F.col("term"))))
+    whole = kept.groupBy(*keys, *facts).agg(found(0).alias("one"), found(1).alias("two"))
+    marked = whole.select(*keys, *facts, hashes(F.col("one")).alias("own"), F.when(~F.col("guest"), hashes(F.col("two"))).alias("other"))
     marked = settle(marked, "prints")
     # the few texts without a term of the lexicon are read again
     without = F.col("own").isNull() | (~F.col("guest") & F.col("other").isNull())
     again = rows.join(marked.where(without).select(*keys), keys, "left_semi").select(*keys, _of_all("text").alias("all_own"), _of_all("edited").alias("all_other"), "text", F.col("edited").alias("edited_text"))
-    again = marked.where(without).join(again, keys).select(*keys, "doc_id", "n_chars", "edited", written(F.coalesce("own", "all_own"), F.col("text")).alias("fingerprint"), written(F.coalesce("other", "all_other"), F.col("edited_text")).alias("edited_fingerprint"))
-    marked = marked.where(~without).select(*keys, "doc_id", "n_chars", "edited", written(F.col("own"), F.lit("")).alias("fingerprint"), F.when(~F.col("guest"), written(F.col("other"), F.lit(""))).alias("edited_fingerprint")).union(again)
+    again = marked.where(without).join(again, keys).select(*keys, *facts, written(F.coalesce("own", "all_own"), F.col("text")).alias("fingerprint"), F.when(~F.col("guest"), written(F.coalesce("other", "all_other"), F.col("edited_text"))).alias("edited_fingerprint"))
+    marked = marked.where(~without).select(*keys, *facts, written(F.col("own"), F.lit("")).alias("fingerprint"), F.when(~F.col("guest"), written(F.col("other"), F.lit(""))).alias("edited_fingerprint")).union(again)
     marked = marked.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("pos"))).where("not guest")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return marked.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
 
 
 def _of_all(text: str) -> Column:
-    """The hashes over all terms of a text."""
-    return hashes(F.array_sort(F.transform(terms(F.col(text)), lambda t: let(F.xxhash64(t), lambda h: F.struct(h.alias("term"), subsets(h).alias("mask"))))))
-
-
-def _item(which: int, term: Column, facts: Column | None = None) -> Column:
-    kind = "struct<doc_id:bigint,n_chars:bigint,edited:string>"
-    return F.struct(F.lit(which).alias("which"), term.alias("term"), (F.lit(None) if facts is None else facts).cast(kind).alias("facts"))
+    """The hashes over all terms of a text; null without a term."""
+    together = lambda t: F.when(F.size(t) > 0, F.array_repeat(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), HASHES))
+    return let(F.sort_array(F.transform(terms(F.col(text)), name)), lambda t: F.coalesce(hashes(t), together(t)))
