@@ -1,67 +1,98 @@
-"""License scans: base phrases, and templates found by a positional index of the rarest word of each one's key phrase."""
+"""License scans: base phrases and licence headers, found by a positional index of the rarest words of their key phrases."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import let
-
-#: Words of a text, and the base phrases with their labels.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: What stands between the words of a text, and the base phrases with their labels.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Sentences of well-known public licences, each with the phrase that has to stand at its place.
+#: Headers of well-known public licences, each with the phrase that has to stand at its place.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms of"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "you may not use this file except in compliance",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "modify it under the terms of the gnu general public license",
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "under the terms of the gnu lesser general public license",
+    ),
+    (
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "under the terms of the gnu affero general public license",
+    ),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "subject to the terms of the mozilla public license"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software",
+    ),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software released into the public domain",
+    ),
 )
+#: Words of each key phrase that are in the index: its rarest ones, over all documents.
+PROBES = 3
 #: Words in place from which on a template's share is whole; fewer where it has fewer words.
 ENOUGH = 12
-#: Words that have to agree in their relative position.
-AGREE = 3
-
 
-def _lower(text: Column) -> Column:
-    """Lower case. Letters past ASCII are lowered too, which moves no word's end and makes no base phrase."""
-    return F.lower(F.coalesce(text, F.lit("")))
 
+def words_of(text: Column) -> Column:
+    """The words of a text, in lower case, with an empty one at an end that isn't a word.
 
-def _phrase(phrase: str) -> str:
-    return "(?<![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])" + f"{GAP}+".join(phrase.split()) + "(?![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
+    Letters past ASCII are lowered too, which moves no word's end and makes no base phrase.
+    """
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), GAP, -1)
 
 
-def rarity(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> list[str]:
-    """The words of the templates, the rarest first: by the number of documents that have them, over all documents.
+def rarity(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> list[str]:
+    """The words of the key phrases, the rarest first: by the number of documents that have them, over all documents.
 
-    One row a word of the templates comes to the driver.
+    Ties go by the alphabet. One row a word of the vocabulary comes to the driver.
     """
-    words = sorted({w for _, text, _ in templates for w in text.split()})
-    known = F.array(*map(F.lit, words))
-    own = docs.select(F.explode(F.array_intersect(F.split(_lower(F.col(text_col).cast("string")), GAP + "+"), known)).alias("word"))
+    own = docs.select(F.explode(F.array_intersect(words_of(F.col(text_col).cast("string")), F.lit(vocabulary))).alias("word"))
     seen = {r["word"]: r["n"] for r in own.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(words, key=lambda w: (seen.get(w, 0), w))
+    return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def places(words: Column, phrase: str) -> Column:
-    """Positions in ``words`` where the words of a phrase stand one after another."""
-    first, *rest = phrase.split()
-    starts = F.filter(F.transform(words, lambda w, i: F.when(w == first, i)), lambda i: i.isNotNull())
-    # try_element_at gives null past the end
-    return F.filter(starts, lambda i: F.coalesce(_all([F.try_element_at(words, i + k + 2) == w for k, w in enumerate(rest)]), F.lit(False)))
+def _offset(text: str, key: str) -> int:
+    words, part = text.split(), key.split()
+    return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
 
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
+def postings(templates, rank: list[str], probes: int = PROBES) -> list[list[tuple[str, int]]]:
+    """The index: for each template the rarest words of its key phrase with their places in the template, rarest first."""
+    at = {w: i for i, w in enumerate(rank)}
+    out = []
+    for _, text, key in templates:
+        begin, seen = _offset(text, key), {}
+        for i, w in enumerate(key.split()):
+            seen.setdefault(w, begin + i)
+        out.append([(w, seen[w]) for w in sorted(seen, key=at.__getitem__)[:probes]])
     return out
 
 
@@ -72,64 +103,60 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+def _starts(words: Column, posted: list[tuple[str, int]], text: str, key: str) -> Column:
+    """Where a template would begin: its rarest word's places, kept where the others stand at their relative positions,
+    and where the whole key phrase then stands."""
+    (rare, place), *others = posted
+    begin = F.filter(F.transform(words, lambda w, i: F.when(w == rare, i - place)), lambda s: s.isNotNull())
+    met = F.filter(begin, lambda s: _all([F.coalesce(F.get(words, s + p) == w, F.lit(False)) for w, p in others])) if others else begin
+    offset, size = _offset(text, key), len(key.split())
+    phrase = lambda s: F.array_join(F.slice(words, F.greatest(s + offset, F.lit(0)) + 1, F.lit(size)), " ")
+    return F.filter(met, lambda s: (s + offset >= 0) & (phrase(s) == key))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, base, hits): base phrase places and template hits of every whole text.
 
     base: array<struct<start, label>>, by start. hits: array<struct<label, at, agree, share>>: the template would begin at
-    word ``at``, ``agree`` of all its words stand where it has them, ``share`` is that of ENOUGH words, 1 at most. A hit
-    needs AGREE words in place and its key phrase at its place. So each place of the key phrase's rarest word is looked at,
-    in every text and for every template, whatever other words the text has. Null is taken as empty; an empty text has no
-    words. Repeated rows are repeated; other columns aren't read.
-    """
-    vocabulary = rarity(docs, templates, text_col)
-    # each template is posted once: under the rarest word of its key phrase, with that word's place in the template
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, key) in enumerate(templates):
-        rarest = min(key.split(), key=vocabulary.index)
-        postings.setdefault(rarest, []).append((t, _offset(text, key) + key.split().index(rarest)))
-    texts = docs.select(F.col(id_col).alias("doc_id"), _lower(F.col(text_col).cast("string")).alias("text"))
-    # a phrase's rarest word is looked for first, as that is cheap
-    has = lambda phrases: _any([F.contains("text", F.lit(min(p.split(), key=vocabulary.index) if set(p.split()) <= set(vocabulary) else max(p.split(), key=len))) & F.col("text").rlike(_phrase(p)) for p in phrases])
-    texts = texts.withColumn("has_base", has([p for p, _ in PHRASES])).withColumn("has_key", has([k for _, _, k in templates]))
-    texts = texts.withColumn("words", F.when(F.col("has_base") | F.col("has_key"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    count = F.coalesce(F.size("words"), F.lit(-1))
-    texts = texts.withColumn("n_words", F.when(count >= 0, count).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long"))
-
-    none = F.array().cast("array<struct<start:int,label:string>>")
-    found = F.concat(*(_labelled(F.col("words"), p, label) for p, label in PHRASES))
-    texts = texts.withColumn("base", F.when(F.col("has_base"), F.array_sort(found)).otherwise(none))
-
-    no_hits = F.array().cast("array<struct<label:string,at:int,agree:int,share:double>>")
-    index = F.create_map(*(x for w, posted in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in posted)))))
-
-    def hits(words: Column) -> Column:
-        posted = F.transform(words, lambda w, i: F.transform(F.try_element_at(index, w), lambda p: F.struct(p["t"].alias("t"), (i - p["i"]).cast("int").alias("at"))))
-        candidates = F.flatten(F.filter(posted, lambda p: p.isNotNull()))
-        labels = F.array(*(F.lit(label) for label, _, _ in templates))
-        sizes = F.array(*(F.lit(min(ENOUGH, len(text.split()))) for _, text, _ in templates))
-        bodies = F.array(*(F.array(*map(F.lit, text.split())) for _, text, _ in templates))
-        keys = F.array(*(F.lit(key) for _, _, key in templates))
-        offsets = F.array(*(F.lit(_offset(text, key)) for _, text, key in templates))
-        lengths = F.array(*(F.lit(len(key.split())) for _, _, key in templates))
-        at = lambda a, s: F.element_at(a, s["t"] + 1)
-        start = lambda s: s["at"] + at(offsets, s)
-        held = F.filter(candidates, lambda s: F.when(start(s) >= 0, F.array_join(F.slice(words, F.greatest(start(s), F.lit(0)) + 1, at(lengths, s)), " ") == at(keys, s)).otherwise(F.lit(False)))
-        in_place = lambda s: F.size(F.filter(F.transform(at(bodies, s), lambda w, i: F.when(s["at"] + i >= 0, F.get(words, s["at"] + i) == w)), lambda same: same))
-        counted = F.filter(F.transform(held, lambda s: F.struct(s["t"].alias("t"), s["at"].alias("at"), in_place(s).alias("agree"))), lambda s: s["agree"] >= AGREE)
-        ordered = F.array_sort(counted)
-        return F.transform(ordered, lambda s: F.struct(at(labels, s).alias("label"), s["at"].alias("at"), s["agree"].alias("agree"), F.least(F.lit(1.0), s["agree"] / at(sizes, s)).alias("share")))
-
-    texts = texts.withColumn("hits", F.when(F.col("has_key"), hits(F.col("words"))).otherwise(no_hits))
-    return texts.select("doc_id", "n_words", "base", "hits")
-
-
-def _labelled(words: Column, phrase: str, label: str) -> Column:
-    return F.transform(places(words, phrase), lambda i: F.struct(i.cast("int").alias("start"), F.lit(label).alias("label")))
+    word ``at`` (negative where the file begins within it), ``agree`` of all its words stand where it has them, ``share`` is
+    that of ENOUGH words, 1 at most. Base phrases are templates that consist of their key phrase.
 
+    All files are looked up: of each file's words those of the index are taken, which are the rarest PROBES words of every
+    template's own key phrase, so that one template's words can't displace another's. A template is a candidate of a file
+    that has all its index words; their places are intersected by relative position, the whole key phrase is verified, and
+    the rest of the template is counted word by word. As the key phrase is mandatory, nothing that has it is lost, whatever
+    other words the file has or lacks. Every place is a hit of its own; ties in rarity go by the alphabet.
 
-def _offset(text: str, key: str) -> int:
-    words, part = text.split(), key.split()
-    return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+    Null is taken as empty; an empty text has no words. Texts may be of any length. Repeated rows are repeated; an empty
+    table gives an empty one; other columns aren't read.
+    """
+    every = [(label, phrase, phrase) for phrase, label in PHRASES] + list(templates)
+    rank = rarity(docs, sorted({w for _, _, key in every for w in key.split()}), text_col)
+    index = postings(every, rank)
+    lookup = F.lit(sorted({w for posted in index for w, _ in posted}))
+    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
+    first = (F.get("words", F.lit(0)) == "").cast("int")
+    last = ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    texts = texts.select("doc_id", "words", first.alias("lead"), (F.size("words") - first - last).cast("long").alias("n_words"), F.array_intersect("words", lookup).alias("own"))
+
+    def found(t: int) -> Column:
+        _, text, key = every[t]
+        has = _all([F.array_contains("own", w) for w, _ in index[t]])
+        return F.when(has, _starts(F.col("words"), index[t], text, key)).otherwise(F.array().cast("array<int>"))
+
+    def places(t: int, label: str) -> Column:
+        return F.transform(found(t), lambda s: F.struct((s - F.col("lead")).alias("start"), F.lit(label).alias("label")))
+
+    base = F.concat(*(places(t, label) for t, (_, label) in enumerate(PHRASES)))
+
+    def hits(t: int) -> Column:
+        label, text, _ = every[t]
+        body = text.split()
+        agree = lambda s: F.size(F.filter(F.transform(F.lit(body), lambda w, i: F.get("words", s + i) == w), lambda same: same))
+        counted = F.transform(found(t), lambda s: F.struct(F.lit(label).alias("label"), (s - F.col("lead")).alias("at"), agree(s).alias("agree")))
+        return F.transform(counted, lambda h: F.struct(h["label"].alias("label"), h["at"].alias("at"), h["agree"].alias("agree"), F.least(F.lit(1.0), h["agree"] / F.lit(min(ENOUGH, len(body)))).alias("share")))
+
+    return texts.select("doc_id", "n_words", F.array_sort(base).alias("base"), F.array_sort(F.concat(*map(hits, range(len(PHRASES), len(every))))).alias("hits"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
