@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import buckets_for, range_bucket
+from .store import settle
+from .token_shards import sequences
 
 #: Tokens of a sequence and of a padded batch at most, and buckets at most.
 LONGEST, BUDGET, BUCKETS = 4096, 65536, 16
 
 
-def byte_tokens(text: Column) -> Column:
-    """Tokens of a byte-level model: one a UTF-8 byte."""
-    return F.coalesce(F.octet_length(text), F.lit(0))
-
-
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     """The upper ends of at most ``buckets`` ranges of lengths that give the least padding.
 
@@ -48,25 +45,29 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     return sorted(out)
 
 
-def packed(docs: DataFrame, length: Column | None = None, longest: int = LONGEST, budget: int = BUDGET, buckets: int = BUCKETS, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, n_tokens, bucket, width, batch, place, padding): where each sequence goes.
+def packed(docs: DataFrame, tokenizer: str, longest: int = LONGEST, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, piece, n_tokens, bucket, width, batch, place, padding, tokens): the sequences in their batches.
 
+    Texts are encoded with the vocabulary at ``tokenizer`` and ``tokens`` has a sequence's ids, as little-endian numbers of
+    two bytes (four where the vocabulary needs them) without padding; ``padding`` is what fills it up to its bucket's width.
     A text of more than ``longest`` tokens is cut into pieces, so nothing is dropped and the histogram has at most
     ``longest`` rows, whatever the input. A batch of a bucket holds budget // width sequences, the last one of a bucket the
     rest. Sequences of a bucket are numbered by (doc_id, piece) within ranges of the id and counts before each range, so a
-    bucket that has most of the rows isn't one task. Null and empty texts have no sequence. Repeated rows are packed each by
-    itself; ids that are null come first. An empty table gives an empty one. Only the id and the text are read.
+    bucket that has most of the rows isn't one task, and batches stand together in the output. Ids are computed once and
+    kept in the shared folder, and moved once.
+
+    Null and empty texts have no sequence. Repeated rows are packed each by itself; rows without an id come first, dealt by
+    a hash. Equal lengths are in one bucket, and equal costs of two splits take the longer last bucket. An empty table gives
+    an empty one. Only ``doc_id`` and ``text`` are read.
     """
-    n = length if length is not None else byte_tokens(F.col("text").cast("string"))
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(longest)))).alias("piece"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int").alias("n_tokens"))
-    histogram = {r["n_tokens"]: r["rows"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("rows")).collect()}
+    made = settle(sequences(docs, tokenizer, longest, pad=False), "sequences")
+    histogram = {r["n_tokens"]: r["rows"] for r in made.groupBy("n_tokens").agg(F.count("*").alias("rows")).collect()}
     ends = boundaries(histogram, buckets)
     # the bucket of each length, one entry a length
     of = np.searchsorted(ends, np.arange(longest + 1)) if ends else np.zeros(longest + 1, int)
     bucket = F.element_at(F.split(F.lit(",".join(map(str, of.tolist()))), ",").cast("array<int>"), F.col("n_tokens") + 1)
-    ranged = pieces.withColumn("bucket", bucket).withColumn("range", range_bucket(sized, "doc_id", buckets_for(docs)))
+    tied = made.withColumn("tie", F.when(F.col("doc_id").isNull(), F.xxhash64("row")))
+    ranged = tied.withColumn("bucket", bucket).withColumn("range", range_bucket(tied.where("seq_no = 0"), "doc_id", buckets_for(docs), "tie"))
     counts = {(r["bucket"], r["range"]): r["rows"] for r in ranged.groupBy("bucket", "range").agg(F.count("*").alias("rows")).collect()}
     top = max((r for _, r in counts), default=0) + 1
     start = [[0] * top for _ in range(max(1, len(ends)))]
@@ -74,9 +75,9 @@ def packed(docs: DataFrame, length: Column | None = None, longest: int = LONGEST
         for r in range(1, top):
             row[r] = row[r - 1] + counts.get((b, r - 1), 0)
     flat = F.split(F.lit(",".join(str(x) for row in start for x in row)), ",").cast("array<bigint>")
-    own = F.row_number().over(Window.partitionBy("bucket", "range").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "n_tokens"))
+    own = F.row_number().over(Window.partitionBy("bucket", "range").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "row", "seq_no"))
     numbered = ranged.withColumn("number", F.element_at(flat, F.col("bucket") * top + F.col("range") + 1) + own - 1)
-    width = F.element_at(F.lit(ends or [1]), F.col("bucket") + 1)
-    numbered = numbered.withColumn("width", width)
+    numbered = numbered.withColumn("width", F.element_at(F.lit(ends or [1]), F.col("bucket") + 1))
     each = F.greatest(F.lit(1), F.call_function("div", F.lit(budget).cast("long"), F.col("width")))
-    return numbered.select("doc_id", "piece", "n_tokens", "bucket", "width", F.call_function("div", F.col("number"), each).alias("batch"), (F.col("number") % each).cast("int").alias("place"), (F.col("width") - F.col("n_tokens")).alias("padding"))
+    batch, place = F.call_function("div", F.col("number"), each), (F.col("number") % each).cast("int")
+    return numbered.select("doc_id", F.col("seq_no").alias("piece"), "n_tokens", "bucket", "width", batch.alias("batch"), place.alias("place"), (F.col("width") - F.col("n_tokens")).alias("padding"), "tokens")

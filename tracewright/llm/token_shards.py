@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
@@ -47,24 +50,24 @@ def permuted(x: Column, n: int, key: str = KEY, rounds: int = ROUNDS) -> Column:
     return F.when(out < n, out).otherwise(F.raise_error(F.lit("the permutation's walk didn't end")).cast("long"))
 
 
-def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, pad: bool = True) -> DataFrame:
     """(doc_id, row, seqs, seq_no, n_tokens, tokens): each text's ids in pieces of ``length``, in a fixed stride of bytes.
 
-    The last piece is padded with the end-of-text id. Null and empty texts have no sequence. ``row`` tells the rows of one
-    id apart and ``seqs`` is their number of sequences.
+    The last piece is padded with the end-of-text id, if ``pad``. Null and empty texts have no sequence. ``row`` tells the
+    rows of one id apart and ``seqs`` is their number of sequences.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("seqs", pa.int32()), ("seq_no", pa.int32()), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
         pairs = byte_pairs(tokenizer)
-        pad = next(iter(pairs.special.values()), max(pairs.ranks.values()) + 1)
+        filler = next(iter(pairs.special.values()), max(pairs.ranks.values()) + 1)
         for batch in batches:
             for part in vec.slices(batch, "text"):
                 rows = []
                 for doc, row, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), pairs.ids(part.column(1).fill_null("").to_pylist()), strict=True):
                     for i in range(0, len(ids), length):
                         own = ids[i : i + length]
-                        rows.append((doc, row, -(-len(ids) // length), i // length, len(own), np.pad(own, (0, length - len(own)), constant_values=pad).tobytes()))
+                        rows.append((doc, row, -(-len(ids) // length), i // length, len(own), (np.pad(own, (0, length - len(own)), constant_values=filler) if pad else own).tobytes()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -77,9 +80,11 @@ def training_shards(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, per
 
     Sequences are numbered by (doc_id, seq_no); the permutation turns the number into the slot. Shard s holds the slots
     from s * per_shard on, and a sequence starts at byte ``offset`` of its shard, so a reader that stopped at a slot goes
-    on at slot // per_shard and offset without a look at other shards. Written as it is, each output file is a run of whole
-    shards. Repeated rows are sequences of their own; an empty table has no slots. Ids are computed once and kept in the
-    shared folder, so lost executors don't change a slot.
+    on at slot // per_shard and offset without a look at other shards. Each partition is a run of whole shards, which
+    ``write_shards`` writes as files. Null and empty texts have no sequence. Repeated rows are sequences of their own, one
+    after another, as are rows of one id; those without an id come first. An empty table has no slots. Texts may be of any
+    length. Only ``doc_id`` and ``text`` are read. Ids are computed once and kept in the shared folder, so lost executors
+    don't change a slot.
     """
     made = settle(sequences(docs, tokenizer, length), "sequences")
     first, n = with_offsets(made.where("seq_no = 0").select("doc_id", "row", "seqs"), "doc_id", "seqs", "before", ("row",))
@@ -97,3 +102,107 @@ def training_shards(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, per
     placed = placed.repartitionById(parts, F.col("_part")).sortWithinPartitions("slot")
     stride = F.floor(F.octet_length("tokens")).cast("long")
     return placed.select("slot", "shard", ((F.col("slot") - F.col("shard") * per_shard) * stride).alias("offset"), "doc_id", "seq_no", "n_tokens", "tokens")
+
+
+def _opened(path: str):
+    """(file system, folder) of a local path or of a URI that Arrow can open on every host."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _shard_name(shard: int) -> str:
+    return f"shard-{shard:010d}.bin"
+
+
+def write_shards(placed: DataFrame, path: str, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
+    """(shard, first, rows, bytes): writes the rows of ``training_shards`` as one file a shard, and lists the shards.
+
+    A file is the sequences of its slots one after another, each of the same number of bytes, without header. Each task
+    writes the shards of its partition one by one, under a name of its own that becomes the shard's at its end; so a task
+    that is run again, or twice at once, leaves the same files. ``path`` has to be a folder that all hosts share. The list
+    is kept in ``path``/_shards and the sizes in ``path``/manifest.json, which is written last: without it the shards
+    aren't whole. An empty table has a manifest and no shards.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64())])
+
+    def run(batches):
+        files, root = _opened(path)
+        shard, out, name, first, rows, size = None, None, "", 0, 0, 0
+
+        def closed():
+            out.close()
+            files.move(name, f"{root}/{_shard_name(shard)}")
+            return pa.record_batch([pa.array([x], pa.int64()) for x in (shard, first, rows, size)], schema=schema)
+
+        for batch in batches:
+            for slot, own, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if own != shard:
+                    if out is not None:
+                        yield closed()
+                    shard, name, first, rows, size = own, f"{root}/.{_shard_name(own)}-{uuid.uuid4().hex}", slot, 0, 0
+                    out = files.open_output_stream(name)
+                if slot != shard * per_shard + rows:
+                    raise ValueError(f"slot {slot} isn't at its place in shard {shard}")
+                rows, size = rows + 1, size + len(tokens.as_buffer())
+                out.write(tokens.as_buffer())
+        if out is not None:
+            yield closed()
+
+    files, root = _opened(path)
+    files.create_dir(root, recursive=True)
+    placed.select("slot", "shard", "tokens").mapInArrow(run, "shard long, first long, rows long, bytes long").write.mode("overwrite").parquet(f"{path}/_shards")
+    shards = placed.sparkSession.read.parquet(f"{path}/_shards")
+    total = shards.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    stride = (total["bytes"] or 0) // max(total["rows"] or 0, 1)
+    with files.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps({"slots": total["rows"] or 0, "stride": stride, "length": length, "per_shard": per_shard, "key": key}).encode())
+    return shards
+
+
+def manifest(path: str) -> dict:
+    files, root = _opened(path)
+    with files.open_input_stream(f"{root}/manifest.json") as f:
+        return json.loads(f.read())
+
+
+def read_from(path: str, slot: int = 0, at_once: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from a slot on, in order: one seek in the first shard, and sequential reads from there.
+
+    A reader that was stopped goes on at the slot after its last one. ``at_once`` sequences are in memory. A slot past the
+    end gives nothing.
+    """
+    of = manifest(path)
+    files, root = _opened(path)
+    kind = np.dtype(f"<u{of['stride'] // of['length']}") if of["slots"] else None
+    while slot < of["slots"]:
+        shard = slot // of["per_shard"]
+        with files.open_input_file(f"{root}/{_shard_name(shard)}") as f:
+            f.seek((slot - shard * of["per_shard"]) * of["stride"])
+            while data := f.read(at_once * of["stride"]):
+                for row in np.frombuffer(data, kind).reshape(-1, of["length"]):
+                    yield slot, row
+                    slot += 1
+
+
+def read_shards(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
+    """(slot, tokens) of all sequences from a slot on, each task reading shards of its own; sorted by slot within a shard."""
+    of = manifest(path)
+    stride, per_shard = of["stride"], of["per_shard"]
+    schema = pa.schema([("slot", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches):
+        files, root = _opened(path)
+        for batch in batches:
+            for shard, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                begin = max(slot, shard * per_shard)
+                with files.open_input_file(f"{root}/{_shard_name(shard)}") as f:
+                    f.seek((begin - shard * per_shard) * stride)
+                    while begin < shard * per_shard + rows:
+                        data = f.read(256 * stride)
+                        n = len(data) // stride
+                        yield pa.record_batch([pa.array(range(begin, begin + n), pa.int64()), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())], schema=schema)
+                        begin += n
+
+    shards = spark.read.parquet(f"{path}/_shards").where(F.col("first") + F.col("rows") > slot)
+    return shards.select("shard", "rows").repartition("shard").mapInArrow(run, "slot long, tokens binary")
