@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .store import settle
 
 #: Lengths of n-grams; a word's ends count as one character.
 SIZES = (2, 3, 4)
-#: Slots, and slots of one n-gram. One 64-bit mask a slot and 64 languages: 8 MB, whatever the corpus.
+#: Slots, and slots of one n-gram. A slot has one 64-bit mask for each 64 languages: 8 MB, whatever the corpus.
 SLOTS, HASHES = 1 << 20, 3
-#: Documents learned from, about; twice as many at most.
+#: Different texts learned from, about.
 SAMPLE = 20_000
 #: An n-gram belongs to a language in which it is seen so often, and no rarer than this share of where it is commonest.
 LEAST_SEEN, SHARE = 3, 0.25
@@ -76,34 +77,43 @@ def held_out(id_col: str = "doc_id"):
 
 
 class Filter:
-    """The masks and languages; a language's bit in all slots of an n-gram says that the n-gram may be its own."""
+    """The masks and languages; a language's bit in all slots of an n-gram says that the n-gram may be its own.
 
-    def __init__(self, languages: list[str], masks: np.ndarray):
+    ``masks`` has one array over the slots for each 64 languages.
+    """
+
+    def __init__(self, languages: list[str], masks: list[np.ndarray]):
         self.languages, self.masks = languages, masks
-        full = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(languages))]) / SLOTS
+        full = np.array([np.count_nonzero(masks[i // 64] & np.uint64(1 << i % 64)) for i in range(len(languages))]) / SLOTS
         self.false = full**HASHES
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n-grams of each text in each language, without what false positives give; n-grams of each text; its letters)."""
         names, of, letters = grams(column)
         n = len(letters)
-        mask = np.full(len(names), np.uint64(2**64 - 1))
-        for at in slots_of(names):
-            mask &= self.masks[at]
+        slots = slots_of(names)
         total = np.bincount(of, minlength=n).astype(float)
-        hits = np.stack([np.bincount(of, weights=(mask >> np.uint64(i)) & np.uint64(1), minlength=n) for i in range(len(self.languages))], 1) if self.languages else np.zeros((n, 0))
+        hits = np.zeros((n, len(self.languages)))
+        for word, masks in enumerate(self.masks):
+            mask = np.full(len(names), np.uint64(2**64 - 1))
+            for at in slots:
+                mask &= masks[at]
+            for i in range(64 * word, min(64 * word + 64, len(self.languages))):
+                hits[:, i] = np.bincount(of, weights=(mask >> np.uint64(i % 64)) & np.uint64(1), minlength=n)
         return np.clip((hits - total[:, None] * self.false) / (1 - self.false), 0, None), total, letters
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
     """A filter from rows (doc_id, text, lang); rows without a language aren't learned from.
 
-    About ``sample`` rows are taken by a hash of their id, ``2 * sample`` at most. N-grams are counted by Spark; what comes
-    to the driver is one mask for each slot that isn't empty. At most 64 languages, the commonest, are told apart.
+    About ``sample`` different texts are taken by a hash of the text, so that copies are learned once. N-grams are counted by
+    Spark; what comes to the driver is one mask for each slot that isn't empty and each 64 languages. All languages of the
+    sample are told apart, the most seen first.
     """
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
     n = max(rows.count(), 1)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < min(1 << 20, math.ceil((1 << 20) * sample / n))).limit(2 * sample)
+    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 20)) < min(1 << 20, math.ceil((1 << 20) * sample / n)))
+    rows = rows.groupBy(F.xxhash64("text").alias("name"), "lang").agg(F.min("text").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("seen", pa.int64())])
 
     def run(batches):
@@ -116,28 +126,25 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
                     yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(seen.astype(np.int64))], schema=schema)
 
     counted = rows.select("text", "lang").mapInArrow(run, "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
-    from .store import settle
-
     counted = settle(counted, "grams")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     languages = list(totals)
-    masks = np.zeros(SLOTS, np.uint64)
+    masks = [np.zeros(SLOTS, np.uint64) for _ in range(-(-len(languages) // 64))]
     if languages:
         place = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
         size = F.create_map(*(F.lit(x) for lang in languages for x in (lang, float(totals[lang]))))
-        rate = counted.where(F.col("lang").isin(languages)).select("gram", "seen", F.try_element_at(place, F.col("lang")).alias("bit"), (F.col("seen") / F.try_element_at(size, F.col("lang"))).alias("rate"))
+        rate = counted.select("gram", "seen", F.try_element_at(place, F.col("lang")).alias("bit"), (F.col("seen") / F.try_element_at(size, F.col("lang"))).alias("rate"))
         best = rate.groupBy("gram").agg(F.max("rate").alias("best"))
-        own = rate.join(best, "gram").where((F.col("seen") >= LEAST_SEEN) & (F.col("rate") >= SHARE * F.col("best"))).groupBy("gram").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
-        slot_schema = pa.schema([("slot", pa.int64()), ("mask", pa.int64())])
+        own = rate.join(best, "gram").where((F.col("seen") >= LEAST_SEEN) & (F.col("rate") >= SHARE * F.col("best"))).groupBy("gram", F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("mask"))
+        slot_schema = pa.schema([("slot", pa.int64()), ("word", pa.int64()), ("mask", pa.int64())])
 
         def slotted(batches):
             for batch in batches:
-                mask = np.asarray(batch.column(1))
                 for at in slots_of(np.asarray(batch.column(0)).view(np.uint64)):
-                    yield pa.record_batch([pa.array(at), pa.array(mask)], schema=slot_schema)
+                    yield pa.record_batch([pa.array(at), batch.column(1), batch.column(2)], schema=slot_schema)
 
-        for r in own.mapInArrow(slotted, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-            masks[r["slot"]] = np.uint64(r["mask"] % 2**64)
+        for r in own.mapInArrow(slotted, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+            masks[r["word"]][r["slot"]] = np.uint64(r["mask"] % 2**64)
     return Filter(languages, masks)
 
 
@@ -153,8 +160,9 @@ def _predicted(model: Filter, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every whole text; the score is the share of n-grams that are the language's.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is everything when nothing was learned. Repeated
-    rows are repeated; only the id and the text are read.
+    Null texts and texts without a letter are ``und`` with score 0, and so is everything when nothing was learned. Of
+    languages that have the same count the one that was seen more is taken, then the first by name. Texts may be of any
+    length. Repeated rows are repeated; an empty table gives an empty one; only the id and the text are read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -182,11 +190,13 @@ def floor_of(held: DataFrame, model: Filter) -> float:
     return FLOOR * seen["low"] if seen["n"] >= LEAST_MEASURED else 0.0
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language: its best score reaches the measured floor.
 
-    Texts that are null or have no letter go. Where nothing was learned there is no verdict, and every text with a letter
-    stays; so it does where the held-out texts are too few to measure a floor.
+    With ``wanted``, the predicted language has to be one of these as well. Texts that are null or have no letter go. Where
+    nothing was learned there is no verdict, and every text with a letter stays; where the held-out texts are too few to
+    measure a floor, none goes by its score. Repeated rows are judged alike, ties as in ``predict``; texts may be of any
+    length; an empty table gives an empty one.
     """
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
     floor = floor_of(docs.where(held_out()).select("doc_id", "text", "lang"), model) if model.languages else 0.0
@@ -198,7 +208,7 @@ def identified(docs: DataFrame) -> DataFrame:
             for part in vec.slices(batch, "text"):
                 if sent.value.languages:
                     lang, score = _predicted(sent.value, part.column(at))
-                    stays = [x != NONE and y >= floor for x, y in zip(lang, score.tolist(), strict=True)]
+                    stays = [x != NONE and y >= floor and (wanted is None or x in wanted) for x, y in zip(lang, score.tolist(), strict=True)]
                 else:
                     stays = grams(part.column(at))[2] > 0
                 yield part.filter(pa.array(stays, pa.bool_()))

@@ -46,10 +46,12 @@ def numbers(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
 def identifiers(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """(value, random = false): words of a sample of about ``most`` documents, alone and joined as identifiers are.
 
-    The sample is by a hash of the id, so it is the same at every run; ``2 * most`` rows at most.
+    The sample is by a hash of the text and has equal texts once, so it is the same at every run and no group of copies is
+    all of it.
     """
     rows = max(docs.count(), 1)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("identifiers")), F.lit(1_000_000)) < min(1_000_000, math.ceil(1e6 * most / rows))).limit(2 * most)
+    sample = docs.where("text is not null").where(F.pmod(F.xxhash64("text", F.lit("identifiers")), F.lit(1_000_000)) < min(1_000_000, math.ceil(1e6 * most / rows)))
+    sample = sample.groupBy(F.xxhash64("text").alias("name")).agg(F.min("text").alias("text"))
     words = sample.select(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_-]+"), lambda w: F.char_length(w).between(2, 15)).alias("words"))
     pairs = words.select("words", F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("x")).alias("b"))).alias("pairs"))
     pair = pairs.select(F.explode("pairs").alias("p")).select(F.explode(F.array("p.a", F.concat_ws("_", "p.a", "p.b"), F.concat_ws("-", "p.a", "p.b"), F.concat("p.a", F.initcap("p.b")), F.concat(F.initcap("p.a"), F.initcap("p.b")))).alias("value"))
@@ -90,8 +92,9 @@ def scan(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: s
     """(doc_id, found): the secrets of every whole text, array<struct<start, kind_no, end, kind>> in order.
 
     Places are code points, ends exclusive. Of the base forms every match stays, even where kinds overlap; strings that the
-    model finds are added where they touch no base span. Null is taken as an empty text, which has no secret. Repeated rows
-    are repeated; other columns aren't read.
+    model finds are added where they touch no base span; spans that begin at one place come in the order of the kinds. Null
+    is taken as an empty text, which has no secret. Texts may be of any length. Repeated rows are repeated; an empty table
+    gives an empty one; other columns aren't read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -116,7 +119,7 @@ def listed(found: Column) -> Column:
 def secrets(docs: DataFrame) -> DataFrame:
     """The digest of ``scan`` over documents, with a model trained from seeded random strings and the documents' own words."""
     spark = docs.sparkSession
-    model = train(random_strings(spark).union(numbers(spark)).union(identifiers(docs.select("doc_id", "text"))))
+    model = train(random_strings(spark).union(numbers(spark)).union(identifiers(docs)))
     out = scan(docs, model)
     base = F.filter("found", lambda s: s["kind_no"] < 3)
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind_no"] == KINDS[kind])).cast("long").alias(f"n_{kind}")
