@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .spans import let, replaced
 
-KEY = "pseudonyms-1"
 ROUNDS = 8
 
 #: English months, in full or short, and the calling codes of one or two digits; all others have three.
@@ -28,8 +27,10 @@ FORMS = {
     "card": r"(?<![\w-])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
-#: Dates are days of this range; it has DAYS[0] * DAYS[1] of them.
-FIRST_DAY, DAYS = "1900-01-01", (271, 270)
+#: Days are permuted among those of their own span, so that days of our time stay such. Together the spans are all days
+#: of the years 1 to 9999: (first day, a, b) with a * b days each, counted from 1900-01-01.
+FIRST_DAY = "1900-01-01"
+SPANS = ((-693_595, 833, 832), (-539, 49, 11), (0, 271, 270), (73_170, 1699, 1698), (2_958_072, 28, 14))
 
 
 def feistel(x: Column, a: Column | int, b: Column | int, key: str, tweak: str) -> Column:
@@ -140,10 +141,10 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _day(date: Column, write, m: Column, key: str) -> Column:
-    """The day is permuted over the range; what isn't a day of it stays."""
-    n = F.datediff(date, F.lit(FIRST_DAY).cast("date")).cast("long")
-    inside = date.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1)
-    return F.when(inside, let(F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(n, *DAYS, key, "date").cast("int")), write)).otherwise(m)
+    """The day is permuted within its span; what isn't a day stays."""
+    span = F.filter(F.array(*(F.struct(F.lit(first).cast("long").alias("first"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for first, a, b in SPANS)), lambda s: s["first"] <= F.datediff(date, F.lit(FIRST_DAY).cast("date")))
+    moved = let(F.element_at(span, -1), lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["first"] + feistel(F.datediff(date, F.lit(FIRST_DAY).cast("date")).cast("long") - s["first"], s["a"], s["b"], key, "date")).cast("int")))
+    return F.when(date.isNotNull(), let(moved, write)).otherwise(m)
 
 
 def _iso(m: Column, key: str) -> Column:
@@ -187,7 +188,7 @@ def _email(m: Column, key: str) -> Column:
 _CHANGES = {"email": _email, "ip": _ip, "ssn": _ssn, "iso_date": _iso, "date": _numeric_date, "phone": _phone, "plain_phone": _phone, "abroad": _abroad, "named_date": _named_date, "card": _card}
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """What stands for one match of ``ANY``; a match that isn't valid stays as it is."""
     out = m
     for kind in reversed(list(FORMS)):
@@ -195,18 +196,20 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal numbers, dates and addresses of every whole text replaced; equal values get equal pseudonyms.
 
-    Cards with a right check digit, telephone and social-security numbers, IPv4 addresses and days from 1900 on keep
-    their format and stay valid; e-mail addresses get a keyed name. Null and empty texts stay. All rows and columns are
-    kept, ``n_chars`` too, which is set to the new length where it is there.
+    Cards with a right check digit, telephone and social-security numbers, IPv4 addresses and days of the years 1 to 9999
+    keep their format and stay valid; e-mail addresses get a keyed name. Who has ``key`` can turn a pseudonym back, so it
+    is the caller's to keep. Of forms that begin at one place the first of FORMS is taken. Null and empty texts stay, texts
+    may be of any length, repeated rows get the same text. All rows and columns are kept, ``n_chars`` too, which is set to
+    the new length where it is there. An empty table gives an empty one.
     """
     out = docs.withColumn(text_col, replaced(F.col(text_col), ANY, lambda m: pseudonym(m, key)))
     return out.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, changed) of every document."""
     out = pseudonymised(docs.select("doc_id", "text", F.col("text").alias("before")), key)
     return out.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, imatch, jaccard, langid, licenses, packing, pii, secrets, token_counts, token_shards
 
-#: The vocabulary that the queries use; operators take a path.
+#: The vocabulary and the key that the queries use; operators take both as parameters.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PSEUDONYM_KEY = "pseudonyms-1"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +41,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(documents(spark, sf_dir))
+    return pii.report(documents(spark, sf_dir), PSEUDONYM_KEY)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir))
+    return packing.packed(documents(spark, sf_dir), VOCABULARY)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
