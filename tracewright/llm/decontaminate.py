@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
+from .store import settle
 
-#: Words of a tile at least, and share of an item's words under tiles from which a document counts as contaminated.
+#: Words of a tile at least (all of an item that has fewer), and share of an item's words under tiles from which a document counts as contaminated.
 LEAST, COVERAGE = 5, 0.6
 #: Words of all items together (8 bytes each) up to which items are broadcast; beyond that seeds are joined by a shuffle.
 BROADCAST_WORDS = 4_000_000
@@ -101,29 +102,33 @@ class Items:
     """The items, with their seeds in one sorted array."""
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
-        self.rows = [(i, w) for i, w in rows if len(w) >= LEAST]
-        own = [np.unique(seeds(w)) for _, w in self.rows]
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(own)), [len(s) for s in own]) if own else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.of = flat[order], of[order]
+        self.rows = [(i, w) for i, w in rows if len(w)]
+        self.by_size = {}
+        for size in sorted({min(LEAST, len(w)) for _, w in self.rows}):
+            own = [np.unique(seeds(w, size)) if min(LEAST, len(w)) == size else np.zeros(0, np.uint64) for _, w in self.rows]
+            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
+            order = np.argsort(flat, kind="stable")
+            self.by_size[size] = flat[order], of[order]
 
     def met(self, words: np.ndarray) -> np.ndarray:
         """Items that share a seed with a text."""
-        own = seeds(words)
-        if not len(own) or not len(self.seeds):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.seeds, own), len(self.seeds) - 1)
-        hit = np.unique(own[self.seeds[at] == own])
-        low, high = np.searchsorted(self.seeds, hit), np.searchsorted(self.seeds, hit, side="right")
-        return np.unique(np.concatenate([self.of[a:b] for a, b in zip(low, high, strict=True)])) if len(hit) else np.zeros(0, np.int64)
+        out = [np.zeros(0, np.int64)]
+        for size, (known, of) in self.by_size.items():
+            own = seeds(words, size)
+            if not len(own):
+                continue
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = np.unique(own[known[at] == own])
+            low, high = np.searchsorted(known, hit), np.searchsorted(known, hit, side="right")
+            out += [of[a:b] for a, b in zip(low, high, strict=True)]
+        return np.unique(np.concatenate(out))
 
 
 FOUND = "doc_id long, item_id long, n_item_words int, n_matched int, coverage double, tiles array<struct<doc_word:int,item_word:int,size:int>>"
 
 
 def _result(doc_id, item_id, doc: np.ndarray, item: np.ndarray) -> dict:
-    found = tiles(doc, item)
+    found = tiles(doc, item, min(LEAST, len(item)))  # an item of fewer words is looked for as a whole
     matched = sum(t[2] for t in found)
     return {"doc_id": doc_id, "item_id": item_id, "n_item_words": len(item), "n_matched": matched, "coverage": matched / len(item), "tiles": [{"doc_word": a, "item_word": b, "size": n} for a, b, n in found]}
 
@@ -145,13 +150,14 @@ def _small(benchmark: DataFrame) -> Items | None:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, n_item_words, n_matched, coverage, tiles) of documents and items over the threshold.
 
-    Null and empty texts and items, and items of fewer than five words, match nothing. Whole texts are tiled. Rows of equal
-    id and text give equal rows; equal items are found one by one. Empty tables give an empty one. Of documents only the id
-    and ``text`` are read, of the benchmark ``item_id`` and ``text``.
+    Null and empty texts and items match nothing; an item of fewer than five words has to stand there as a whole. Whole
+    texts are tiled, tiles of one length from the front of the item and of the document. Rows of equal id and text give
+    equal rows; equal items are found one by one. Empty tables, of documents or items, give an empty one. Of documents only
+    the id and ``text`` are read, of the benchmark ``item_id`` and ``text``.
     """
     items = _small(benchmark)
     if items is None:
-        return _by_shuffle(docs, benchmark, id_col).where(F.col("coverage") >= coverage)
+        return _by_shuffle(docs, benchmark, coverage, id_col).where(F.col("coverage") >= coverage)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -165,25 +171,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
-def _by_shuffle(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The same without a broadcast: seeds of documents are joined with seeds of items, then each pair's words."""
-    from .store import settle
+def _by_shuffle(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str = "doc_id") -> DataFrame:
+    """The same without a broadcast: seeds of documents are joined with seeds of items, then each pair's words.
 
+    A pair is tiled only if so many of the item's places have a shared seed as the coverage needs with the shortest tiles,
+    so a passage that all documents share brings no pair by itself unless it is most of an item. Seeds are counted before
+    the shuffle of pairs, and a seed that very many documents have is split over tasks by adaptive execution.
+    """
     words = settle(_hashed(docs, id_col, "doc_id").withColumn("row", F.monotonically_increasing_id()), "words")
     items = settle(_hashed(benchmark, "item_id", "item_id").withColumn("item_row", F.monotonically_increasing_id()), "items")
 
-    def of(df: DataFrame, row: str) -> DataFrame:
-        schema = pa.schema([(row, pa.int64()), ("seed", pa.int64())])
+    def of(df: DataFrame, row: str, whole: bool) -> DataFrame:
+        """Seeds of each size with their number of places; of an item, those of its own size only."""
+        schema = pa.schema([(row, pa.int64()), ("size", pa.int32()), ("seed", pa.int64()), ("places", pa.int32())])
 
         def run(batches):
             for batch in batches:
                 for row_id, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = np.unique(seeds(np.asarray(w.values).view(np.uint64))).view(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(own), row_id)), pa.array(own)], schema=schema)
-
-        return df.select(row, "words").mapInArrow(run, f"{row} long, seed long")
-
-    pairs = of(words, "row").join(of(items, "item_row"), "seed").select("row", "item_row").distinct()
+                    own = np.asarray(w.values).view(np.uint64)
+                    for size in range(1, LEAST + 1) if whole else [min(LEAST, len(own))] if len(own) else []:
+                        seed, n = np.unique(seeds(own, size), return_counts=True)
+                        yield pa.record_batch([pa.array(np.full(len(seed), row_id)), pa.array(np.full(len(seed), size, np.int32)), pa.array(seed.view(np.int64)), pa.array(n.astype(np.int32))], schema=schema)
+
+        return df.select(row, "words").mapInArrow(run, f"{row} long, size int, seed long, places int")
+
+    own = of(items, "item_row", False)
+    sizes = [r["size"] for r in own.select("size").distinct().collect()]  # at most LEAST of them
+    met = of(words, "row", True).where(F.col("size").isin(sizes)).drop("places").join(own, ["size", "seed"])
+    needed = items.select("item_row", F.size("words").alias("n"))
+    need = F.when(F.col("n") < LEAST, F.lit(1)).otherwise(F.ceil(F.lit(coverage) * F.col("n") / LEAST - F.lit(1e-9)))
+    pairs = met.groupBy("row", "item_row").agg(F.sum("places").alias("places")).join(needed, "item_row").where(F.col("places") >= need).select("row", "item_row")
     both = pairs.join(words, "row").join(items.withColumnRenamed("words", "item_words"), "item_row").select("doc_id", "words", "item_id", "item_words")
 
     def run(batches):
@@ -200,10 +217,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     items = _small(benchmark)
     if items is None:
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_all"))
-        from .store import settle
-
         rows = settle(rows, "rows")
-        bad = _by_shuffle(rows.select("_row", F.col("_all.text").alias("text")), benchmark, "_row").where(F.col("coverage") >= coverage).select(F.col("doc_id").alias("_row")).distinct()
+        bad = _by_shuffle(rows.select("_row", F.col("_all.text").alias("text")), benchmark, coverage, "_row").where(F.col("coverage") >= coverage).select(F.col("doc_id").alias("_row")).distinct()
         return rows.join(bad, "_row", "left_anti").select("_all.*")
     sent = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
