@@ -35,8 +35,11 @@ BLOCK = 20_000
 SLOTS = (1 << 20, 1 << 26)
 #: The sketch moves in parts of so many slots.
 PART = 1 << 16
-#: Bits of the filter for documents whose sets are compared; its false positives only cost time.
-FILTER_BITS = 1 << 24
+#: Bits of the filter for documents whose sets are compared: at least, at most, and for each document. Its false positives
+#: only cost time; where the most would be too few, documents are joined instead.
+FILTER_BITS = (1 << 20, 1 << 27, 8)
+#: Sizes are in one band up to this ratio where rows of large columns meet.
+BAND = 1.05
 
 
 def _floor_of(n, p: int, q: int):
@@ -217,15 +220,16 @@ def _products(p: int, q: int):
 
 
 def _members(bits, k: int):
-    """Rows (class, members) of the documents that the filter lets through."""
+    """Rows (class, members) of the documents that the filter lets through; of all without a filter."""
     schema = pa.schema([("class", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches):
-        bitmap = np.frombuffer(bits.value, np.uint8)
+        bitmap = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            ids = vec.mix(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) % np.uint64(FILTER_BITS)
-            hit = (bitmap[(ids >> np.uint64(3)).astype(np.int64)] >> (ids & np.uint64(7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            if bitmap is not None:
+                ids = vec.mix(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) % np.uint64(8 * len(bitmap))
+                hit = (bitmap[(ids >> np.uint64(3)).astype(np.int64)] >> (ids & np.uint64(7)).astype(np.uint8)) & 1
+                batch = batch.filter(pa.array(hit.astype(bool)))
             for _, sets in _sets(batch, k):
                 sets = [s for s in sets if len(s)]
                 if sets:
@@ -234,11 +238,15 @@ def _members(bits, k: int):
     return run
 
 
-def _filter_words(batches):
+def _filter_words(size: int):
     """Bit positions of documents, as (64-bit word, its bits)."""
-    for batch in batches:
-        at = np.unique(vec.mix(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) % np.uint64(FILTER_BITS))
-        yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(vec.mix(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) % np.uint64(size))
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    return run
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,11 +300,16 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
         # the home of a column is the component of most of its rows, so that as few rows as can be are strays
         home = rows.groupBy("column", "label").agg(F.count("*").alias("rows")).groupBy("column").agg(F.max_by("label", F.struct("rows", "label")).alias("home"))
         rows = rows.join(few, "class", "left").withColumn("few", F.coalesce("few", F.lit(0))).join(home, "column")
-        stray = rows.where("label != home").select("column", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("few").alias("fa"), F.col("pos").alias("pa"))
-        other = rows.select("column", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("few").alias("fb"), F.col("pos").alias("pb"), (F.col("label") != F.col("home")).alias("astray"))
+        # a row meets partners of such sizes only with which it can still reach the bound; the sizes are joined by bands
+        band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(BAND))).cast("int")
+        high = F.least(F.floor(F.col("n") * q / F.lit(p)), F.floor((F.col("few") + F.col("n") - F.col("pos")) * (p + q) / F.lit(p)) - F.col("n"))
+        bands = F.sequence(band(tail("n")), F.greatest(band(tail("n")), band(high)))
+        rows = rows.withColumn("high", high).where("high >= 1")
+        stray = rows.where("label != home").where(F.col("high") >= tail("n")).withColumn("band", F.explode(bands)).select("band", "column", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("few").alias("fa"), F.col("pos").alias("pa"))
+        other = rows.select(band(F.col("n")).alias("band"), "column", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("few").alias("fb"), F.col("pos").alias("pb"), (F.col("label") != F.col("home")).alias("astray"))
         # of the first large column that two sets share, what stands before it is small and what follows is at most the rest
         can = F.expr("la != lb and (not astray or a < b)") & fits & (F.least("fa", "fb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-        more = stray.alias("s").join(other.alias("o"), (F.col("s.column") == F.col("o.column")) & can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stray.alias("s").join(other.alias("o"), (F.col("s.column") == F.col("o.column")) & (F.col("s.band") == F.col("o.band")) & can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = settle(_verified(texts, reps, settle(more, "pairs"), k, p, q), "links")
         if not new.isEmpty():
             links = links.union(new)
@@ -305,14 +318,24 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
 
 
 def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """The pairs that link, with the exact overlap of their whole sets."""
+    """The pairs that link, with the exact overlap of their whole sets.
+
+    A hub is in many pairs; adaptive execution splits its partition, as both joins are inner ones by sorting.
+    """
     nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = nodes.join(reps, "class").select("doc_id", "class")
-    words = wanted.select("doc_id").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
-        bitmap[r["word"]] = r["bits"]
-    bits = texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    least, most, each = FILTER_BITS
+    size, n = least, wanted.count()
+    while size < min(most, each * n):
+        size *= 2
+    if 2 * size >= each * n:
+        words = wanted.select("doc_id").mapInArrow(_filter_words(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        bitmap = np.zeros(size // 64, np.int64)
+        for r in words.toLocalIterator():  # size / 64 rows at most
+            bitmap[r["word"]] = r["bits"]
+        bits = texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    else:
+        bits, texts = None, texts.join(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = texts.mapInArrow(_members(bits, k), "class long, members array<long>")
     sets = sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("members").alias("members"))
     sets = settle(sets, "members")

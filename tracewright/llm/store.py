@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local runs, tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on one host."""
     path = spark.conf.get(SETTING, None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{SETTING} has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(SETTING, path)
     return path.rstrip("/")

@@ -18,8 +18,8 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Counts are those of the vocabulary's own library without added tokens; special strings inside a text count as one token
     each, as the library takes them by default. Null and empty texts have no prefix: 0 bytes, 0 tokens, an empty array. A
-    text may be of any length; it is counted in one piece, with 4 bytes a character. Repeated rows are repeated; columns
-    other than the two named aren't read.
+    text may be of any length; it is counted in one piece, with 4 bytes a character. Repeated rows are repeated; an empty
+    table gives an empty one; columns other than the two named aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("counts", pa.list_(pa.int32()))])
 
