@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import decontaminate, imatch, jaccard, langid, licenses, packing, pii, secrets, token_counts, token_shards
 
 V = public_tokenizers.path("byte_bpe_50k.json")
-CLASHING = ("n", "class", "column", "row", "range", "bucket", "words", "spans", "base", "which", "term", "guest", "tokens", "number", "label", "next", "counts", "slot", "own_id", "kept_id", "found", "piece")
+CLASHING = ("n", "class", "column", "row", "range", "bucket", "words", "spans", "base", "which", "term", "guest", "tokens", "number", "label", "next", "counts", "slot", "own_id", "kept_id", "found", "piece", "tie", "mask", "lead", "own", "size", "seed", "width")
 
 #: name -> (operator over documents and benchmark, whether a row of documents gives a row)
 ROWWISE = {
@@ -15,12 +15,12 @@ ROWWISE = {
     "token_counts": (lambda d, b: token_counts.token_counts(d, V), True),
     "imatch": (lambda d, b: imatch.fingerprints(d), True),
     "langid": (lambda d, b: langid.languages(d), True),
-    "pseudonyms": (lambda d, b: pii.report(d), True),
+    "pseudonyms": (lambda d, b: pii.report(d, "key"), True),
     "licenses": (lambda d, b: licenses.licenses(d), True),
     "jaccard": (lambda d, b: jaccard.jaccard_components(d), True),
     "decontaminate": (lambda d, b: decontaminate.contaminated(d, b), False),
     "token_shards": (lambda d, b: token_shards.training_shards(d, V), False),
-    "packing": (lambda d, b: packing.packed(d), False),
+    "packing": (lambda d, b: packing.packed(d, V), False),
 }
 
 
@@ -43,7 +43,7 @@ def test_edges(spark, docs, empty, benchmark, name):
 
 @pytest.mark.parametrize("stage", ["identified", "one_of_each", "clean", "pseudonymised"])
 def test_stages_keep_columns(spark, docs, empty, benchmark, stage):
-    f = {"identified": langid.identified, "one_of_each": jaccard.one_of_each, "clean": lambda d: decontaminate.clean(d, benchmark), "pseudonymised": pii.pseudonymised}[stage]
+    f = {"identified": langid.identified, "one_of_each": jaccard.one_of_each, "clean": lambda d: decontaminate.clean(d, benchmark), "pseudonymised": lambda d: pii.pseudonymised(d, "key")}[stage]
     wide = clashing(docs)
     out = f(wide)
     assert out.columns == wide.columns

@@ -2,7 +2,12 @@
 
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tracewright.llm import bpe
+from tracewright.llm.queries import VOCABULARY
 
 
 def shingles(text, k=5):
@@ -44,5 +49,17 @@ def test_pipeline(spark, docs, benchmark, tmp_path):
     assert "555-0216" not in private.pop(71) and all(private[i] == kept[i] for i in private)
     sizes = {}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
-        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["n_tokens"]
-    assert sizes == {i: len(t.encode()) for i, t in kept.items()}
+        sizes.setdefault(r["doc_id"], {})[r["piece"]] = r["tokens"]
+    decoded = {i: bpe.byte_pairs(VOCABULARY).encoding.decode(np.frombuffer(b"".join(t for _, t in sorted(own.items())), "<u2").tolist()) for i, own in sizes.items()}
+    assert decoded.pop(71) == frames.where("doc_id = 71").first()["text"] and decoded == {i: kept[i] for i in private}
+
+
+def test_pipeline_without_documents_or_items(spark, docs, empty, benchmark, tmp_path):
+    """Empty tables, rows without an id and columns with clashing names."""
+    empty.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() == 0
+    docs.withColumns({c: F.lit("x") for c in ("n", "row", "class", "words", "tie", "bucket", "_row", "_all")}).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    benchmark.where("false").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "b")).collect()}
+    assert {None, 5, 7, 63} <= ids and not {60, 61, 62, 64, 65, 68} & ids
