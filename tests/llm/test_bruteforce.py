@@ -156,7 +156,7 @@ def spark_hash(value, seed=42):
 
 def plain_imatch(rows):
     """(doc_id, sha of the edited text, both fingerprints, both likenesses) of (doc_id, text) rows in their order."""
-    word = lambda t: sorted({spark_hash(w) >> 1 for w in regex.findall(r"\p{L}+", t.lower())})
+    word = lambda t: sorted({spark_hash(w) >> 2 for w in regex.findall(r"\p{L}+", t.lower())})
     sets = {tuple(word(t)) for _, t in rows} - {()}
     seen = collections.Counter(t for s in sets for t in s)
     band = {t for t, n in seen.items() if 2 <= n <= max(2, int(0.05 * len(sets)))}
@@ -165,7 +165,7 @@ def plain_imatch(rows):
         out = []
         for k in range(imatch.HASHES):
             level, chain = imatch.SPARSEST - k // imatch.CHAINS, k % imatch.CHAINS
-            own = [t for t in terms if (t >> (imatch.SPARSEST * chain)) % (1 << level) == 0]
+            own = [t for t in terms if (t >> (imatch.STEP * chain)) % (1 << level) == 0]
             out.append(spark_hash(own) % 2**32 if own else 0)
         return out
 
@@ -202,8 +202,15 @@ def test_imatch(spark, docs, monkeypatch, rows_broadcast):
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     got = sorted(tuple(r) for r in imatch.fingerprints(docs).collect())
     assert got == sorted(plain_imatch(rows))
-    near = [r[5] for r in got if r[1] > 100]
-    assert sum(x > 0 for x in near) > 0.9 * len(near)
+
+
+def test_half_equal_texts_are_more_alike_than_unlike_ones(spark):
+    rng = random.Random(41)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(6000)]  # each in some 2 % of the texts
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(150))) for i in range(200)], "doc_id long, text string")
+    rows = imatch.fingerprints(docs).collect()
+    assert sum(r["near_edited"] > 0 for r in rows) >= 0.8 * len(rows)
+    assert sum(r["near_edited"] for r in rows) > 4 * sum(r["near_next"] for r in rows)
 
 
 def test_imatch_without_ids(spark):

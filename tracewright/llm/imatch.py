@@ -16,44 +16,54 @@ TERM_GAP = r"[^\p{L}]+"
 #: The lexicon's band: terms in this many documents at least, and in this share of them at most.
 LEAST_DOCS, MOST_SHARE = 2, 0.05
 #: Subsets of the lexicon: CHAINS of each density from 1 / 2^SPARSEST up to 1 / 2^DENSEST, the sparsest first. A term is in
-#: the subset of density 1 / 2^l of chain c if l bits of its name, from bit SPARSEST * c on, are 0; so a chain's subsets are
+#: the subset of density 1 / 2^l of chain c if l bits of its name, from bit STEP * c on, are 0; so a chain's subsets are
 #: each part of the denser one, and a text's terms are sifted once more for each. Most terms are in no subset.
-DENSEST, SPARSEST, CHAINS = 4, 10, 6
+DENSEST, SPARSEST, CHAINS, STEP = 5, 10, 11, 5
 #: Subsets that are compared: of those that have a term of either text, the sparsest.
 COMPARED = 16
-#: Lexicon rows (8 bytes each) up to which it is broadcast; beyond that it is joined by a shuffle.
+#: Rows of the lexicon, or sets with copies (16 bytes each), up to which they are broadcast; beyond that they are joined by a
+#: shuffle.
 BROADCAST_ROWS = 3_000_000
 
 HASHES = (SPARSEST - DENSEST + 1) * CHAINS
 
 
-def name(term: Column) -> Column:
-    """A term's name: 63 bits of its hash."""
-    return F.shiftright(F.xxhash64(term), 1)
-
-
 def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_GAP), lambda t: t != ""))
 
 
+def names(text: Column) -> Column:
+    """The sorted names of a text's distinct terms: 62 bits of their hashes."""
+    return F.sort_array(F.transform(terms(text), lambda t: F.shiftright(F.xxhash64(t), 2)))
+
+
+def in_subset(x: Column) -> Column:
+    """Whether a name is in a subset of any chain."""
+    out = F.lit(False)
+    for c in range(CHAINS):
+        out = out | (x.bitwiseAND(F.lit(((1 << DENSEST) - 1) << (STEP * c)).cast("long")) == 0)
+    return out
+
+
 def lexicon(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> tuple[DataFrame, DataFrame]:
     """((term), (term)): names of the terms within the band of document frequency that are in a subset, and of those above it.
 
     Document frequency is counted over all distinct term sets: texts with the same terms count once, so that copies don't
-    make their terms common. The inverse document frequency of a kept term is between -ln(share) and ln(n / least), n being
-    the number of distinct sets. Terms above the band are at most the mean size of a set divided by ``share``, or few
-    enough to be in less than ``least`` sets.
+    make their terms common. For this the copies of each set are counted first, by a hash of its sorted names, and each of
+    its terms then weighs one by the number of copies; so terms are combined before they are shuffled, and sets aren't moved.
+    The inverse document frequency of a kept term is between -ln(share) and ln(n / least), n being the number of distinct
+    sets. Terms above the band are at most the mean size of a set divided by ``share``, or few enough to be in less than
+    ``least`` sets.
     """
-    named = docs.select(F.sort_array(F.transform(terms(F.col("text")), name)).alias("terms"))
-    # texts without a term are one set that is left out afterwards: a filter here would take all texts apart twice
-    sets = settle(named.groupBy(F.xxhash64("terms").alias("name")).agg(F.first("terms").alias("terms")), "sets").where(F.size("terms") > 0)
-    n = sets.count()
-    seen = settle(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least), "terms")
+    sets = docs.select(names(F.col("text")).alias("terms")).select("terms", F.xxhash64("terms").alias("set"))
+    counts = settle(sets.groupBy("set", (F.size("terms") > 0).alias("whole")).agg(F.count("*").alias("copies")), "sets").where("whole")
+    n = counts.count()
+    twice = counts.where("copies > 1").select("set", "copies")
+    weighed = sets.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "set", "left")
+    each = weighed.select(F.explode_outer("terms").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight")).where("term is not null")
+    seen = settle(each.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("docs")).where(F.col("docs") >= least), "terms")
     most = max(least, math.floor(share * n))
-    chosen = F.lit(False)
-    for c in range(CHAINS):
-        chosen = chosen | (F.col("term").bitwiseAND(F.lit(((1 << DENSEST) - 1) << (SPARSEST * c)).cast("long")) == 0)
-    return seen.where((F.col("docs") <= most) & chosen).select("term"), seen.where(F.col("docs") > most).select("term")
+    return seen.where((F.col("docs") <= most) & in_subset(F.col("term"))).select("term"), seen.where(F.col("docs") > most).select("term")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -96,7 +106,7 @@ def hashes(found: Column) -> Column:
     levels = SPARSEST - DENSEST + 1
 
     def chain(terms: Column, c: int) -> Column:
-        masks = [((1 << DENSEST) - 1) << (SPARSEST * c), *(1 << (SPARSEST * c + i) for i in range(DENSEST, SPARSEST))]
+        masks = [((1 << DENSEST) - 1) << (STEP * c), *(1 << (STEP * c + i) for i in range(DENSEST, SPARSEST))]
         sifted = lambda acc, bits: F.concat(acc, F.array(F.filter(F.element_at(acc, -1), lambda x: x.bitwiseAND(bits) == 0)))
         every = F.aggregate(F.lit(masks).cast("array<bigint>"), F.array(terms), sifted)
         return F.transform(F.slice(every, 2, levels), named)
@@ -107,9 +117,9 @@ def hashes(found: Column) -> Column:
     return let(ordered, lambda h: F.when(F.exists(h, lambda x: x != 0), h))
 
 
-def written(h: Column, text: Column) -> Column:
-    """The fingerprint: the hashes in hexadecimal, or the SHA-256 of a text that has no term in any subset."""
-    return F.when(h.isNull(), F.sha2(text, 256)).otherwise(F.array_join(F.transform(h, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""))
+def written(h: Column, bare: Column) -> Column:
+    """The fingerprint: the hashes in hexadecimal, or the digest of a text without a term."""
+    return F.when(h.isNull(), bare).otherwise(F.array_join(F.transform(h, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -139,34 +149,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     known, above = lexicon(docs)
     known = settle(known, "lexicon")
     rows = with_next(docs).withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next"))))
-    keys, facts = ["range", "pos", "guest"], ["doc_id", "n_chars", "edited_sha256"]
-    # the names of both texts' terms in one array, the lowest bit telling them apart; 0 stands for the row itself, so that
-    # no array is empty and none has to be made twice to see that (explode_outer)
-    side = lambda text, which: F.transform(terms(F.col(text)), lambda t: F.shiftleft(name(t), 1).bitwiseOR(F.lit(which).cast("long")))
-    items = F.concat(F.array(F.lit(0).cast("long")), side("text", 0), side("edited", 1))
-    each = rows.select(*keys, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), items.alias("items"))
-    each = each.select(*keys, *facts, F.explode_outer("items").alias("item")).withColumn("term", F.shiftright("item", 1))
+    base = rows.select("range", "pos", "guest", "doc_id", "text", "edited", names(F.col("text")).alias("one"), names(F.col("edited")).alias("two"))
+    # one array a row: its facts at item 0, and the names of both texts' terms that are in a subset, the lowest bit telling the
+    # texts apart; no array is empty, and explode_outer doesn't make each twice to see that
+    kind = "struct<guest:boolean,doc_id:bigint,n_chars:bigint,edited_sha256:string,one:bigint,two:bigint,bare_one:string,bare_two:string>"
+    together = lambda t: F.when(F.size(t) > 0, F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    bare = lambda t, text: F.when(F.size(t) == 0, F.sha2(text, 256))
+    fact = F.struct("guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), together("one").alias("one"), together("two").alias("two"), bare("one", "text").alias("bare_one"), bare("two", "edited").alias("bare_two"))
+    entry = lambda item, facts: F.struct(item.alias("item"), facts.cast(kind).alias("facts"))
+    side = lambda t, which: F.transform(F.filter(t, in_subset), lambda x: entry(F.shiftleft(x, 2).bitwiseOR(F.lit(which).cast("long")), F.lit(None)))
+    items = F.concat(F.array(entry(F.lit(0).cast("long"), fact)), side("one", 0), side("two", 1))
+    each = base.select("range", "pos", items.alias("items")).select("range", "pos", F.explode_outer("items").alias("x")).select("range", "pos", "x.item", "x.facts")
+    each = each.withColumn("term", F.shiftright("item", 2))
+    known = known.withColumn("known", F.lit(2).cast("long"))
     if known.count() <= BROADCAST_ROWS:
-        kept = each.join(F.broadcast(known.union(known.sparkSession.range(1).select(F.col("id").alias("term")))), "term")
+        kept = each.join(F.broadcast(known), "term", "left")
     else:
-        # the terms above the band, which most texts have, go before the shuffle; they are few
-        each = settle(each.join(F.broadcast(above), "term", "left_anti"), "terms")
-        kept = each.where("item = 0").unionByName(each.where("item <> 0").join(known, "term"))
-    found = lambda which: F.sort_array(F.collect_list(F.when((F.col("item") != 0) & (F.col("item").bitwiseAND(F.lit(1).cast("long")) == which), F.col("term"))))
-    whole = kept.groupBy(*keys, *facts).agg(found(0).alias("one"), found(1).alias("two"))
-    marked = whole.select(*keys, *facts, hashes(F.col("one")).alias("own"), F.when(~F.col("guest"), hashes(F.col("two"))).alias("other"))
+        # the terms above the band, which most texts have, aren't looked up; they are few
+        each = settle(each.join(F.broadcast(above.withColumn("above", F.lit(True))), "term", "left"), "terms")
+        looked_up = F.col("above").isNull() & (F.col("item") != 0)
+        kept = each.where(~looked_up).withColumn("known", F.lit(None).cast("long")).unionByName(each.where(looked_up).join(known, "term", "left"))
+    # the second lowest bit of an item says that the lexicon has it
+    found = F.collect_list(F.when(F.col("item") != 0, F.col("item").bitwiseOR(F.coalesce("known", F.lit(0).cast("long")))))
+    whole = kept.select("range", "pos", "item", "facts", "known").groupBy("range", "pos").agg(F.max("facts").alias("facts"), found.alias("found"))
+    of = lambda bits, value: F.sort_array(F.transform(F.filter("found", lambda x: x.bitwiseAND(F.lit(bits).cast("long")) == value), lambda x: F.shiftright(x, 2)))
+    alike = lambda h: F.when(h.isNotNull(), F.array_repeat(h, HASHES))
+    mark = lambda which, whole: F.coalesce(hashes(of(3, 2 + which)), hashes(of(1, which)), alike(F.col(f"facts.{whole}")))
+    marked = whole.select("range", "pos", "facts.guest", "facts.doc_id", "facts.n_chars", "facts.edited_sha256", written(mark(0, "one"), F.col("facts.bare_one")).alias("fingerprint"), F.when(~F.col("facts.guest"), written(mark(1, "two"), F.col("facts.bare_two"))).alias("edited_fingerprint"))
     marked = settle(marked, "prints")
-    # the few texts without a term of the lexicon are read again
-    without = F.col("own").isNull() | (~F.col("guest") & F.col("other").isNull())
-    again = rows.join(marked.where(without).select(*keys), keys, "left_semi").select(*keys, _of_all("text").alias("all_own"), _of_all("edited").alias("all_other"), "text", F.col("edited").alias("edited_text"))
-    again = marked.where(without).join(again, keys).select(*keys, *facts, written(F.coalesce("own", "all_own"), F.col("text")).alias("fingerprint"), F.when(~F.col("guest"), written(F.coalesce("other", "all_other"), F.col("edited_text"))).alias("edited_fingerprint"))
-    marked = marked.where(~without).select(*keys, *facts, written(F.col("own"), F.lit("")).alias("fingerprint"), F.when(~F.col("guest"), written(F.col("other"), F.lit(""))).alias("edited_fingerprint")).union(again)
     marked = marked.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("pos"))).where("not guest")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
-
-
-def _of_all(text: str) -> Column:
-    """The hashes over all terms of a text; null without a term."""
-    together = lambda t: F.when(F.size(t) > 0, F.array_repeat(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), HASHES))
-    return let(F.sort_array(F.transform(terms(F.col(text)), name)), lambda t: F.coalesce(hashes(t), together(t)))
