@@ -296,7 +296,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
     rows = settle(rows.join(mixed, "column"), "mixed")
     if not rows.isEmpty():
         # small columns in which a row meets any other: so much a pair can have in common before its first large column
-        few = made.where("small").select(F.explode(F.array("a", "b")).alias("class"), "column").join(rows.select("class").distinct(), "class", "left_semi").distinct().groupBy("class").agg(F.count("*").alias("few"))
+        few = made.where("small").select(F.explode(F.array("a", "b")).alias("class"), "column").distinct().groupBy("class").agg(F.count("*").alias("few"))
         # the home of a column is the component of most of its rows, so that as few rows as can be are strays
         home = rows.groupBy("column", "label").agg(F.count("*").alias("rows")).groupBy("column").agg(F.max_by("label", F.struct("rows", "label")).alias("home"))
         rows = rows.join(few, "class", "left").withColumn("few", F.coalesce("few", F.lit(0))).join(home, "column")
