@@ -1,5 +1,6 @@
 """Known values and edge cases of the operators."""
 
+import hashlib
 import math
 
 import pytest
@@ -49,8 +50,12 @@ def test_streams_and_bootstrap(spark):
     assert gates.bootstrap_gate(r, 0.0) == "PASS" and gates.bootstrap_gate(r, 0.19) == "FAIL" and gates.bootstrap_gate(r, 0.0, least=41) == "INCONCLUSIVE"
     assert gates.bootstrap_bound(df.where("cluster = 'c1'"), "cluster", F.col("value"), "X")["degenerate"]
     assert sorted(draws.permutation(1, "a", 50)) == list(range(50))
-    c = draws.Counter(b"seed")
-    assert all(3 <= c.between(3, 9) <= 9 for _ in range(200)) and set(c.base32(50)) <= set(draws.BASE32)
+    seed = F.sha2(F.col("id").cast("string"), 256)
+    got = spark.range(200).select(draws.between(seed, 3, 9).alias("n"), draws.base32(seed, 50).alias("t"), draws.hex_token(seed).alias("h"), seed.alias("s")).collect()
+    for r in got:  # the same bytes, taken one by one
+        stream = b"".join(hashlib.sha256(bytes.fromhex(r["s"]) + i.to_bytes(8, "big")).digest() for i in range(4))
+        assert r["n"] == 3 + next(b >> 5 for b in stream if b >> 5 < 7)
+        assert r["t"] == "".join(draws.BASE32[b >> 3] for b in stream[:50]) and r["h"] == stream[:16].hex()
 
 
 def test_answers(spark):
@@ -85,7 +90,7 @@ def test_receipts_and_canonical_json(spark):
 
 
 def test_arithmetic(spark):
-    cases = [("3 * (17 + 5) / 2", "33"), ("1/3", "0.333333"), ("2**64", str(2**64)), ("2**65", "error: exponent too large"), ("1/0", "error: division by zero"), ("-7 // 2", "-4")]
+    cases = [("3 * (17 + 5) / 2", "33"), ("1/3", "0.333333"), ("2**64", str(2**64)), ("2**65", "error: exponent too large"), ("1/0", "error: division by zero"), ("-7 // 2", "-4"), ("-2 ** 2", "-4"), ("2 ** 3 ** 2", "512"), ("2 * -3", "-6"), ("7 - 2 - 1", "4"), ("(1 + 2", "error: not arithmetic"), ("1 2", "error: not arithmetic"), ("2 ** -1", "0.5"), ("1.5e1 % 4", "3")]
     df = spark.createDataFrame(cases, "e string, want string")
     assert df.where(numbers.calculated("e") != F.col("want")).count() == 0
     assert one(spark, numbers.calculated(F.lit("__import__('os')")))[0].startswith("error:")

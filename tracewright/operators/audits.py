@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import feeds_match
+from .closure import reached
+
 
 def sanity(episodes: DataFrame, summaries: DataFrame) -> DataFrame:
     """(tag, code, level) of the checks S0 to S7 that a tag's run fails; a healthy run has no row.
@@ -54,21 +57,21 @@ def feeds(events: DataFrame, episode: str, decision: str, gives: str, takes: str
     return a.join(b, ["episode", "value"]).where("da < db").select("episode", "a", "b").distinct()
 
 
-def contributing(edges: DataFrame, answers: DataFrame, most: int = 64) -> DataFrame:
-    """(episode, call_id): calls on the dataflow into each episode's answer call, itself included.
+def text_feeds(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """(episode, a, b): calls a of whose values one is an argument of a call b of a later decision, or stands in one.
 
-    Edges run from earlier to later decisions, so the walk backwards ends after as many steps as an episode has decisions;
-    ``most`` bounds it.
+    events: episode, call_id, decision_id, gives array<string> (exposed values). calls: episode, call_id, decision_id, takes
+    array<string> (arguments without the recovery token). Values are matched as ``values.feeds_match`` does, within an episode.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_dataflow_edges")
-    answers.createOrReplaceTempView("_dataflow_answers")
-    return spark.sql(f"""
-        WITH RECURSIVE reached(episode, call_id, step) AS (
-            SELECT episode, call_id, 0 FROM _dataflow_answers
-            UNION ALL
-            SELECT e.episode, e.a, step + 1 FROM reached r JOIN _dataflow_edges e ON e.episode = r.episode AND e.b = r.call_id WHERE step < {most}
-        ) SELECT DISTINCT episode, call_id FROM reached""")
+    a = events.select("episode", F.col("call_id").alias("a"), F.col("decision_id").alias("da"), F.explode("gives").alias("value"))
+    b = calls.select("episode", F.col("call_id").alias("b"), F.col("decision_id").alias("db"), F.explode("takes").alias("taken"))
+    return a.join(b, "episode").where((F.col("da") < F.col("db")) & feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct()
+
+
+def contributing(edges: DataFrame, answers: DataFrame) -> DataFrame:
+    """(episode, call_id): calls on the dataflow into each episode's answer call, itself included, however long the way is."""
+    back = edges.selectExpr("episode as grp", "b as node", "a as next")
+    return reached(answers.selectExpr("episode as grp", "call_id as node"), back).toDF("episode", "call_id")
 
 
 def veto(violations: DataFrame, checked: DataFrame, name: str, empty: str = "INCONCLUSIVE") -> DataFrame:

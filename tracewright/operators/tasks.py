@@ -8,32 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import Counter
-
-CHAINS = "task_id string, horizon int, answer string, nodes array<struct<node:string,tool:string,key:string,next:string>>"
+from ..functions.draws import base32, hex_token
 
 
 def lookup_chains(labels: DataFrame, secret: bytes) -> DataFrame:
     """A chain of lookups for each (task_id, horizon): every record names the next key and the last one holds the answer.
 
-    A task's draws come from its own label, so rows don't depend on partitioning or order.
+    A key's draws come from the task and the key's place, so rows don't depend on partitioning or order.
     """
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for task, horizon in zip(frame["task_id"], frame["horizon"], strict=True):
-                draw = Counter(secret + task.encode())
-                keys: list[str] = []
-                while len(keys) < horizon:
-                    if (key := "K" + draw.base32(16)) not in keys:
-                        keys.append(key)
-                answer = draw.bytes(16).hex()
-                nodes = [{"node": f"n{i + 1}", "tool": "kb_lookup", "key": k, "next": keys[i + 1] if i + 1 < horizon else answer} for i, k in enumerate(keys)]
-                out.append((task, horizon, answer, nodes))
-            yield pd.DataFrame(out, columns=["task_id", "horizon", "answer", "nodes"])
-
-    return labels.select(F.col("task_id").cast("string"), F.col("horizon").cast("int")).mapInPandas(run, CHAINS)
+    seed = lambda what: F.sha2(F.concat(F.lit(secret), F.encode(F.concat_ws("|", F.col("task_id"), what), "UTF-8")), 256)
+    labels = labels.select(F.col("task_id").cast("string"), F.col("horizon").cast("int"))
+    keys = F.transform(F.sequence(F.lit(1), F.col("horizon")), lambda i: F.concat(F.lit("K"), base32(seed(i.cast("string")), 16)))
+    made = labels.withColumn("keys", keys).withColumn("answer", hex_token(seed(F.lit("answer"))))
+    node = lambda k, i: F.struct(F.concat(F.lit("n"), (i + 1).cast("string")).alias("node"), F.lit("kb_lookup").alias("tool"), k.alias("key"), F.coalesce(F.get("keys", i + 1), F.col("answer")).alias("next"))
+    return made.select("task_id", "horizon", "answer", F.transform("keys", node).alias("nodes"))
 
 
 def walked(chains: DataFrame) -> DataFrame:

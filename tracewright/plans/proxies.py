@@ -60,3 +60,38 @@ def wilson_sql(k: str, n: str) -> tuple[str, str, str]:
     low = f"(CASE WHEN {n} <= 0 THEN 0.0 WHEN {k} <= 0 THEN 0.0 ELSE least({p}, greatest(0.0, {centre} - {half})) END)"
     high = f"(CASE WHEN {n} <= 0 THEN 1.0 WHEN {k} >= {n} THEN 1.0 ELSE greatest({p}, least(1.0, {centre} + {half})) END)"
     return p, low, high
+
+
+#: Stand-in values of agent episodes, by numbers of an order and its customer.
+_FAMILIES, _SPLITS, _FAULTS = ("lookup_chain", "typed_relay", "fulfillment"), ("main", "mt", "h8"), ("transient", "rate_limit", "malformed", "wrong_unit")
+
+
+def agent_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episode table of the gates: a customer's orders in turn as both arms of a clean and a faulted task."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"))
+    o = o.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1)
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    k, c, trained = F.col("k"), F.col("c"), F.col("i") % 2
+    return o.select(
+        pick(("BP", "TP"), trained).alias("arm"), F.when(F.col("i") % 4 < 2, "clean").otherwise("faulted").alias("condition"), F.lit("none").alias("control"), (c * 1000 + div(F.col("i"), 4)).alias("task_id"),
+        pick(_FAMILIES, c % 3).alias("family"), F.when(div(c, 3) % 2 == 0, 4).otherwise(8).alias("horizon"), pick(_SPLITS, div(c, 6) % 3).alias("split"), (c % 40).cast("string").alias("cluster"), (c % 6).alias("pattern_id"), (c % 2 == 0).alias("all_tools"),
+        F.when(F.col("i") % 4 >= 2, pick(_FAULTS, c % 4)).alias("fault_class"), (k * 7 % 10 < 7 + trained).alias("certified"), ((F.col("i") % 4 >= 2) & (k * 3 % 10 < 5 + trained)).alias("recovered"), (k * 11 % 10 < 6 + trained).alias("orchestrated"),
+        (k % 97 == 0).alias("runaway"), (k % 211 == 0).alias("hallucinated"), (k % 5 + 3).alias("n_calls"), F.when(k % 53 == 0, "wall_clock").otherwise("answered").alias("termination"), (k % 301 != 0).alias("receipts_ok"), (k % 4).alias("budgets"), k.alias("k"),
+    )
+
+
+AGENTS = """ag AS (SELECT (['BP','TP'])[(i % 2 + 1)::INT] AS arm, CASE WHEN i % 4 < 2 THEN 'clean' ELSE 'faulted' END AS condition, 'none' AS control, c * 1000 + i // 4 AS task_id, (['lookup_chain','typed_relay','fulfillment'])[(c % 3 + 1)::INT] AS family, CASE WHEN c // 3 % 2 = 0 THEN 4 ELSE 8 END AS horizon, (['main','mt','h8'])[(c // 6 % 3 + 1)::INT] AS split, CAST(c % 40 AS VARCHAR) AS cluster, c % 6 AS pattern_id, c % 2 = 0 AS all_tools,
+CASE WHEN i % 4 >= 2 THEN (['transient','rate_limit','malformed','wrong_unit'])[(c % 4 + 1)::INT] END AS fault_class, k * 7 % 10 < 7 + i % 2 AS certified, i % 4 >= 2 AND k * 3 % 10 < 5 + i % 2 AS recovered, k * 11 % 10 < 6 + i % 2 AS orchestrated, k % 97 = 0 AS runaway, k % 211 = 0 AS hallucinated, k % 5 + 3 AS n_calls, CASE WHEN k % 53 = 0 THEN 'wall_clock' ELSE 'answered' END AS termination, k % 301 <> 0 AS receipts_ok, k % 4 AS budgets, k
+FROM (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)),
+pr AS (SELECT a.condition, a.task_id, a.family, a.horizon, a.split, a.cluster, a.pattern_id, a.all_tools, a.fault_class, b.n_calls, a.certified::INT AS certified_one, b.certified::INT AS certified_two, a.recovered::INT AS recovered_one, b.recovered::INT AS recovered_two, a.orchestrated::INT AS orchestrated_one, b.orchestrated::INT AS orchestrated_two, b.runaway::INT AS runaway_two, b.hallucinated::INT AS hallucinated_two FROM ag a JOIN ag b ON a.task_id = b.task_id AND a.condition = b.condition AND a.arm = 'BP' AND b.arm = 'TP')"""
+
+
+def upper_sql(k: str, n: str, bound: float) -> str:
+    _, _, high = wilson_sql(k, n)
+    return f"CASE WHEN {n} <= 0 THEN 'INCONCLUSIVE' WHEN {high} <= {bound} THEN 'PASS' WHEN 1.959964 * 1.959964 / ({n} + 1.959964 * 1.959964) > {bound} THEN 'INCONCLUSIVE' ELSE 'FAIL' END"
+
+
+def lower_sql(k: str, n: str, bound: float) -> str:
+    _, low, _ = wilson_sql(k, n)
+    return f"CASE WHEN {n} <= 0 THEN 'INCONCLUSIVE' WHEN {low} >= {bound} THEN 'PASS' WHEN {n} / ({n} + 1.959964 * 1.959964) < {bound} THEN 'INCONCLUSIVE' ELSE 'FAIL' END"
