@@ -55,8 +55,7 @@ def test_hot_and_rare_columns_in_shared_slots(spark, monkeypatch, block, seed):
         texts += [" ".join(twin), " ".join([*twin[:-1], "other"])]
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "SLOTS", (1 << 10, 1 << 10))
-    monkeypatch.setattr(jaccard, "PART", 1 << 8)
+    monkeypatch.setattr(jaccard, "SLOTS", (jaccard.PART, jaccard.PART))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert got == dict(enumerate(components(sets, 85)))
