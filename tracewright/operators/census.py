@@ -41,11 +41,11 @@ def reward_means(rollouts: DataFrame, rewards: str = "rewards", by: tuple[str, .
     return each.groupBy(*by, "reward").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def axis_rates(rollouts: DataFrame, candidate: str = "candidate", axis: str = "axis", success: str = "ok", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """One row a candidate: its rate on each axis, and their unweighted mean over the axes that it has, to four digits."""
+def axis_rates(rollouts: DataFrame, candidate: str = "candidate", axis: str = "axis", success: str = "ok", axes: tuple[str, ...] = AXES, digits: int = 4) -> DataFrame:
+    """One row a candidate: its rate on each axis, and their unweighted mean over the axes that it has, to ``digits``."""
     rates = rollouts.groupBy(candidate).pivot(axis, list(axes)).agg(F.avg(F.col(success).cast("int")))
     present = F.filter(F.array(*axes), lambda x: x.isNotNull())
-    return rates.withColumn("combined", F.round(F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present), 4))
+    return rates.withColumn("combined", F.round(F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present), digits))
 
 
 def finalists(rates: DataFrame, n: int = 2, size: str = "size", index: str = "index") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import census
 from ..registry import query
 from .proxies import CALLS, calls, table
 
@@ -13,74 +14,59 @@ from .proxies import CALLS, calls, table
 def fault_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults by group, transient ones and rate limits pooled, groups without one included."""
     kind = F.element_at(F.array(*map(F.lit, ("malformed", "wrong_unit", "transient", "rate_limit"))), (F.col("l_partkey") % 4 + 1).cast("int"))
-    group = F.when(kind.isin("transient", "rate_limit"), "transient_or_rate_limit").otherwise(kind)
-    n = table(spark, sf_dir, "lineitem").groupBy(group.alias("fault_group")).agg(F.count("*").alias("n"))
-    groups = spark.createDataFrame([("transient_or_rate_limit",), ("malformed",), ("wrong_unit",), ("unused",)], "fault_group string")
-    return groups.join(n, "fault_group", "left").select("fault_group", F.coalesce("n", F.lit(0)).alias("n"))
+    return census.fault_census(table(spark, sf_dir, "lineitem").select(kind.alias("kind")), groups=("transient_or_rate_limit", "malformed", "wrong_unit", "unused"))
 
 
 @query("SELECT c_mktsegment AS family, count(DISTINCT c_nationkey) AS clusters, max(n) AS largest FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
 def cluster_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of each family and the largest one."""
-    n = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("family"), "c_nationkey").agg(F.count("*").alias("n"))
-    return n.groupBy("family").agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))
+    return census.cluster_census(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "family"), "family", "c_nationkey")
 
 
 @query("WITH a AS (SELECT o_orderpriority AS cell, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) AS seen FROM orders GROUP BY 1), q(cell, quota) AS (VALUES ('1-URGENT', 900), ('2-HIGH', 2000), ('3-MEDIUM', 1100), ('missing', 5)) SELECT q.cell, quota, coalesce(accepted, 0) AS accepted, coalesce(seen, 0) AS seen, greatest(quota - coalesce(accepted, 0), 0) AS short FROM q LEFT JOIN a ON a.cell = q.cell WHERE coalesce(accepted, 0) < quota")
 def quota_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells whose accepted rows don't reach their quota; cells without a quota are only measured."""
-    a = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("cell")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("accepted"), F.count("*").alias("seen"))
-    q = spark.createDataFrame([("1-URGENT", 900), ("2-HIGH", 2000), ("3-MEDIUM", 1100), ("missing", 5)], "cell string, quota long")
-    both = q.join(a, "cell", "left").select("cell", "quota", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("seen", F.lit(0)).alias("seen"))
-    return both.withColumn("short", F.greatest(F.col("quota") - F.col("accepted"), F.lit(0))).where("accepted < quota")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cell"), F.when(F.col("o_orderstatus") != "F", "rejected").alias("reason"), F.lit(False).alias("faulted"))
+    quotas = spark.createDataFrame([("1-URGENT", 900), ("2-HIGH", 2000), ("3-MEDIUM", 1100), ("missing", 5)], "cell string, quota long")
+    return census.quota_misses(census.acceptance(o, "cell"), quotas, "cell")
 
 
 @query("SELECT lang AS family, count(l.doc_id) AS assigned, count(*) FILTER (toxic = 1) AS triggered, count(*) FILTER (toxic = 1 AND quality = 1) AS recovered, round(CASE WHEN count(l.doc_id) > 0 THEN count(*) FILTER (toxic = 1 AND quality = 1) / count(l.doc_id) END, 6) AS of_assigned, round(CASE WHEN count(*) FILTER (toxic = 1) > 0 THEN count(*) FILTER (toxic = 1 AND quality = 1) / count(*) FILTER (toxic = 1) END, 6) AS of_triggered FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang")
 def recovery_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recoveries by both denominators, null where one is empty."""
     lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(lab, F.col("doc_id") == F.col("labelled"), "left")
-    fired, done = F.col("toxic") == 1, (F.col("toxic") == 1) & (F.col("quality") == 1)
-    out = d.groupBy(F.col("lang").alias("family")).agg(F.count("labelled").alias("assigned"), F.count_if(fired).alias("triggered"), F.count_if(done).alias("recovered"))
-    rate = lambda n: F.round(F.try_divide(F.col("recovered"), F.col(n)), 6)
-    return out.withColumn("of_assigned", rate("assigned")).withColumn("of_triggered", rate("triggered"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("family")).join(lab, F.col("doc_id") == F.col("labelled"), "left")
+    e = d.select("family", F.col("labelled").isNotNull().alias("assigned"), (F.col("toxic") == 1).alias("triggered"), (F.col("quality") == 1).alias("recovered"))
+    return census.recovery_rates(e, "family").withColumn("of_assigned", F.round("of_assigned", 6)).withColumn("of_triggered", F.round("of_triggered", 6))
 
 
 @query("WITH f AS (SELECT lang, left(text, 200) AS head, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1, 2) SELECT lang, sum(n)::BIGINT AS finals, max(n) AS same, round(max(n) / sum(n), 6) AS share, sum(n) >= 10 AND max(n) / sum(n) > 0.5 AS collapsed FROM f GROUP BY lang")
 def duplicate_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many final texts begin alike, by the first 200 characters: the operator's own definition."""
-    f = table(spark, sf_dir, "documents").where("trim(text) != ''").groupBy("lang", F.left("text", F.lit(200)).alias("head")).agg(F.count("*").alias("n"))
-    out = f.groupBy("lang").agg(F.sum("n").alias("finals"), F.max("n").alias("same"))
-    return out.withColumn("share", F.round(F.col("same") / F.col("finals"), 6)).withColumn("collapsed", (F.col("finals") >= 10) & (F.col("same") / F.col("finals") > 0.5))
+    return census.repeated_finals(table(spark, sf_dir, "documents"), "lang", "text").withColumn("share", F.round("share", 6))
 
 
 @query("SELECT event_type AS stage, round(sum(coalesce(CASE WHEN event_id % 3 > 0 THEN value END, event_id % 7 * 60.0)), 4) AS seconds FROM events GROUP BY 1")
 def ledger_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of a ledger; rows without them count their minutes."""
-    e = table(spark, sf_dir, "events")
-    own = F.coalesce(F.when(F.col("event_id") % 3 > 0, F.col("value")), F.col("event_id") % 7 * 60.0)
-    return e.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum(own), 4).alias("seconds"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("elapsed_s"), (F.col("event_id") % 7).alias("minutes"))
+    return census.ledger_seconds(e, "stage").withColumn("seconds", F.round("seconds", 4))
 
 
 @query("WITH r AS (SELECT source, lang, min(doc_id) AS first_seen FROM documents GROUP BY 1, 2) SELECT source, lang, row_number() OVER (ORDER BY first_seen) AS place FROM r")
 def producers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct producers in the order in which they are first seen."""
-    r = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first_seen"))
-    return r.select("source", "lang", F.row_number().over(Window.orderBy("first_seen")).alias("place"))
+    return census.producers(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id").drop("first_seen")
 
 
 @query(f"WITH {CALLS}, t AS (SELECT episode, list_distinct(list(tool)) AS used FROM calls WHERE value < 20 GROUP BY episode) SELECT episode, len(list_filter(['view','click','error'], lambda x: NOT list_contains(used, x))) AS missing, len(list_filter(['view','click','error'], lambda x: NOT list_contains(used, x))) = 0 AS covered FROM t")
 def required_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required tools that an episode didn't use."""
-    t = calls(spark, sf_dir).where("value < 20").groupBy("episode").agg(F.collect_set("tool").alias("used"))
-    gap = F.size(F.array_except(F.array(*map(F.lit, ("view", "click", "error"))), "used"))
-    return t.select("episode", gap.alias("missing"), (gap == 0).alias("covered"))
+    return census.tool_gaps(calls(spark, sf_dir).where("value < 20"), "episode", "tool", ("view", "click", "error"))
 
 
 @query("WITH r AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations) SELECT conv_id, turn, 'c-' || left(sha256(conv_id || '|' || ordinal), 12) AS call_id FROM r WHERE role = 'assistant'")
 def wire_call_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call ids from a running ordinal, the same at every run."""
-    c = table(spark, sf_dir, "conversations")
-    ordinal = F.count_if(F.col("role") == "assistant").over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = c.withColumn("ordinal", ordinal).where("role = 'assistant'")
+    c = census.call_ids(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant")
     return c.select("conv_id", "turn", F.concat(F.lit("c-"), F.left(F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("ordinal").cast("string")), 256), F.lit(12))).alias("call_id"))

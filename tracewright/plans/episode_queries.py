@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators import census
 from ..operators import episodes as ep
 from ..operators import sampling as sa
 from ..registry import query
@@ -63,9 +64,7 @@ _AXIS = "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'recovery' WHEN
 
 def _axis_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 12).alias("candidate"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "recovery").when(F.col("o_orderpriority") == "3-MEDIUM", "orchestration").otherwise("h8").alias("axis"), (F.col("o_orderstatus") == "F").cast("int").alias("ok"))
-    rates = o.groupBy("candidate").pivot("axis", ["recovery", "orchestration", "h8"]).agg(F.avg("ok"))
-    present = F.filter(F.array("recovery", "orchestration", "h8"), lambda x: x.isNotNull())
-    return rates.withColumn("combined", F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
+    return census.axis_rates(o, digits=12)
 
 
 _AXES = f"a AS (SELECT o_custkey % 12 AS candidate, {_AXIS} AS axis, (o_orderstatus = 'F')::INT AS ok FROM orders), r AS (SELECT candidate, avg(ok) FILTER (axis = 'recovery') AS recovery, avg(ok) FILTER (axis = 'orchestration') AS orchestration, avg(ok) FILTER (axis = 'h8') AS h8 FROM a GROUP BY candidate), c AS (SELECT *, (coalesce(recovery, 0) + coalesce(orchestration, 0) + coalesce(h8, 0)) / ((recovery IS NOT NULL)::INT + (orchestration IS NOT NULL)::INT + (h8 IS NOT NULL)::INT) AS combined FROM r)"
@@ -92,9 +91,8 @@ def attrition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.lang AS stratum, count(*) AS expected, count(l.doc_id) AS written, count(*) - count(l.doc_id) AS missing, round(count(l.doc_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY d.lang")
 def unit_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected against written rows of each unit."""
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("written_id")).distinct()
-    got = d.select("doc_id", F.col("lang").alias("stratum")).join(lab, F.col("doc_id") == F.col("written_id"), "left")
-    return got.groupBy("stratum").agg(F.count("*").alias("expected"), F.count("written_id").alias("written"), (F.count("*") - F.count("written_id")).alias("missing"), F.round(F.count("written_id") / F.count("*"), 6).alias("coverage"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("stratum"))
+    return census.unit_census(d, table(spark, sf_dir, "labels"), "stratum", "doc_id").withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH {EPISODES}, plan AS (SELECT c_custkey AS task, unnest(generate_series(1, 8))::INT AS sample FROM customer WHERE c_custkey % 4 < 3), seen AS (SELECT task, sample, count(*) AS n FROM ep GROUP BY task, sample) SELECT coalesce(plan.task, seen.task) AS task, coalesce(plan.sample, seen.sample) AS sample, CASE WHEN seen.task IS NULL THEN 'missing' WHEN plan.task IS NULL THEN 'extra' ELSE 'duplicate' END AS kind FROM plan FULL JOIN seen ON plan.task = seen.task AND plan.sample = seen.sample WHERE seen.task IS NULL OR plan.task IS NULL OR seen.n > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, numbers
-from ..operators import audits, episodes, leakage, replay, sampling, tasks, views
+from ..operators import audits, census, episodes, leakage, replay, sampling, tasks, views
 from ..registry import query
 from ..streaming import journals
 from .proxies import SPLITS, calls, splits, table
@@ -46,11 +46,8 @@ def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH r AS (SELECT *, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 16 AS block FROM orders), k AS (SELECT o_orderkey AS id, block, CASE WHEN (block % 2 = 0) = (o_orderstatus = 'F') THEN 0 ELSE 1 END AS arm_rank, o_orderpriority AS family FROM r) SELECT id, family, block, row_number() OVER (PARTITION BY family, block ORDER BY arm_rank, id) AS place FROM k")
 def interleaved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired blocks of sixteen in which the arm that goes first alternates."""
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    o = table(spark, sf_dir, "orders").withColumn("block", F.floor((F.row_number().over(w) - 1) / 16))
-    rank = F.when((F.col("block") % 2 == 0) == (F.col("o_orderstatus") == "F"), 0).otherwise(1)
-    o = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), "block", rank.alias("rank"))
-    return o.select("id", "family", "block", F.row_number().over(Window.partitionBy("family", "block").orderBy("rank", "id")).alias("place"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), "o_orderstatus")
+    return census.interleaved(o, "family", "id", F.col("o_orderstatus") == "F", 16).drop("o_orderstatus")
 
 
 @query()

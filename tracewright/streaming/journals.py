@@ -1,4 +1,4 @@
-"""Streams over append-only journals. Watermarks and windows are this library's addition; the reference has batch logs only."""
+"""Streams over append-only journals. Watermarks and windows are this library's addition to logs that are read as batches."""
 
 from __future__ import annotations
 
