@@ -70,6 +70,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, pad: bool
                         rows.append((doc, row, -(-len(ids) // length), i // length, len(own), (np.pad(own, (0, length - len(own)), constant_values=filler) if pad else own).tobytes()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        pairs.ids_of.clear()  # a worker lives on for other stages, and what is kept for this one would be memory that they lack
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
     return texts.mapInArrow(run, "doc_id long, row long, seqs int, seq_no int, n_tokens int, tokens binary")
