@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import canon, structure, values
-from tracewright.operators import acceptance, audits, census, closure, completeness, registered, verifier, vetoes
+from tracewright.operators import acceptance, audits, census, closure, completeness, registered, verifier, vetoes, views
 from tracewright.sources import files
 
 
@@ -310,3 +310,36 @@ def test_files(spark, tmp_path):
     good = lambda df: df.where("false").selectExpr("cast(k as string) as key", "'x' as gap")
     completeness.published(rows, str(tmp_path / "sealed"), good, lambda df: df.agg(F.count("*").alias("rows")))
     assert spark.read.json(str(tmp_path / "sealed" / "receipt")).first()["rows"] == 2
+
+
+def test_view_plan(spark):
+    """Terminal, recovery and drawn pivot turns against the rule in plain Python."""
+    turn = lambda i, args=None, text="thinking": (i, "assistant", text, args)
+    tool = lambda i, text: (i, "tool", text, None)
+    long = [turn(0, "K"), tool(1, '{"ok":true,"v":"KAB234567"}'), turn(2, "KAB234567"), tool(3, '{"ok":true,"v":12}'), turn(4, "12 * 2"), tool(5, '{"ok":false}'), turn(6, "12 * 2"), tool(7, '{"ok": true,"v":24}'), turn(8, "24"), tool(9, "x 99"), turn(10, "24"), tool(11, "y"), turn(12, None, "ANSWER: 24")]
+    cases = {
+        "plain": (long, ("t1", 4, False, None, None)),
+        "long": (long, ("t2", 8, False, None, None)),
+        "fault": (long, ("t3", 8, True, 5, 8)),
+        "same": (long, ("t4", 4, True, 5, 6)),
+        "uncommitted": (long[:-1] + [turn(12, None, "no idea")], ("t5", 8, False, None, None)),
+    }
+    messages = spark.createDataFrame([(k, *m) for k, (ms, _) in cases.items() for m in ms], "episode string, index int, role string, content string, arguments string")
+    records = spark.createDataFrame([(k, *r) for k, (_, r) in cases.items()], "episode string, task_id string, horizon int, fired boolean, result_index int, recovery_index int")
+
+    def rule(task, horizon, fired, result, certified):
+        recovery = ([6] if certified == 6 else [6, certified]) if fired else []
+        # turn 4 is followed by an error, which counts unless it was injected
+        eligible = [i for i in (2, 4, 6, 8, 10) if i not in recovery and (i != 4 or result == 5)]
+        seed = int(hashlib.sha256(f"pivot-seed|{task}".encode()).hexdigest()[:16], 16) >> 1
+        stream = hashlib.shake_256(f"{seed:#x}:pivot|{task}".encode()).digest(16)
+        a, b = (int.from_bytes(stream[i : i + 8], "little") % len(eligible) for i in (0, 8))
+        picked = {eligible[a]} | ({eligible[(b + 1) % len(eligible) if a == b else b]} if horizon >= 8 else set())
+        return {(12, "terminal", 2)} | {(i, "recovery", 1 if len(recovery) == 2 else 2) for i in recovery} | {(i, "pivot", 1) for i in picked}
+
+    got = {}
+    for r in views.planned(messages, records).collect():
+        got.setdefault(r["episode"], set()).add((r["index"], r["view"], r["copies"]))
+    assert got == {k: rule(*r) for k, (_, r) in cases.items() if k != "uncommitted"}
+    specs = spark.createDataFrame([("e", ["n1", "n2"], [("transient", "n2"), ("malformed", "n9")])], "episode string, nodes array<string>, faults array<struct<fault_type:string,target_node:string>>")
+    assert [tuple(f) for f in views.assigned_faults(specs).first()["fault"]] == [("transient", "n2", 1), ("malformed", "n9", None)]
