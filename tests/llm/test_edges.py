@@ -4,10 +4,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, imatch, jaccard, langid, licenses, packing, pii, secrets, token_counts, token_shards
+from tracewright.llm import alignment, collocations, decontaminate, divergence, imatch, jaccard, langid, licenses, packing, pii, secrets, token_counts, token_shards
 
-V = public_tokenizers.path("byte_bpe_50k.json")
-CLASHING = ("n", "class", "column", "row", "range", "bucket", "words", "spans", "base", "which", "term", "guest", "tokens", "number", "label", "next", "counts", "slot", "own_id", "kept_id", "found", "piece", "tie", "mask", "lead", "own", "size", "seed", "width")
+V, P = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+CLASHING = ("n", "class", "column", "row", "range", "bucket", "words", "spans", "base", "which", "term", "guest", "tokens", "number", "label", "next", "counts", "slot", "own_id", "kept_id", "found", "piece", "tie", "mask", "lead", "own", "size", "seed", "width", "pair", "times", "name", "f", "phrase", "place", "share", "groups")
 
 #: name -> (operator over documents and benchmark, whether a row of documents gives a row)
 ROWWISE = {
@@ -18,6 +18,9 @@ ROWWISE = {
     "pseudonyms": (lambda d, b: pii.report(d, "key"), True),
     "licenses": (lambda d, b: licenses.licenses(d), True),
     "jaccard": (lambda d, b: jaccard.jaccard_components(d), True),
+    "alignment": (lambda d, b: alignment.aligned(d, V, P), True),
+    "divergence": (lambda d, b: divergence.quality(d), True),
+    "collocations": (lambda d, b: collocations.collocations(d), False),
     "decontaminate": (lambda d, b: decontaminate.contaminated(d, b), False),
     "token_shards": (lambda d, b: token_shards.training_shards(d, V), False),
     "packing": (lambda d, b: packing.packed(d, V), False),

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -63,6 +64,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def closed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``text_bytes`` of texts that each get a line feed at their end, so that no word or line spans two of them."""
+    return text_bytes(pc.binary_join_element_wise(column.cast(pa.large_string()).fill_null(""), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts from ``starts`` to ``ends`` of ``flat``, one after another; where each begins, and the end)."""
+    sizes = ends - starts
+    stops = np.concatenate(([0], np.cumsum(sizes)))
+    return flat[np.arange(stops[-1]) + np.repeat(starts - stops[:-1], sizes)], stops
+
+
 def _window_hashes(data: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     if _UP is None or len(_UP) <= len(data):
