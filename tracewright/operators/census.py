@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 from ..functions.structure import fault_group
 
 #: Calls from which on an episode has run away, first characters of a final text that are compared.
@@ -124,10 +126,10 @@ def paired_difference(pairs: DataFrame, by: str, two: str = "ok_two", one: str =
 def producers(rows: DataFrame, fields: list[str], order: str) -> DataFrame:
     """(fields, first_seen, place): distinct producers in the order in which they are first seen.
 
-    The place is numbered over distinct producers, of which a corpus has one.
+    The place is numbered over distinct producers by ranges; a corpus should have one.
     """
     seen = rows.groupBy(*fields).agg(F.min(order).alias("first_seen"))
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("first_seen", *fields)))
+    return numbered(seen, ["first_seen", *fields], "place")
 
 
 def require_one(producers: DataFrame, what: str) -> None:

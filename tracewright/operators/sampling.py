@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import accumulated, numbered, selected, succeeded
+
 
 def cell_slice(df: DataFrame, cell: list[str], order: list[str], per_cell: int, offset: int = 0) -> DataFrame:
     """``per_cell`` rows of each cell from ``offset`` on; a cell that has fewer raises an error."""
@@ -22,13 +26,20 @@ def round_robin(df: DataFrame, cell: list[str], order: list[str], n: int) -> Dat
 
 def apportioned(df: DataFrame, weight: str, total: int, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``share``: whole shares of ``total`` in proportion to the weight; what is left goes to the largest
-    remainders, ties to the earlier row."""
-    family = Window.partitionBy(*by)
-    exact = F.col(weight) * F.lit(float(total)) / F.sum(weight).over(family)
-    rows = df.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
-    left = F.lit(total) - F.sum("_floor").over(family)
-    rank = F.row_number().over(family.orderBy((F.col("_exact") - F.col("_floor")).desc(), *order))
-    return rows.withColumn("share", (F.col("_floor") + (rank <= left).cast("long")).cast("long")).drop("_exact", "_floor")
+    remainders, ties to the earlier row.
+
+    Sums are joined by family, and remainders are numbered by ranges, so a family may have any number of rows.
+    """
+    one = [*by, "_all"]
+    rows = df.withColumn("_all", F.lit(1))
+    exact = F.col(weight) * F.lit(float(total)) / F.col("_sum")
+    same = lambda x, a, b: reduce(lambda p, q: p & q, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in x))
+    sums = rows.groupBy(*one).agg(F.sum(weight).alias("_sum"))
+    rows = rows.alias("r").join(sums.alias("s"), same(one, "r", "s")).select("r.*", "s._sum").withColumn("_exact", exact).withColumn("_floor", F.floor("_exact").cast("long")).withColumn("_rest", F.col("_exact") - F.col("_floor"))
+    placed = numbered(rows, [F.col("_rest").desc(), *order], "_rank", tuple(one))
+    floors = placed.groupBy(*one).agg(F.sum("_floor").alias("_floors"))
+    both = placed.alias("r").join(floors.alias("s"), same(one, "r", "s")).select("r.*", "s._floors")
+    return both.select(*df.columns, (F.col("_floor") + (F.col("_rank") <= F.lit(total) - F.col("_floors")).cast("long")).cast("long").alias("share"))
 
 
 def keyed(prefix: str, *parts: Column) -> Column:
@@ -60,8 +71,7 @@ def capped(df: DataFrame, stratum: str, task: str, rows: str, budget: int, prefi
 
 def deranged(df: DataFrame, order: Column, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``other``: the value of the next row in a keyed order, round in one cycle; a lone row gets its own."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("other", F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return succeeded(df.withColumn("_order", order), ["_order"], value, "other", by).drop("_order")
 
 
 def sharded(df: DataFrame, cell: list[str], order: list[str], size: int, samples: int) -> DataFrame:
@@ -72,15 +82,12 @@ def sharded(df: DataFrame, cell: list[str], order: list[str], size: int, samples
 
 def order_statistic(df: DataFrame, value: str, alpha: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The value at place floor(alpha * n), counted from 0, of each family."""
-    own = Window.partitionBy(*by)
-    rows = df.withColumn("_rn", F.row_number().over(own.orderBy(value))).withColumn("_n", F.count("*").over(own))
-    return rows.where(F.col("_rn") == F.least(F.floor(F.col("_n") * F.lit(alpha)), F.col("_n") - 1) + 1).select(*by, F.col(value).alias("statistic"))
+    return selected(df, value, lambda n: F.least(F.floor(n * F.lit(alpha)), n - 1), by)
 
 
 def error_budget(df: DataFrame, problem: str, order: list[str], is_error: Column, per_problem: int, budget: int) -> DataFrame:
     """Accepted rows in order: at most ``per_problem`` of a problem, and error rows only while their budget lasts. An error row
     over the problem's quota still spends budget."""
-    rows = df.withColumn("_error", is_error)
-    rows = rows.withColumn("_spent", F.sum(F.col("_error").cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = accumulated(df.withColumn("_error", is_error), order, "_spent", F.coalesce(F.col("_error"), F.lit(False)).cast("long"))
     open_rows = rows.where(~F.col("_error") | (F.col("_spent") <= budget))
     return open_rows.withColumn("_rn", F.row_number().over(Window.partitionBy(problem).orderBy(*order))).where(F.col("_rn") <= per_problem).drop("_error", "_spent", "_rn")

@@ -85,7 +85,7 @@ _TRAJECTORIES = "t AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderkey % 31 =
 
 
 @query(rf"""WITH {_TRAJECTORIES}, r AS (SELECT CASE WHEN exhausted THEN 'max_turns_exhausted' WHEN truncated THEN 'truncated_final' WHEN final = '' THEN 'no_final' WHEN contains(final, '</think>') THEN 'stray_think' WHEN NOT contains(final, 'boxed') THEN 'no_box' WHEN CAST(truth AS INT) <> k % 7 THEN 'wrong' WHEN n_calls = 0 THEN 'no_tool' WHEN n_calls > 6 THEN 'too_many_calls' WHEN 3 + k % 200 > 128 THEN 'final_too_long' WHEN tool <> 'calculator' THEN 'irrelevant_tool' WHEN tool_error THEN 'tool_error' ELSE 'accepted' END AS reason FROM t) SELECT reason, count(*) AS n FROM r GROUP BY reason""")
-def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trajectory_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why trajectories are rejected, by the first of eleven reasons."""
     k = F.col("k")
     final = F.when(k % 23 == 0, "").when(k % 19 == 0, "x</think>").when(k % 17 == 0, "no number").otherwise(F.concat(F.lit("it is \\boxed{"), (k % 7).cast("string"), F.lit("}"), F.repeat(F.lit(" w"), (k % 200).cast("int"))))

@@ -146,11 +146,11 @@ def generated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.walked(tasks.lookup_chains(labels, b"stand-in"))
 
 
-@query()
+@query("WITH RECURSIVE l AS (SELECT l_orderkey AS episode, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS call_id, l_partkey % 5 AS gives, l_suppkey % 5 AS takes FROM lineitem), e AS (SELECT DISTINCT b.episode, b.call_id AS node, a.call_id AS next FROM l a JOIN l b ON a.episode = b.episode AND a.call_id < b.call_id AND a.gives = b.takes), r AS (SELECT episode, max(call_id) AS node FROM l GROUP BY 1 UNION SELECT r.episode, e.next FROM r JOIN e ON e.episode = r.episode AND e.node = r.node) SELECT episode, count(*) AS contributing FROM r GROUP BY 1")
 def causal_dataflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls on the dataflow into each order's last line: a line feeds a later one that shares its part's residue or supplier."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_linenumber").alias("call_id"), F.array((F.col("l_partkey") % 5).cast("string")).alias("gives"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("takes"))
-    li = li.dropDuplicates(["episode", "call_id"])
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode"), place.alias("call_id"), F.array((F.col("l_partkey") % 5).cast("string")).alias("gives"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("takes"))
     edges = audits.feeds(li, "episode", "call_id", "gives", "takes")
     last = li.groupBy("episode").agg(F.max("call_id").alias("call_id"))
     return audits.contributing(edges, last).groupBy("episode").agg(F.count("*").alias("contributing"))

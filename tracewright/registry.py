@@ -13,9 +13,14 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the DuckDB SQL for the same rows where there is some."""
+    """Register a query under its function's name, with the DuckDB SQL for the same rows where there is some.
+
+    A name that another function has is an error.
+    """
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE[f.__name__] = sql
