@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, numbers
-from ..operators import audits, census, episodes, leakage, replay, sampling, tasks, views
+from ..operators import audits, census, episodes, faults, leakage, replay, sampling, tasks, views
 from ..registry import query
 from ..streaming import journals
 from .proxies import SPLITS, calls, splits, table
@@ -117,12 +117,39 @@ def derived_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", F.sha2(F.concat(F.lit("heldout-split"), F.lit("\x01"), "n_name"), 256).alias("seed"))
 
 
-@query("WITH n AS (SELECT c_custkey AS task, (c_custkey * 7) % 10 AS hidden FROM customer), k AS (SELECT *, sha256('fault-plan|' || CAST(task AS VARCHAR)) AS key FROM n), r AS (SELECT *, row_number() OVER (ORDER BY hidden, key) - 1 AS i FROM k) SELECT task, (['transient','rate_limit','malformed','wrong_unit'])[(i % 4 + 1)::INT] AS fault FROM r")
+_TASKS = "t AS (SELECT c_custkey AS task, (['distill','dev','eval','eval_stress','eval_mt'])[(c_custkey % 5 + 1)::INT] AS split, (['lookup_chain','typed_relay','fulfillment'])[(c_custkey // 5 % 3 + 1)::INT] AS family, CASE WHEN c_custkey // 15 % 2 = 0 THEN 4 ELSE 8 END AS horizon FROM customer)"
+
+
+def planned_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tasks of five splits, three families and two horizons, with ``converts``."""
+    c = F.col("c_custkey")
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    div = lambda n: F.call_function("div", c, F.lit(n))
+    t = table(spark, sf_dir, "customer").select(c.alias("task"), pick(("distill", "dev", "eval", "eval_stress", "eval_mt"), c % 5).alias("split"), pick(("lookup_chain", "typed_relay", "fulfillment"), div(5) % 3).alias("family"), F.when(div(15) % 2 == 0, 4).otherwise(8).alias("horizon"))
+    return t.withColumn("converts", (F.col("family") == "typed_relay") | ((F.col("family") == "fulfillment") & (F.col("horizon") > 4)))
+
+
+@query(f"""WITH {_TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY split, family, horizon ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY split, family, horizon) AS n FROM t),
+w AS (SELECT DISTINCT split, family, horizon, n, CASE split WHEN 'eval_mt' THEN 0 WHEN 'distill' THEN n - n // 2 ELSE n END AS m, CASE WHEN split = 'eval' THEN CASE WHEN family = 'typed_relay' THEN [8,15,70,7] WHEN family = 'lookup_chain' OR horizon = 4 THEN [25,50,0,25] ELSE [15,30,40,15] END WHEN family = 'typed_relay' OR (family = 'fulfillment' AND horizon = 8) THEN [1,1,1,1] ELSE [34,33,0,33] END AS ws FROM r),
+k AS (SELECT * EXCLUDE ws, unnest(['transient','malformed','wrong_unit','rate_limit']) AS kind, unnest([1,2,3,4]) AS p, unnest(ws) AS weight FROM w),
+u AS (SELECT split, family, horizon, m, [kind] AS unit, p * 10 AS s, weight FROM k WHERE weight > 0 AND split <> 'eval_stress' UNION ALL SELECT a.split, a.family, a.horizon, a.m, [a.kind, b.kind], a.p * 10 + b.p, 1 FROM k a JOIN k b ON a.split = b.split AND a.family = b.family AND a.horizon = b.horizon AND a.p < b.p WHERE a.split = 'eval_stress' AND a.weight > 0 AND b.weight > 0),
+e AS (SELECT *, CAST(m AS DOUBLE) * weight / sum(weight) OVER (PARTITION BY split, family, horizon) AS x FROM u),
+f AS (SELECT *, floor(x) + (row_number() OVER (PARTITION BY split, family, horizon ORDER BY x - floor(x) DESC, s) <= m - sum(floor(x)) OVER (PARTITION BY split, family, horizon))::INT AS c FROM e),
+b AS (SELECT *, sum(c) OVER o - c AS first, sum(CASE WHEN list_contains(unit, 'malformed') THEN c ELSE 0 END) OVER o - CASE WHEN list_contains(unit, 'malformed') THEN c ELSE 0 END AS bad FROM f WINDOW o AS (PARTITION BY split, family, horizon ORDER BY s))
+SELECT r.task, r.split, r.family, r.horizon, coalesce(array_to_string(list_transform(b.unit, lambda q: q || CASE WHEN q = 'malformed' AND r.family = 'fulfillment' AND (r.i - (r.n - b.m) - b.first + b.bad) % 4 = 0 THEN '*' ELSE '' END), '+'), '') AS faults FROM r LEFT JOIN b ON b.split = r.split AND b.family = r.family AND b.horizon = r.horizon AND r.i - (r.n - b.m) >= b.first AND r.i - (r.n - b.m) < b.first + b.c""")
 def fault_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults dealt in turn, the most constrained tasks first and those alike in keyed order."""
-    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"), ((F.col("c_custkey") * 7) % 10).alias("hidden"))
-    i = F.row_number().over(Window.orderBy("hidden", sampling.keyed("fault-plan", F.col("task").cast("string")))) - 1
-    return n.select("task", F.element_at(F.array(*map(F.lit, ("transient", "rate_limit", "malformed", "wrong_unit"))), (i % 4 + 1).cast("int")).alias("fault"))
+    """Which faults each task of a cell carries, in proportion to the cell's weights; ambiguous ones have a star."""
+    plan = faults.planned(planned_tasks(spark, sf_dir), ["task"])
+    return plan.select("task", "split", "family", "horizon", F.array_join(F.transform("faults", lambda f: F.concat(f["kind"], F.when(f["ambiguous"], "*").otherwise(""))), "+").alias("faults"))
+
+
+@query()
+def fault_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On which of six nodes each planned fault is, and the unit that a wrong-unit fault shows."""
+    node = lambda name, tool, mutating, action, unit: F.struct(F.lit(name).alias("node"), F.lit(tool).alias("tool"), F.lit(mutating).alias("mutating"), F.lit(action).cast("string").alias("action"), F.lit(unit).cast("string").alias("unit"))
+    nodes = F.array(node("n0", "kb_lookup", False, None, None), node("n1", "unit_convert", False, None, "kg"), node("n2", "calculator", False, None, None), node("n3", "warehouse_query", False, None, None), node("n4", "warehouse_update", True, "reserve", None), node("n5", "warehouse_update", True, "finalize", None))
+    plan = faults.planned(planned_tasks(spark, sf_dir), ["task"]).select("task", "faults", nodes.alias("nodes"), draws.derived("fault-plan", F.encode(F.col("task").cast("string"), "UTF-8")).alias("seed"))
+    return faults.targeted(plan).select("task", F.posexplode("targets").alias("place", "target")).select("task", "place", "target.*")
 
 
 @query(f"WITH {SPLITS}, h AS (SELECT DISTINCT kind, value, split FROM keys), v AS (SELECT a.kind, a.split AS sa, b.split AS sb FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value AND a.split < b.split GROUP BY ALL) SELECT 'S10' AS veto, CASE WHEN (SELECT count(*) FROM keys) = 0 THEN 'INCONCLUSIVE' WHEN (SELECT count(*) FROM v) > 0 THEN 'BUG' ELSE 'OK' END AS status, (SELECT count(*) FROM keys) AS n_checked, (SELECT count(*) FROM v) AS n_bad")
