@@ -64,10 +64,10 @@ def _result(text: str) -> float | int:
             wants_value = True
         else:
             raise ValueError("not arithmetic")
-    while signs and "(" not in signs:
-        apply()
-    if wants_value or signs:
+    if wants_value or "(" in signs:
         raise ValueError("not arithmetic")
+    while signs:
+        apply()
     return values[0]
 
 
@@ -90,6 +90,34 @@ def calculated(expression: pd.Series) -> pd.Series:
     return expression.map(one)
 
 
+def written(x: Column) -> Column:
+    """A number as the tools write it: whole ones without a point, others with six digits at most."""
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when(x.isNotNull(), short)
+
+
+def arithmetic(expression: Column) -> Column:
+    """The result of sums and products of numbers without brackets, as ``calculated`` writes it, without Python on the workers.
+
+    Anything else, and a division by zero, is null: a fold over the tokens adds up a sum and the product that is still open.
+    """
+    tokens = F.regexp_extract_all(expression, F.lit(r"\*\*|//|[-+*/%]|[^-+*/%\s]+"), F.lit(0))
+    start = F.struct(F.lit("").alias("sign"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("product"), F.lit(True).alias("good"))
+
+    def step(acc: Column, token: Column) -> Column:
+        x = F.when(token.rlike(r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$"), token.cast("double"))
+        sign, product = acc["sign"], acc["product"]
+        is_sign = token.rlike(r"^(\*\*|//|[-+*/%])$")
+        lone = (sign == "") & product.isNull()
+        joined = F.when(lone, x).when(sign == "+", x).when(sign == "-", -x).when(sign == "*", product * x).when(x == 0, F.lit(None)).when(sign == "/", product / x).when(sign == "//", F.floor(product / x).cast("double")).when(sign == "%", product - x * F.floor(product / x))
+        added = acc["sum"] + F.when(sign.isin("+", "-"), product).otherwise(0.0)
+        good = acc["good"] & F.when(is_sign, (sign == "") & product.isNotNull() & (token != "**")).otherwise(x.isNotNull() & joined.isNotNull() & (lone | (sign != "")))
+        return F.struct(F.when(is_sign, token).otherwise("").alias("sign"), F.when(is_sign, acc["sum"]).otherwise(added).alias("sum"), F.when(is_sign, product).otherwise(joined).alias("product"), F.coalesce(good, F.lit(False)).alias("good"))
+
+    done = F.aggregate(tokens, start, step, lambda a: F.when(a["good"] & (a["sign"] == ""), a["sum"] + a["product"]))
+    return written(done)
+
+
 def units(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(UNITS), "unit string, kind string, size double")
 

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import accumulated, numbered
+from .shared import settle
+
 
 def _gaps(df: DataFrame, key: str, tests: list[tuple[str, Column]]) -> DataFrame:
     """(key, gap): every test that a row fails, by name."""
@@ -199,19 +202,28 @@ def open_sessions(journal: DataFrame, ledger: DataFrame) -> DataFrame:
 def batches(files: DataFrame, order: str, most: int, most_bytes: int) -> DataFrame:
     """``files`` with ``batch``: consecutive files of up to ``most`` files and ``most_bytes`` bytes each, in their order.
 
-    A batch ends before the file that would pass a bound, so it is followed file by file, in one aggregate over a publication's
-    files (path and size only); a file that is larger than the bound is a batch of its own.
+    A batch ends before the file that would pass a bound; a file that is larger than the bound is a batch of its own. Each file
+    knows the first file of the batch after its own, if it began one; which files do begin one follows from the first by
+    doubling these jumps, in as many rounds as the number of batches has bits. Any number of files; paths are unique.
     """
-    every = files.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "path", "size"))).alias("files"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<struct<path:string,batch:int>>").alias("out"))
-
-    def add(acc: Column, f: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["bytes"] + f["size"] > most_bytes))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(acc["n"]) + 1).alias("n"), (F.when(full, F.lit(0).cast("long")).otherwise(acc["bytes"]) + f["size"].cast("long")).alias("bytes"), F.concat(acc["out"], F.array(F.struct(f["path"].alias("path"), batch.alias("batch")))).alias("out"))
-
-    plan = every.select(F.explode(F.aggregate("files", start, add, lambda a: a["out"])).alias("x")).select("x.*")
-    return files.join(plan, "path")
+    placed = accumulated(numbered(files, [order, "path"], "_i"), [order, "path"], "_end", F.col("size").cast("long"))
+    placed = settle(placed.withColumn("_start", F.col("_end") - F.col("size")), "files")
+    # the last file that ends within a batch begun here: ends and limits meet in the same stretch of most_bytes, or one before
+    stretch = lambda c: F.floor(F.col(c) / F.lit(max(most_bytes, 1))).cast("long")
+    ends = placed.select(F.col("_end").alias("_at"), F.lit(0).alias("_kind"), "_i", F.col("_i").alias("_last"))
+    limits = placed.select((F.col("_start") + most_bytes).alias("_at"), F.lit(1).alias("_kind"), "_i", F.lit(None).cast("long").alias("_last"))
+    both = ends.union(limits).withColumn("_stretch", stretch("_at"))
+    upto = Window.partitionBy("_stretch").orderBy("_at", "_kind", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    fits = both.withColumn("_last", F.max("_last").over(upto)).where("_kind = 1")
+    before = ends.groupBy((stretch("_at") + 1).alias("_stretch")).agg(F.max("_last").alias("_whole"))
+    jumps = fits.join(before, "_stretch", "left").select("_i", F.least(F.col("_i") + most, F.greatest(F.coalesce("_last", "_whole", F.lit(0)), F.col("_i")) + 1).alias("_next"))
+    jumps, begun, n, last = settle(jumps, "jumps"), settle(placed.where("_i = 1").select("_i"), "begun"), 0, 1
+    while n < last:
+        n, begun = last, settle(begun.union(begun.join(jumps, "_i").select(F.col("_next").alias("_i"))).distinct().join(placed.select("_i"), "_i", "left_semi"), "begun")
+        ahead = jumps.select(F.col("_i").alias("_next"), F.col("_next").alias("_far"))
+        jumps, last = settle(jumps.join(ahead, "_next").select("_i", F.col("_far").alias("_next")), "jumps"), begun.count()
+    marked = placed.join(begun.withColumn("_begins", F.lit(1).cast("long")), "_i", "left")
+    return accumulated(marked, ["_i"], "batch", F.coalesce("_begins", F.lit(0).cast("long"))).select(*files.columns, (F.col("batch") - 1).cast("int").alias("batch"))
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:
