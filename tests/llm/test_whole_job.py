@@ -3,7 +3,9 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import imatch, jaccard, langid, licenses, pii
 
@@ -157,3 +159,62 @@ def test_all_spellings_of_a_value_have_one_pseudonym(spark):
     kept = ["12345678901234567890123", "3.4155550123", "1155550123", "+33 1", "31 Movember 1999", "45-45-1999"]
     same = pii.report(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string"), "key").collect()
     assert not any(r["changed"] for r in same)
+
+
+def test_spans_of_a_long_text_with_many_matches(spark):
+    """200,000 strings in one text of some MB, with base spans between them: places as a plain search has them."""
+    import hashlib
+    import re
+    import time
+
+    from tracewright.llm import secrets
+
+    words = [hashlib.sha256(str(i).encode()).hexdigest()[:20].translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(200_000)]
+    for i in range(0, len(words), 5_000):
+        words[i] = "token=" + hashlib.md5(str(i).encode()).hexdigest()
+    text = "é " + " ".join(words)
+    model = secrets.train(secrets.random_strings(spark).union(secrets.numbers(spark)))
+    began = time.time()
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["found"]
+    assert time.time() - began < 60
+    got = [(s["start"], s["end"]) for s in found if s["kind"] == "assign"]
+    assert got == [m.span() for m in re.finditer(r"token=[0-9a-f]+", text)]
+    assert len(found) > 40 + 40 and [s["start"] for s in found] == sorted(s["start"] for s in found)
+    base = [s for s in found if s["kind"] != "markov"]
+    ends = {s["end"] for s in base}
+    assert all(text[s["start"] - 1] == " " and s["end"] not in ends for s in found if s["kind"] == "markov")
+
+
+def test_running_values(spark):
+    from tracewright.llm import spans
+
+    df = spark.createDataFrame([([3, 1, 4],), ([],), (list(range(2000)),)], "v array<int>")
+    for row in df.select("v", spans.before(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), spans.before(F.col("v"), F.lit(-1), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        v = row["v"]
+        sums, tops = [0], [-1]
+        for x in v:
+            sums.append(sums[-1] + x)
+            tops.append(max(tops[-1], x))
+        assert row["s"] == sums[:-1] and row["m"] == tops[:-1]
+
+
+def test_a_preamble_of_many_items_makes_no_pairs(spark):
+    """4,000 items begin with the same twelve words; a text that has these words only isn't tiled with any of them."""
+    import time
+
+    import numpy as np
+
+    from tracewright.llm import decontaminate
+
+    preamble = "answer the following question with one word and give no reason now".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(preamble + [f"q{rng.randrange(10**6)}" for _ in range(20)])) for i in range(4000)]
+    hashed = lambda t: decontaminate.word_hashes(pa.array([t]))[0]
+    items = decontaminate.Items([(i, hashed(t)) for i, t in rows])
+    own, whole = hashed(" ".join(["x"] * 30 + preamble + ["y"] * 30)), hashed("z " * 40 + rows[7][1])
+    items.met(own, 0.6)
+    began = time.time()
+    assert len(items.met(own, 0.6)) == 0 and time.time() - began < 0.05
+    assert items.met(whole, 0.6).tolist() == [7]
+    got = decontaminate.contaminated(spark.createDataFrame([(1, "x " * 30 + " ".join(preamble)), (2, "z " * 40 + rows[7][1])], "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 7)] and np.isclose(got[0]["coverage"], 1.0)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from . import vec
 from .store import settle
 
@@ -323,12 +324,11 @@ def collocations(docs: DataFrame, best: int = BEST, broadcast_words: int = BROAD
     scored = cut.groupBy("phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"), F.max("lang").alias("lang"))
     scored = scored.select("phrase", "a", "lang", "low.l", "low.r", "low.score")
 
-    # the best of each part of a language, ties included, then the best of all parts
+    # the best of each part of a language, ties included; those are numbered by ranges
     order = [F.desc("score"), F.desc("a")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    some = scored.withColumn("part", part).withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= best)
-    some = settle(some.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= best).drop("part", "place"), "best")
+    some = settle(scored.withColumn("part", part).withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= best).drop("part", "place"), "best")
     spelled = some.select("phrase", F.posexplode("phrase").alias("at", "name")).join(known.select("name", "word"), "name").groupBy("phrase").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("spelled"))
     totals = words.where("word is null").select("lang", F.col("f").alias("n"))
-    ranked = some.join(spelled, "phrase").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "spelled")).cast("long")).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select("lang", "rank", F.col("spelled").alias("phrase"), "a", "l", "r", "n", "score")
+    ranked = numbered(some.join(spelled, "phrase"), [*order, "spelled"], "rank", ("lang",)).where(F.col("rank") <= best)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), F.col("spelled").alias("phrase"), "a", "l", "r", "n", "score")

@@ -99,28 +99,44 @@ def _hashed(table: DataFrame, id_col: str, name: str) -> DataFrame:
 
 
 class Items:
-    """The items, with their seeds in one sorted array."""
+    """The items, with all places of their seeds in one array, sorted by seed."""
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.rows = [(i, w) for i, w in rows if len(w)]
+        self.sizes = np.array([len(w) for _, w in self.rows], np.int64)
         self.by_size = {}
-        for size in sorted({min(LEAST, len(w)) for _, w in self.rows}):
-            own = [np.unique(seeds(w, size)) if min(LEAST, len(w)) == size else np.zeros(0, np.uint64) for _, w in self.rows]
+        for size in sorted({min(LEAST, n) for n in self.sizes.tolist()}):
+            own = [seeds(w, size) if min(LEAST, len(w)) == size else np.zeros(0, np.uint64) for _, w in self.rows]
             flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
+            places = np.concatenate([np.arange(len(s)) for s in own])
             order = np.argsort(flat, kind="stable")
-            self.by_size[size] = flat[order], of[order]
+            self.by_size[size] = flat[order], of[order], places[order]
 
-    def met(self, words: np.ndarray) -> np.ndarray:
-        """Items that share a seed with a text."""
+    def met(self, words: np.ndarray, coverage: float) -> np.ndarray:
+        """Items of which so many words stand in seeds that a text shares as the coverage needs.
+
+        Every word under a tile stands in a shared seed, so no item that reaches the coverage is left out, and one that
+        shares a common passage only isn't tiled.
+        """
         out = [np.zeros(0, np.int64)]
-        for size, (known, of) in self.by_size.items():
+        for size, (known, of, places) in self.by_size.items():
             own = seeds(words, size)
             if not len(own):
                 continue
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             hit = np.unique(own[known[at] == own])
             low, high = np.searchsorted(known, hit), np.searchsorted(known, hit, side="right")
-            out += [of[a:b] for a, b in zip(low, high, strict=True)]
+            rows, _ = vec.gathered(np.arange(len(known)), low, high)
+            if not len(rows):
+                continue
+            item, place = of[rows], places[rows]
+            order = np.lexsort((place, item))
+            item, place = item[order], place[order]
+            reach = np.full(len(item), size)
+            same = item[1:] == item[:-1]
+            reach[:-1][same] = np.minimum(size, (place[1:] - place[:-1])[same])
+            covered = np.bincount(item, weights=reach, minlength=len(self.sizes))
+            out.append(np.flatnonzero((covered > 0) & (covered >= coverage * self.sizes - 1e-9)))
         return np.unique(np.concatenate(out))
 
 
@@ -164,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         known = sent.value
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                rows = [r for doc_id, words in zip(part.column(0).to_pylist(), word_hashes(part.column(1)), strict=True) for i in known.met(words).tolist() if (r := _result(doc_id, known.rows[i][0], words, known.rows[i][1]))["coverage"] >= coverage]
+                rows = [r for doc_id, words in zip(part.column(0).to_pylist(), word_hashes(part.column(1)), strict=True) for i in known.met(words, coverage).tolist() if (r := _result(doc_id, known.rows[i][0], words, known.rows[i][1]))["coverage"] >= coverage]
                 if rows:
                     yield _arrow(rows)
 
@@ -227,7 +243,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         known = sent.value
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                keep = [not any(_result(None, None, words, known.rows[i][1])["coverage"] >= coverage for i in known.met(words).tolist()) for words in word_hashes(part.column(at))]
+                keep = [not any(_result(None, None, words, known.rows[i][1])["coverage"] >= coverage for i in known.met(words, coverage).tolist()) for words in word_hashes(part.column(at))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

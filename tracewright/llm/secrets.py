@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import spans
+from .spans import before, let, spans
 
 #: The base forms (kind, pattern, group, least length of the group).
 BASE = (
@@ -26,6 +26,8 @@ LEAST_RATIO, LEAST_RATE = 12.0, 0.5
 RANDOM_ROWS, SAMPLE_DOCS = 3000, 1000
 #: Characters are ASCII codes; anything else is code 0.
 CODES = 128
+#: Past every place of a text.
+END = (1 << 31) - 1
 
 
 def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
@@ -104,12 +106,21 @@ def scan(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: s
     def known(kind: str, pattern: str, group: int, least: int) -> Column:
         return of(kind, F.filter(spans(F.col("text"), pattern, group), lambda s: F.char_length(s["part"]) >= least))
 
-    base = F.concat(*(known(*form) for form in BASE))
-    docs = docs.withColumn("base", base)
-    judged = F.transform(spans(F.col("text"), CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), ratio(s["value"], model).alias("ratio")))
-    random = F.filter(judged, lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATE * (s["end"] - s["start"] - 1)))
-    free = F.filter(random, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.select("doc_id", F.array_sort(F.concat("base", of("markov", free))).alias("found"))
+    def judged() -> Column:
+        found = F.transform(spans(F.col("text"), CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), ratio(s["value"], model).alias("ratio")))
+        return of("markov", F.filter(found, lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATE * (s["end"] - s["start"] - 1))))
+
+    def added(sorted_spans: Column) -> Column:
+        """Base spans, and those of the model that end before the next base span and begin after all earlier ones."""
+        is_base = lambda s: s["kind_no"] < KINDS["markov"]
+        last = before(F.transform(sorted_spans, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+        first = F.reverse(before(F.reverse(F.transform(sorted_spans, lambda s: F.when(is_base(s), s["start"]).otherwise(F.lit(END)))), F.lit(END), lambda a, b: F.least(a, b)))
+        marked = F.zip_with(F.zip_with(sorted_spans, last, lambda s, a: F.struct(s.alias("s"), a.alias("last"))), first, lambda x, b: F.struct(x["s"].alias("s"), (is_base(x["s"]) | ((x["last"] <= x["s"]["start"]) & (b >= x["s"]["end"]))).alias("stays")))
+        return F.transform(F.filter(marked, lambda x: x["stays"]), lambda x: x["s"])
+
+    docs = docs.withColumn("base", F.concat(*(known(*form) for form in BASE)))
+    found = let(judged(), lambda random: F.when(F.size(random) == 0, F.array_sort("base")).otherwise(let(F.array_sort(F.concat("base", random)), added)))
+    return docs.select("doc_id", found.alias("found"))
 
 
 def listed(found: Column) -> Column:

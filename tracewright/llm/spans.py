@@ -20,6 +20,30 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Values of one block of a running total; a total over n values costs about n times the sum of this and n / BLOCK copies.
+BLOCK = 512
+
+
+def before(values: Column, start, join) -> Column:
+    """Of each element of an array what ``join`` makes of ``start`` and all elements before it, such as a running sum.
+
+    Arrays grow within blocks and over block totals only, so long arrays aren't copied at every step.
+    """
+
+    def grown(part: Column, first: Column) -> Column:
+        return F.slice(F.aggregate(part, F.array(first), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x)))), F.lit(1), F.size(part))
+
+    def joined(blocks: Column) -> Column:
+        firsts = grown(F.transform(blocks, lambda b: F.aggregate(b, start, join)), start)
+        return F.flatten(F.zip_with(blocks, firsts, grown))
+
+    def blocked(all_values: Column) -> Column:
+        last = F.floor((F.size(all_values) - 1) / BLOCK).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_values, i * BLOCK + 1, F.lit(BLOCK))), joined)
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(blocked(v)))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start int, end int, value string, part string>> of all matches, leftmost and non-overlapping.
 
@@ -27,16 +51,14 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     texts without a match cost one search.
     """
     empty = F.array().cast("array<struct<start:int,end:int,value:string,part:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    parts = F.arrays_zip(matches(text, pattern).alias("value"), matches(text, pattern, group).alias("part")) if group else F.transform(matches(text, pattern), lambda m: F.struct(m.alias("value"), m.alias("part")))
+    steps = F.filter(F.zip_with(pieces(text, pattern), parts, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m["value"].alias("value"), m["part"].alias("part"))), lambda x: x["value"].isNotNull())
 
-    def step(acc, x):
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part")))).alias("out"))
+    def placed(steps: Column) -> Column:
+        ends = before(F.transform(steps, lambda x: x["gap"] + F.char_length(x["value"])), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(steps, ends, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value"), x["part"].alias("part")))
 
-    parts = F.arrays_zip(matches(text, pattern).alias("value"), matches(text, pattern, group).alias("part")) if group else F.transform(matches(text, pattern), lambda m: F.struct(m.alias("value"), m.alias("part")))
-    steps = F.filter(F.zip_with(pieces(text, pattern), parts, lambda gap, m: F.struct(gap.alias("gap"), m["value"].alias("value"), m["part"].alias("part"))), lambda x: x["value"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern), let(steps, placed)).otherwise(empty)
 
 
 def replaced(text: Column, pattern: str, change) -> Column:
