@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import canon, structure, values
 from tracewright.operators import acceptance, audits, census, closure, completeness, registered, verifier, vetoes, views
-from tracewright.sources import files
+from tracewright.sources import files, tables
 
 
 def column(spark, rows, schema, *columns):
@@ -292,7 +292,7 @@ def test_files(spark, tmp_path):
     assert [files.append(rows, path, "k"), files.append(rows.union(spark.createDataFrame([(3, "c")], "k int, v string")), path, "k")] == [2, 1]
     for n in (1, 2):
         files.write_staged(rows.limit(n), str(tmp_path / "staged"))
-    assert spark.read.parquet(str(tmp_path / "staged")).count() == 2 and not list(tmp_path.glob("staged.staged*"))
+    assert tables.table(spark, str(tmp_path / "staged"), rows.schema).count() == 2 and tables.swept(spark, str(tmp_path / "staged")) == 1
     files.write_lines(rows, str(tmp_path / "lines"), ["k"])
     (part,) = (tmp_path / "lines").glob("part-*")
     assert part.read_text() == '{"k":1,"v":"a"}\n{"k":2,"v":"b"}\n'

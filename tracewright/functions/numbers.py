@@ -91,8 +91,13 @@ def calculated(expression: pd.Series) -> pd.Series:
 
 
 def written(x: Column) -> Column:
-    """A number as the tools write it: whole ones without a point, others with six digits at most."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    """A number as the tools write it: whole ones without a point, others with six digits at most.
+
+    A number whose shortest form has seven digits, the last a five, is rounded by that form, to an even digit.
+    """
+    places = F.greatest(F.lit(0), F.least(F.lit(9), 5 - F.floor(F.log10(F.abs(x)))))
+    even = F.when(F.abs(x).between(1e-4, 1e6), F.get(F.array(*(F.bround(x, i) for i in range(10))), places.cast("int"))).otherwise(x)
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", even), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when(x.isNotNull(), short)
 
 
@@ -102,19 +107,20 @@ def arithmetic(expression: Column) -> Column:
     Anything else, and a division by zero, is null: a fold over the tokens adds up a sum and the product that is still open.
     """
     tokens = F.regexp_extract_all(expression, F.lit(r"\*\*|//|[-+*/%]|[^-+*/%\s]+"), F.lit(0))
-    start = F.struct(F.lit("").alias("sign"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("product"), F.lit(True).alias("good"))
+    start = F.struct(F.lit("").alias("sign"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("product"), F.lit(False).alias("minus"), F.lit(True).alias("good"))
+    open_sum = lambda a: a["sum"] + F.when(a["minus"], -a["product"]).otherwise(a["product"])
 
     def step(acc: Column, token: Column) -> Column:
         x = F.when(token.rlike(r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$"), token.cast("double"))
         sign, product = acc["sign"], acc["product"]
         is_sign = token.rlike(r"^(\*\*|//|[-+*/%])$")
         lone = (sign == "") & product.isNull()
-        joined = F.when(lone, x).when(sign == "+", x).when(sign == "-", -x).when(sign == "*", product * x).when(x == 0, F.lit(None)).when(sign == "/", product / x).when(sign == "//", F.floor(product / x).cast("double")).when(sign == "%", product - x * F.floor(product / x))
-        added = acc["sum"] + F.when(sign.isin("+", "-"), product).otherwise(0.0)
+        joined = F.when(lone | sign.isin("+", "-"), x).when(sign == "*", product * x).when(x == 0, F.lit(None)).when(sign == "/", product / x).when(sign == "//", F.floor(product / x).cast("double")).when(sign == "%", product - x * F.floor(product / x))
+        ends = ~is_sign & sign.isin("+", "-")
         good = acc["good"] & F.when(is_sign, (sign == "") & product.isNotNull() & (token != "**")).otherwise(x.isNotNull() & joined.isNotNull() & (lone | (sign != "")))
-        return F.struct(F.when(is_sign, token).otherwise("").alias("sign"), F.when(is_sign, acc["sum"]).otherwise(added).alias("sum"), F.when(is_sign, product).otherwise(joined).alias("product"), F.coalesce(good, F.lit(False)).alias("good"))
+        return F.struct(F.when(is_sign, token).otherwise("").alias("sign"), F.when(ends, open_sum(acc)).otherwise(acc["sum"]).alias("sum"), F.when(is_sign, product).otherwise(joined).alias("product"), F.when(ends, sign == "-").otherwise(acc["minus"]).alias("minus"), F.coalesce(good, F.lit(False)).alias("good"))
 
-    done = F.aggregate(tokens, start, step, lambda a: F.when(a["good"] & (a["sign"] == ""), a["sum"] + a["product"]))
+    done = F.aggregate(tokens, start, step, lambda a: F.when(a["good"] & (a["sign"] == ""), open_sum(a)))
     return written(done)
 
 

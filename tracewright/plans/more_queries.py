@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, numbers
 from ..operators import audits, census, episodes, faults, leakage, replay, sampling, tasks, views
+from ..operators.shared import new_path
 from ..registry import query
 from ..streaming import journals
 from .proxies import SPLITS, calls, splits, table
@@ -100,8 +99,7 @@ def windowed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each kind by five minutes, run as a stream over the table's file to its end."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    at = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")) + f"/rates-{abs(hash(sf_dir))}-{id(stream)}"
-    return journals.run_to_end(journals.rates(stream, "event_type", "ts"), f"rates_{id(stream)}", at, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return journals.run_to_end(journals.rates(stream, "event_type", "ts"), new_path(spark, "rates"), ("start", "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH e AS (SELECT user_id AS journal_id, ts, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 40 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL AS opens, event_id FROM events), s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY journal_id ORDER BY ts, event_id) AS s FROM e) SELECT journal_id, count(*) AS beats, min(ts) AS opened_at, max(ts) AS last_at FROM s GROUP BY journal_id, s")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tomllib
-import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import canonical_json
+from . import tables
 
 
 def of_kind(df: DataFrame, kind: str, column: str = "kind") -> DataFrame:
@@ -111,33 +111,15 @@ def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_staged(df: DataFrame, path: str) -> None:
-    """Parquet that is there as a whole or not at all: written beside the path and then renamed to it."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, staged = hadoop.Path(path), hadoop.Path(f"{path}.staged-{uuid.uuid4().hex}")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.parquet(staged.toString())
-    if system.exists(target):
-        system.delete(target, True)
-    if not system.rename(staged, target):
-        raise OSError(f"{path} couldn't be written")
+def write_staged(df: DataFrame, path: str) -> int:
+    """The rows as the whole of a table of ``tables``: a reader sees the old rows or the new ones, and a failed write leaves the
+    old ones. ``tables.table`` reads them."""
+    return tables.replace(df, path)
 
 
 def append(df: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key isn't there yet, and says how many; what was done is never done again."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = pending(df, spark.read.schema(df.schema).parquet(path), key) if exists else df.dropDuplicates([key])
-    fresh = fresh.persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").parquet(path)
-        return n
-    finally:
-        fresh.unpersist()
+    """Appends rows whose key isn't there yet to a table of ``tables``, and says how many; several writers may append at once."""
+    return tables.append(df, path, key)
 
 
 def pending(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import canonical_json
+from ..operators.shared import settle
 
 
 def strict(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -17,22 +18,34 @@ def strict(spark: SparkSession, path: str | list[str], schema: T.StructType | st
 
 
 def tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, lines that are no JSON): what is malformed is counted by whoever asks, and not lost. A missing path is empty."""
+    """(good rows, lines that are no JSON): what is malformed is counted by whoever asks, and not lost. A missing path is empty.
+
+    Rows are written once, as a query on the malformed column alone isn't answered from the files.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
     whole = f"{schema}, _corrupt_record string"
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").json(path) if found else spark.createDataFrame([], whole)
-    rows = rows.cache() if found else rows  # a query on the malformed column alone isn't answered from the file
+    rows = settle(spark.read.schema(whole).option("mode", "PERMISSIVE").json(path), "tolerant") if found else spark.createDataFrame([], whole)
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 
-def in_file_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with ``src_file`` and ``line_no``, for rules that depend on which record came later.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, src_file, line_no): the lines of text files, numbered from 0 within each, however many splits a file has.
 
-    A file is read as a whole to number its lines; do it once and keep the result as Parquet.
+    Lines are kept once with the split that they are from and their order in it; lines are counted by split, the counts of a
+    file's earlier splits are added, and no line moves. Lines end at a line feed.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("src_file"))
-    lines = whole.select("src_file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("trim(line) != ''")
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    raw = settle(raw, "lines")
+    splits = raw.groupBy("src_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("src_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return raw.join(splits, ["src_file", "_block"]).select("line", "src_file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"))
+
+
+def in_file_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows with ``src_file`` and ``line_no``, for rules that depend on which record came later; blank lines only count."""
+    lines = numbered_lines(spark, path).where("trim(line) != ''")
     return lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"), "src_file", "line_no").select("row.*", "src_file", "line_no")
 
 
