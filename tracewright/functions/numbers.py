@@ -24,21 +24,19 @@ UNITS = (
 )
 
 
-def _result(text: str) -> float | int:
-    """Two stacks over the tokens: a sign waits until a weaker one, or a closing bracket, follows."""
+def parsed(text: str, number, signed, joined):
+    """An arithmetic text put together by three functions: of a number's text, of a sign and a value, of a sign and two values.
+
+    Two stacks over the tokens: a sign waits until a weaker one, or a closing bracket, follows. ValueError where it isn't
+    arithmetic.
+    """
     values: list = []
     signs: list[str] = []
     wants_value, at, text = True, 0, text.rstrip()
 
     def apply():
-        sign = signs.pop()
-        b = values.pop()
-        if sign in ("u-", "u+"):
-            values.append(-b if sign == "u-" else b)
-            return
-        if sign == "**" and abs(b) > LARGEST_EXPONENT:
-            raise ValueError("exponent too large")
-        values.append(_APPLY[sign](values.pop(), b))
+        sign, b = signs.pop(), values.pop()
+        values.append(signed(sign[1], b) if sign[0] == "u" else joined(sign, values.pop(), b))
 
     strength = lambda sign: 3 if sign[0] == "u" else _STRENGTH[sign]
     while at < len(text):
@@ -47,7 +45,7 @@ def _result(text: str) -> float | int:
             raise ValueError("not arithmetic")
         at, (digits, sign) = token.end(), token.groups()
         if digits is not None and wants_value:
-            values.append(int(digits) if digits.isdigit() else float(digits))
+            values.append(number(digits))
             wants_value = False
         elif sign == "(" and wants_value:
             signs.append(sign)
@@ -71,6 +69,31 @@ def _result(text: str) -> float | int:
     return values[0]
 
 
+def _result(text: str) -> float | int:
+    def joined(sign, a, b):
+        if sign == "**" and abs(b) > LARGEST_EXPONENT:
+            raise ValueError("exponent too large")
+        return _APPLY[sign](a, b)
+
+    return parsed(text, lambda d: int(d) if d.isdigit() else float(d), lambda sign, a: -a if sign == "-" else a, joined)
+
+
+@F.pandas_udf(T.StringType())
+def expression_shape(text: pd.Series) -> pd.Series:
+    """An arithmetic text with a ``c`` for each number and brackets around every operation; ``?`` for anything else.
+
+    Both signs in front of a value are written as a minus.
+    """
+
+    def shape(t):
+        try:
+            return parsed(t, lambda _: "c", lambda _, a: f"(-{a})", lambda sign, a, b: f"({a}{sign}{b})")
+        except ValueError:
+            return "?"
+
+    return text.map(shape, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def calculated(expression: pd.Series) -> pd.Series:
     """The result of each expression, or a text that begins with ``error:``."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .answers import boxed, committed, number
-from .canon import canonical
+from .canon import canonical, canonical_json
 
 #: What is stripped around a token; numbers and record keys in texts; the literal of an observation that was
 #: cut off; the mark of a receipt line; keys that never hold an answer; the argument that carries a recovery token.
@@ -128,35 +128,44 @@ def is_error(text: Column) -> Column:
     return F.exists(_lines(text), lambda x: F.coalesce(x.startswith("{") & failed(x), F.lit(False)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def exposed_values(text: pd.Series) -> pd.Series:
-    """Every scalar, at any depth, of the objects of an observation that are ``ok``, but for bookkeeping keys.
+#: The tokens of a JSON text.
+TOKENS = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+'
 
-    Scalars that stand in a list aren't named by a key and don't count.
-    """
 
-    def scalars(value, out):
-        if isinstance(value, dict):
-            for key, inner in value.items():
-                if key not in BOOKKEEPING:
-                    out.append(str(inner)) if isinstance(inner, str | int | float) else scalars(inner, out)
-        elif isinstance(value, list):
-            for inner in value:
-                if isinstance(inner, dict | list):
-                    scalars(inner, out)
-
-    def one(observed):
-        out: list[str] = []
-        for line in (observed or "").splitlines():
-            try:
-                value = json.loads(line) if line.strip().startswith("{") else None
-            except ValueError:
-                continue
-            if isinstance(value, dict) and value.get("ok") is True:
-                scalars(value, out)
-        return out
+def _scalars(text: Column) -> Column:
+    """Scalars that a key names, of a JSON object as text, at any depth; those below a bookkeeping key are left out.
 
-    return text.map(one)
+    A fold over the tokens: ``open`` has a letter for each container that is open, ``hidden`` is the depth at which a
+    bookkeeping key's value began (0 outside of one), and ``key`` says that the next text is a key.
+    """
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("key"), F.lit(0).alias("hidden"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth, inside = F.char_length(acc["open"]), F.right(acc["open"], F.lit(1))
+        quoted = token.startswith('"')
+        names = quoted & acc["key"]
+        ends = token.isin("}", "]")
+        scalar = ~names & ~token.isin("{", "}", "[", "]", ",", ":")
+        plain = F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+        shown = F.when(quoted, plain).when(token.isin("true", "false"), F.initcap(token)).otherwise(token)
+        after = F.when(token == "{", F.concat(acc["open"], F.lit("o"))).when(token == "[", F.concat(acc["open"], F.lit("a"))).when(ends, F.left(acc["open"], depth - 1)).otherwise(acc["open"])
+        closes = (acc["hidden"] == depth) & ((token == "}") | (token == ","))
+        hidden = F.when(names & (acc["hidden"] == 0) & plain.isin(*BOOKKEEPING), depth).when(closes, F.lit(0)).otherwise(acc["hidden"])
+        out = F.when(scalar & (inside == "o") & (acc["hidden"] == 0) & (token != "null"), F.concat(acc["out"], F.array(shown))).otherwise(acc["out"])
+        return F.struct(after.alias("open"), ((token == "{") | ((token == ",") & (inside == "o"))).alias("key"), hidden.alias("hidden"), out.alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), start, step, lambda acc: acc["out"])
+
+
+def exposed_values(text: Column) -> Column:
+    """Every scalar, at any depth, of the objects of an observation that are ``ok``, but for bookkeeping keys; no nulls.
+
+    Scalars that stand in a list aren't named by a key and don't count. Values come in the order in which they stand. A line
+    that isn't JSON, or names a key twice, shows nothing.
+    """
+    ok = lambda x: F.try_variant_get(F.try_parse_json(x), "$.ok", "variant")
+    good = lambda x: F.coalesce(x.startswith("{") & (F.schema_of_variant(ok(x)) == "BOOLEAN") & F.try_variant_get(F.try_parse_json(x), "$.ok", "boolean"), F.lit(False))
+    return F.flatten(F.transform(F.filter(_lines(text), good), _scalars))
 
 
 #: Arguments of the five tools that are numbers.
@@ -194,30 +203,26 @@ def recovery_token(arguments: Column) -> Column:
     return F.get_json_object(arguments, f"$.{TOKEN_ARGUMENT}")
 
 
-@F.pandas_udf(T.StringType())
-def resolved_arguments(arguments: pd.Series, prior: pd.Series) -> pd.Series:
+def resolved_arguments(arguments: Column, prior: Column) -> Column:
     """Arguments whose references are replaced by results of earlier nodes; null where one wasn't executed.
 
     A reference names its node, the field of its record (``value`` is the envelope's own) and a format that it is put into.
-    ``prior`` is a JSON object of node -> envelope.
+    ``prior`` is a JSON object of node -> envelope. Both are taken apart as maps of variants, entry by entry.
     """
-
-    def value(ref, results):
-        source, field = results[ref["$from"]], ref.get("field", "value")
-        record = source if field == "value" else source.get("record")
-        found = record.get(field) if isinstance(record, dict) else None
-        return ref["format"].replace("{}", str(found)) if ref.get("format") else found
-
-    def one(text, results):
-        if text is None:
-            return None
-        results = json.loads(results or "{}")
-        try:
-            return canonical({k: value(v, results) if isinstance(v, dict) and "$from" in v else v for k, v in json.loads(text).items()})
-        except KeyError:
-            return None
-
-    return pd.Series([one(*x) for x in zip(arguments, prior, strict=True)], dtype=object)
+    results = F.coalesce(F.from_json(prior, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    entries = F.from_json(arguments, "map<string,variant>")
+    part = lambda v, name, kind="string": F.try_variant_get(v, f"$['{name}']", kind)
+    node = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), part(v, "$from"))
+
+    def value(v: Column) -> Column:
+        envelope, field = F.try_element_at(results, node(v)), F.coalesce(part(v, "field"), F.lit("value"))
+        found = F.when(field == "value", part(envelope, "value", "variant")).otherwise(F.try_element_at(part(envelope, "record", "map<string,variant>"), field))
+        shown = F.when(F.schema_of_variant(found) == "BOOLEAN", F.initcap(found.cast("string"))).otherwise(F.coalesce(found.cast("string"), F.lit("None")))
+        put = F.when(F.coalesce(part(v, "format"), F.lit("")) != "", F.replace(part(v, "format"), F.lit("{}"), shown).cast("variant"))
+        return F.when(node(v).isNull(), v).otherwise(F.coalesce(put, found, F.parse_json(F.lit("null"))))
+
+    missing = F.exists(F.map_values(entries), lambda v: node(v).isNotNull() & ~F.map_contains_key(results, F.coalesce(node(v), F.lit(""))))
+    return F.when(~missing, canonical_json(F.to_json(F.transform_values(entries, lambda _, v: value(v)))))
 
 
 def derived_answer(envelope: Column, field: Column) -> Column:
