@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bind import let
+
 #: Binary signs with their strength; a power binds to the right and before a sign in front of it.
 _STRENGTH = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "**": 4}
 _APPLY = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod, "**": operator.pow}
@@ -118,10 +120,14 @@ def written(x: Column) -> Column:
 
     A number whose shortest form has seven digits, the last a five, is rounded by that form, to an even digit.
     """
-    places = F.greatest(F.lit(0), F.least(F.lit(9), 5 - F.floor(F.log10(F.abs(x)))))
-    even = F.when(F.abs(x).between(1e-4, 1e6), F.get(F.array(*(F.bround(x, i) for i in range(10))), places.cast("int"))).otherwise(x)
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", even), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when(x.isNotNull(), short)
+
+    def shown(x: Column) -> Column:
+        places = F.greatest(F.lit(0), F.least(F.lit(9), 5 - F.floor(F.log10(F.abs(x)))))
+        even = F.when(F.abs(x).between(1e-4, 1e6), F.get(F.array(*(F.bround(x, i) for i in range(10))), places.cast("int"))).otherwise(x)
+        short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", even), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+        return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when(x.isNotNull(), short)
+
+    return let(x, shown)
 
 
 def arithmetic(expression: Column) -> Column:
@@ -134,14 +140,16 @@ def arithmetic(expression: Column) -> Column:
     open_sum = lambda a: a["sum"] + F.when(a["minus"], -a["product"]).otherwise(a["product"])
 
     def step(acc: Column, token: Column) -> Column:
-        x = F.when(token.rlike(r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$"), token.cast("double"))
         sign, product = acc["sign"], acc["product"]
         is_sign = token.rlike(r"^(\*\*|//|[-+*/%])$")
         lone = (sign == "") & product.isNull()
-        joined = F.when(lone | sign.isin("+", "-"), x).when(sign == "*", product * x).when(x == 0, F.lit(None)).when(sign == "/", product / x).when(sign == "//", F.floor(product / x).cast("double")).when(sign == "%", product - x * F.floor(product / x))
         ends = ~is_sign & sign.isin("+", "-")
-        good = acc["good"] & F.when(is_sign, (sign == "") & product.isNotNull() & (token != "**")).otherwise(x.isNotNull() & joined.isNotNull() & (lone | (sign != "")))
-        return F.struct(F.when(is_sign, token).otherwise("").alias("sign"), F.when(ends, open_sum(acc)).otherwise(acc["sum"]).alias("sum"), F.when(is_sign, product).otherwise(joined).alias("product"), F.when(ends, sign == "-").otherwise(acc["minus"]).alias("minus"), F.coalesce(good, F.lit(False)).alias("good"))
+
+        def taken(x: Column) -> Column:
+            joined = F.when(lone | sign.isin("+", "-"), x).when(sign == "*", product * x).when(x == 0, F.lit(None)).when(sign == "/", product / x).when(sign == "//", F.floor(product / x).cast("double")).when(sign == "%", product - x * F.floor(product / x))
+            return let(joined, lambda joined: F.struct(F.when(is_sign, token).otherwise("").alias("sign"), F.when(ends, open_sum(acc)).otherwise(acc["sum"]).alias("sum"), F.when(is_sign, product).otherwise(joined).alias("product"), F.when(ends, sign == "-").otherwise(acc["minus"]).alias("minus"), (acc["good"] & F.coalesce(F.when(is_sign, (sign == "") & product.isNotNull() & (token != "**")).otherwise(joined.isNotNull() & (lone | (sign != ""))), F.lit(False))).alias("good")))
+
+        return let(F.when(token.rlike(r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$"), token.cast("double")), taken)
 
     done = F.aggregate(tokens, start, step, lambda a: F.when(a["good"] & (a["sign"] == ""), open_sum(a)))
     return written(done)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.numbers import UNITS, arithmetic, written
 from .order import numbered
 
@@ -49,10 +50,9 @@ def _resolved(args: Column, done: Column) -> Column:
     """struct<args, missing>: arguments with their references replaced; missing where a referenced node has no result."""
 
     def value(a: Column) -> Column:
-        source = F.try_element_at(done, a["source"])
-        found = F.when(F.coalesce(a["field"], F.lit("value")) == "value", source["value"]).otherwise(F.try_element_at(source["record"], a["field"]))
-        spliced = F.when(F.coalesce(a["format"], F.lit("")) != "", F.replace(a["format"], F.lit("{}"), F.coalesce(found, F.lit("None")))).otherwise(found)
-        return F.when(a["source"].isNull(), a["value"]).otherwise(spliced)
+        spliced = lambda found: F.when(F.coalesce(a["format"], F.lit("")) != "", F.replace(a["format"], F.lit("{}"), F.coalesce(found, F.lit("None")))).otherwise(found)
+        field = lambda source: let(F.when(F.coalesce(a["field"], F.lit("value")) == "value", source["value"]).otherwise(F.try_element_at(source["record"], a["field"])), spliced)
+        return F.when(a["source"].isNull(), a["value"]).otherwise(let(F.try_element_at(done, a["source"]), field))
 
     missing = F.exists(F.map_values(args), lambda a: a["source"].isNotNull() & F.try_element_at(done, a["source"]).isNull())
     return F.struct(F.transform_values(args, lambda _, a: value(a)).alias("args"), missing.alias("missing"))
@@ -67,14 +67,19 @@ def executed(kb: Column, nodes: Column) -> Column:
     start = F.struct(F.lit(True).alias("going"), F.create_map().cast(f"map<string,{_RESULT}>").alias("done"), F.lit(None).cast("map<string,string>").alias("args"))
 
     def run(acc: Column, n: Column) -> Column:
-        own = _resolved(n["args"], acc["done"])
-        args = own["args"]
-        record = F.try_element_at(kb, F.trim(F.try_element_at(args, F.lit("key"))))
-        value = F.when(n["tool"] == "unit_convert", _converted(args)).when(n["tool"] == "calculator", arithmetic(F.try_element_at(args, F.lit("expression"))))
-        result = F.when(~own["missing"] & (n["tool"] == "kb_lookup") & record.isNotNull(), F.struct(F.lit(None).cast("string").alias("value"), record.alias("record"))).when(~own["missing"] & value.isNotNull(), F.struct(value.alias("value"), F.lit(None).cast("map<string,string>").alias("record")))
-        on = acc["going"] & result.isNotNull()
-        grown = F.map_concat(F.map_filter(acc["done"], lambda k, _: k != n["node"]), F.map_from_arrays(F.array(n["node"]), F.array(result.cast(_RESULT))))
-        return F.struct(on.alias("going"), F.when(on, grown).otherwise(acc["done"]).alias("done"), F.when(acc["going"] & ~own["missing"], args).otherwise(acc["args"]).alias("args"))
+        def result(own: Column) -> Column:
+            args = own["args"]
+            record = F.try_element_at(kb, F.trim(F.try_element_at(args, F.lit("key"))))
+            value = F.when(n["tool"] == "unit_convert", _converted(args)).when(n["tool"] == "calculator", arithmetic(F.try_element_at(args, F.lit("expression"))))
+            found = F.struct(F.when(n["tool"] != "kb_lookup", value).alias("value"), F.when(n["tool"] == "kb_lookup", record).alias("record")).cast(_RESULT)
+            return let(found, lambda found: after(own, found))
+
+        def after(own: Column, found: Column) -> Column:
+            on = acc["going"] & ~own["missing"] & (found["value"].isNotNull() | found["record"].isNotNull())
+            grown = F.map_concat(F.map_filter(acc["done"], lambda k, _: k != n["node"]), F.map_from_arrays(F.array(n["node"]), F.array(found)))
+            return F.struct(F.coalesce(on, F.lit(False)).alias("going"), F.when(on, grown).otherwise(acc["done"]).alias("done"), F.when(acc["going"] & ~own["missing"], own["args"]).otherwise(acc["args"]).alias("args"))
+
+        return let(_resolved(n["args"], acc["done"]), result)
 
     return F.aggregate(nodes, start, run)
 

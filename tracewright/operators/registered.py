@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.structure import fault_group
 from ..functions.values import stalled_or_crashed
+from .shared import settle
 
 #: The registered thresholds.
 REGISTERED = {
@@ -34,27 +35,37 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)).cast("int")
 
 
-def arm_pairs(episodes: DataFrame, condition: str, splits: tuple[str, ...], arms: tuple[str, str] = ("BP", "TP")) -> DataFrame:
-    """One row a task that both arms have: the first arm's key columns, and each arm's flags with ``_one`` and ``_two``."""
+def every_pair(episodes: DataFrame, arms: tuple[str, str] = ("BP", "TP")) -> DataFrame:
+    """One row a task and condition that both arms have, in one join: the first arm's key columns, each arm's flags with
+    ``_one`` and ``_two``, and both splits."""
     flags = ("certified", "recovered", "orchestrated", "runaway", "hallucinated")
-    own = episodes.where((F.col("condition") == condition) & (F.col("control") == "none") & F.col("split").isin(*splits))
-    one = own.where(F.col("arm") == arms[0]).select("task_id", "family", "horizon", "cluster", "pattern_id", "all_tools", "fault_class", *(_flag(f).alias(f"{f}_one") for f in flags))
-    two = own.where(F.col("arm") == arms[1]).select("task_id", "n_calls", *(_flag(f).alias(f"{f}_two") for f in flags))
-    return one.join(two, "task_id")
+    own = episodes.where(F.col("control") == "none")
+    one = own.where(F.col("arm") == arms[0]).select("task_id", "condition", "family", "horizon", "split", "cluster", "pattern_id", "all_tools", "fault_class", *(_flag(f).alias(f"{f}_one") for f in flags))
+    two = own.where(F.col("arm") == arms[1]).select("task_id", "condition", F.col("split").alias("split_two"), "n_calls", *(_flag(f).alias(f"{f}_two") for f in flags))
+    return one.join(two, ["task_id", "condition"])
+
+
+def _of(pairs: DataFrame, condition: str, splits: tuple[str, ...]) -> DataFrame:
+    return pairs.where((F.col("condition") == condition) & F.col("split").isin(*splits) & F.col("split_two").isin(*splits)).drop("condition", "split", "split_two")
+
+
+def arm_pairs(episodes: DataFrame, condition: str, splits: tuple[str, ...], arms: tuple[str, str] = ("BP", "TP")) -> DataFrame:
+    """One row a task of a condition and some splits that both arms have, as ``every_pair``."""
+    return _of(every_pair(episodes, arms), condition, splits)
 
 
-def common_clean(episodes: DataFrame, registered: dict = REGISTERED) -> DataFrame:
-    """Faulted pairs of the tasks that both arms certify when clean."""
-    clean = arm_pairs(episodes, "clean", registered["core"]).where("certified_one = 1 and certified_two = 1").select("task_id")
-    return arm_pairs(episodes, "faulted", registered["core"]).join(clean, "task_id", "left_semi")
+def common_clean(episodes: DataFrame, registered: dict = REGISTERED, of=arm_pairs) -> DataFrame:
+    """Faulted pairs of the tasks that both arms certify when clean. ``of`` is ``_of`` where pairs are given."""
+    clean = of(episodes, "clean", registered["core"]).where("certified_one = 1 and certified_two = 1").select("task_id")
+    return of(episodes, "faulted", registered["core"]).join(clean, "task_id", "left_semi")
 
 
-def orchestration_pairs(episodes: DataFrame, registered: dict = REGISTERED) -> DataFrame:
-    return arm_pairs(episodes, "clean", registered["mt"]).where(F.col("all_tools") & (F.col("horizon") == registered["mt_horizon"]))
+def orchestration_pairs(episodes: DataFrame, registered: dict = REGISTERED, of=arm_pairs) -> DataFrame:
+    return of(episodes, "clean", registered["mt"]).where(F.col("all_tools") & (F.col("horizon") == registered["mt_horizon"]))
 
 
-def long_pairs(episodes: DataFrame, registered: dict = REGISTERED) -> DataFrame:
-    return arm_pairs(episodes, "clean", registered["h8"]).where((F.col("horizon") == registered["hr_horizon"]) & F.col("family").isin(*registered["hr_families"]))
+def long_pairs(episodes: DataFrame, registered: dict = REGISTERED, of=arm_pairs) -> DataFrame:
+    return of(episodes, "clean", registered["h8"]).where((F.col("horizon") == registered["hr_horizon"]) & F.col("family").isin(*registered["hr_families"]))
 
 
 def underpowered(status: Column, power: Column) -> tuple[Column, Column]:
@@ -74,9 +85,10 @@ def gates(episodes: DataFrame, bounds: DataFrame, registered: dict = REGISTERED)
     status before that.
     """
     r = registered
-    clean, faulted = arm_pairs(episodes, "clean", r["core"]), arm_pairs(episodes, "faulted", r["core"])
-    both, mt, hr = common_clean(episodes, r), orchestration_pairs(episodes, r), long_pairs(episodes, r)
-    core = episodes.where((F.col("arm") == "TP") & (F.col("control") == "none") & F.col("condition").isin("clean", "faulted") & F.col("split").isin(*r["core"]))
+    pairs = settle(every_pair(episodes), "pairs")  # all samples are rows of this one table
+    clean, faulted = _of(pairs, "clean", r["core"]), _of(pairs, "faulted", r["core"])
+    both, mt, hr = common_clean(pairs, r, _of), orchestration_pairs(pairs, r, _of), long_pairs(pairs, r, _of)
+    core = settle(episodes.where((F.col("arm") == "TP") & (F.col("control") == "none") & F.col("condition").isin("clean", "faulted") & F.col("split").isin(*r["core"])).select("runaway", "hallucinated"), "core")
     rows: list[DataFrame] = []
 
     def row(gate: str, df: DataFrame, estimate: Column, status, measured=None) -> None:

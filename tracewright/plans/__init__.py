@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import agent_queries, census_queries, episode_queries, ledger_queries, more_queries  # noqa: F401
+    from . import agent_queries, census_queries, episode_queries, ledger_queries, more_queries, verdict_queries  # noqa: F401

@@ -27,8 +27,11 @@ def _gate_sql() -> str:
     }
     parts["MT3"] = ("mt", "CAST(list_sort(list(n_calls))[count(*) // 2 + 1] AS DOUBLE)", "0")
     rows = " UNION ALL ".join(agg.format(g=g, t=t, e=e, k=k) for g, (t, e, k) in parts.items())
-    status = f"CASE WHEN gate IN ('ER2','ER4','MT1','HR1') THEN 'INCONCLUSIVE' WHEN gate = 'ER1' THEN CASE WHEN n >= {_R['er1_pairs']} THEN 'PASS' ELSE 'INCONCLUSIVE' END WHEN gate = 'ER3' AND n < {_R['er1_pairs']} THEN 'INCONCLUSIVE' WHEN gate = 'ER3' THEN {lower_sql('k', 'n', 0.6)} WHEN gate = 'ER5' THEN CASE WHEN n < {_R['er5_pairs']} THEN 'INCONCLUSIVE' WHEN estimate >= 0 THEN 'PASS' ELSE 'FAIL' END WHEN gate IN ('ER6','HR2') THEN {upper_sql('k', 'n', 0.03)} WHEN gate IN ('ER7','HR3') THEN {upper_sql('k', 'n', 0.01)} WHEN gate = 'MT2' THEN {lower_sql('k', 'n', 0.6)} WHEN gate = 'MT3' THEN CASE WHEN n = 0 THEN 'INCONCLUSIVE' WHEN estimate <= {_R['mt3_calls']} THEN 'PASS' ELSE 'FAIL' END END"
-    measured = f"CASE WHEN gate = 'ER3' THEN {lower_sql('k', 'n', 0.6)} ELSE status END"
+    own = {"ER2": "PASS", "ER4": "FAIL", "MT1": "INCONCLUSIVE", "HR1": "PASS"}
+    power = {"ER2": f"n >= {_R['er1_pairs']}", "ER4": "n > 0", "MT1": f"n >= {_R['mt1_pairs']}", "HR1": f"n >= {_R['hr1_pairs']} AND (SELECT count(*) FROM hr WHERE certified_one <> certified_two) >= {_R['hr1_discordant']}"}
+    bound = " ".join(f"WHEN gate = '{g}' THEN CASE WHEN {power[g]} THEN '{s}' ELSE 'INCONCLUSIVE' END" for g, s in own.items())
+    status = f"CASE {bound} WHEN gate = 'ER1' THEN CASE WHEN n >= {_R['er1_pairs']} THEN 'PASS' ELSE 'INCONCLUSIVE' END WHEN gate = 'ER3' AND n < {_R['er1_pairs']} THEN 'INCONCLUSIVE' WHEN gate = 'ER3' THEN {lower_sql('k', 'n', 0.6)} WHEN gate = 'ER5' THEN CASE WHEN n < {_R['er5_pairs']} THEN 'INCONCLUSIVE' WHEN estimate >= 0 THEN 'PASS' ELSE 'FAIL' END WHEN gate IN ('ER6','HR2') THEN {upper_sql('k', 'n', 0.03)} WHEN gate IN ('ER7','HR3') THEN {upper_sql('k', 'n', 0.01)} WHEN gate = 'MT2' THEN {lower_sql('k', 'n', 0.6)} WHEN gate = 'MT3' THEN CASE WHEN n = 0 THEN 'INCONCLUSIVE' WHEN estimate <= {_R['mt3_calls']} THEN 'PASS' ELSE 'FAIL' END END"
+    measured = "CASE " + " ".join(f"WHEN gate = '{g}' THEN '{s}'" for g, s in own.items()) + f" WHEN gate = 'ER3' THEN {lower_sql('k', 'n', 0.6)} ELSE status END"
     groups = "SELECT 'ER8' AS gate, coalesce(sum(c), 0)::BIGINT AS n, min(d) AS estimate, CASE WHEN count(*) FILTER (c >= 400) < 3 OR count(*) FILTER (c < 400) > 0 THEN 'INCONCLUSIVE' WHEN min(d) < -0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT CASE WHEN fault_class IN ('transient','rate_limit') THEN 'tr' ELSE fault_class END AS g, count(*) AS c, avg(recovered_two - recovered_one) AS d FROM core WHERE condition = 'faulted' GROUP BY 1)"
     patterns = "SELECT 'MT5', coalesce(sum(c), 0)::BIGINT, min(d), CASE WHEN count(*) FILTER (c >= 80) < 6 OR count(*) FILTER (c < 80) > 0 THEN 'INCONCLUSIVE' WHEN min(d) < -0.05 THEN 'FAIL' ELSE 'PASS' END FROM (SELECT pattern_id, count(*) AS c, avg(orchestrated_two - orchestrated_one) AS d FROM mt GROUP BY 1)"
     legs = f"SELECT 'MT4', n, greatest(a, b) / n, CASE WHEN n = 0 THEN 'INCONCLUSIVE' WHEN ua = 'FAIL' OR ub = 'FAIL' THEN 'FAIL' WHEN ua = 'INCONCLUSIVE' OR ub = 'INCONCLUSIVE' THEN 'INCONCLUSIVE' ELSE 'PASS' END FROM (SELECT *, {upper_sql('a', 'n', 0.03)} AS ua, {upper_sql('b', 'n', 0.01)} AS ub FROM (SELECT count(*) AS n, coalesce(sum(runaway_two), 0) AS a, coalesce(sum(hallucinated_two), 0) AS b FROM mt))"
@@ -40,8 +43,8 @@ SELECT gate, n, round(estimate, 6) AS estimate, status, measured FROM w"""
 
 @query(_gate_sql())
 def registered_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All gates as a table; no clustered bounds are given, so the four gates that need one decide nothing."""
-    bounds = spark.createDataFrame([], "gate string, bound double, degenerate boolean")
+    """All gates as a table, with given clustered bounds: above, below, degenerate, and just above their margins."""
+    bounds = spark.createDataFrame([("ER2", 0.06, False), ("ER4", -0.04, False), ("MT1", 0.5, True), ("HR1", 0.0501, False)], "gate string, bound double, degenerate boolean")
     return registered.gates(agent_episodes(spark, sf_dir), bounds).select("gate", "n", r6(F.col("estimate"), "estimate"), "status", "measured")
 
 
