@@ -70,3 +70,17 @@ def test_resolved_arguments(spark):
     assert got[99] is None
     alone = df.where("i in (8, 9)").select("i", values.resolved_arguments(F.col("a"), F.lit(None).cast("string")).alias("r")).collect()
     assert {r["i"]: r["r"] for r in alone} == {8: None, 9: "{}"}
+
+
+def test_text_feeds_are_those_of_all_pairs(spark):
+    from tracewright.operators import audits
+
+    rng = random.Random(7)
+    parts = ["3", "3.0", "-3", "1,000", "1000", "1e3", "0.1", "0.1000000001", "ABCDEFGH", "xabcdefghy", "abc", "", " ", "KAB234567", "use KAB234567 now", "(3 + 4) * 2", "x3", "3.5", "5-3", "a.b", "key 1,000.", "nan", "+7", "7", "ünïcödé-long", "see ÜNÏCÖDÉ-LONG"]
+    rows = [(e, c, c, [rng.choice(parts) for _ in range(rng.randrange(4))], [rng.choice(parts) + rng.choice(["", "", " ", "!", "4"]) for _ in range(rng.randrange(4))]) for e in range(40) for c in range(8)]
+    df = spark.createDataFrame(rows, "episode int, call_id int, decision_id int, gives array<string>, takes array<string>")
+    a = df.select("episode", F.col("call_id").alias("a"), F.explode("gives").alias("value"))
+    b = df.select("episode", F.col("call_id").alias("b"), F.explode("takes").alias("taken"))
+    want = a.join(b, "episode").where("a < b").where(values.feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct().collect()
+    got = audits.text_feeds(df, df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 100

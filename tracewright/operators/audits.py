@@ -57,15 +57,52 @@ def feeds(events: DataFrame, episode: str, decision: str, gives: str, takes: str
     return a.join(b, ["episode", "value"]).where("da < db").select("episode", "a", "b").distinct()
 
 
+#: Characters from which on a value that stands within another counts, and steps a unit of the number line is cut into.
+WITHIN, STEPS = 8, 1e8
+
+
+def _grams(text: Column) -> Column:
+    """The different stretches of WITHIN characters of a text."""
+    last = F.char_length(text) - WITHIN + 1
+    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(WITHIN)))).otherwise(F.array().cast("array<string>")))
+
+
+def _number_keys(text: Column, beside: tuple[int, ...]) -> Column:
+    x = F.regexp_replace(F.trim(text), ",", "").try_cast("double")
+    at = F.floor(x * STEPS).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.array(*(F.concat(F.lit("n"), (at + i).cast("string")) for i in beside))).otherwise(F.array().cast("array<string>"))
+
+
+def _given_keys(value: Column) -> Column:
+    """Names under which a produced value is looked for: its step of the number line, itself, its last whole word, its beginning,
+    and, where an argument may stand in it, its stretches."""
+    low = F.lower(F.trim(value))
+    word = F.regexp_extract(F.trim(value), r"([\w.]+)[^\w.]*$", 1)
+    begin = F.when(F.char_length(low) >= WITHIN, F.array(F.concat(F.lit("g"), F.left(low, F.lit(WITHIN))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(_number_keys(value, (0,)), F.array(F.concat(F.lit("e"), low), F.concat(F.lit("t"), word)), begin, F.transform(_grams(low), lambda g: F.concat(F.lit("h"), g))))
+
+
+def _taken_keys(value: Column) -> Column:
+    low = F.lower(F.trim(value))
+    words = F.transform(F.regexp_extract_all(value, F.lit(r"[\w.]+"), F.lit(0)), lambda w: F.concat(F.lit("t"), w))
+    begin = F.when(F.char_length(low) >= WITHIN, F.array(F.concat(F.lit("h"), F.left(low, F.lit(WITHIN))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(_number_keys(value, (-1, 0, 1)), F.array(F.concat(F.lit("e"), low)), words, begin, F.transform(_grams(F.lower(value)), lambda g: F.concat(F.lit("g"), g))))
+
+
 def text_feeds(events: DataFrame, calls: DataFrame) -> DataFrame:
     """(episode, a, b): calls a of whose values one is an argument of a call b of a later decision, or stands in one.
 
     events: episode, call_id, decision_id, gives array<string> (exposed values). calls: episode, call_id, decision_id, takes
     array<string> (arguments without the recovery token). Values are matched as ``values.feeds_match`` does, within an episode.
+    Only pairs that share a name are tested: of every kind of match both sides have one name at least in common (equal
+    numbers are in the same or the next step, a number within an argument ends in a whole word of it, and a longer value
+    within another begins with a stretch of it).
     """
-    a = events.select("episode", F.col("call_id").alias("a"), F.col("decision_id").alias("da"), F.explode("gives").alias("value"))
-    b = calls.select("episode", F.col("call_id").alias("b"), F.col("decision_id").alias("db"), F.explode("takes").alias("taken"))
-    return a.join(b, "episode").where((F.col("da") < F.col("db")) & feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct()
+    a = events.select("episode", F.col("call_id").alias("a"), F.col("decision_id").alias("da"), F.explode("gives").alias("value")).distinct()
+    b = calls.select("episode", F.col("call_id").alias("b"), F.col("decision_id").alias("db"), F.explode("takes").alias("taken")).distinct()
+    a, b = a.withColumn("name", F.explode(_given_keys(F.col("value")))), b.withColumn("name", F.explode(_taken_keys(F.col("taken"))))
+    met = a.join(b, ["episode", "name"]).where(F.col("da") < F.col("db")).select("episode", "a", "b", "value", "taken").distinct()
+    return met.where(feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct()
 
 
 def contributing(edges: DataFrame, answers: DataFrame) -> DataFrame:

@@ -39,17 +39,26 @@ def cluster_sums(df: DataFrame, cluster: str, value: Column) -> DataFrame:
     return df.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count("*").cast("double").alias("n"))
 
 
+#: Choices that are looked up at once.
+AT_ONCE = 1 << 20
+
+
+def stream(seed: int, label: str, chunk: int, n: int) -> np.ndarray:
+    """n little-endian 64-bit words of the stream of a chunk, SHAKE-256."""
+    return np.frombuffer(hashlib.shake_256(f"{seed:#x}:{label}:chunk{chunk}".encode("ascii")).digest(8 * n), "<u8")
+
+
 def draws(seed: int, label: str, chunk: int, n: int, k: int) -> np.ndarray:
-    """n choices of 0..k-1 of the stream of a chunk: little-endian 64-bit words of SHAKE-256, modulo k."""
-    stream = hashlib.shake_256(f"{seed:#x}:{label}:chunk{chunk}".encode("ascii")).digest(8 * n)
-    return (np.frombuffer(stream, "<u8") % np.uint64(k)).astype(np.int64)
+    """n choices of 0..k-1: words of the stream of a chunk, modulo k."""
+    return (stream(seed, label, chunk, n) % np.uint64(k)).astype(np.int64)
 
 
 def bootstrap_bound(df: DataFrame, cluster: str, value: Column, label: str, replicates: int = REPLICATES, seed: int = SEED, block: int = BLOCK, alpha: float = ALPHA) -> dict:
     """The lower bound of the mean over rows, resampling whole clusters: point, bound, clusters, whether it is degenerate.
 
     Sums by cluster come to the driver (one row a cluster, sorted by its name); each chunk of ``block`` replicates has its own
-    stream, so chunks are tasks and partitioning has no part in the result.
+    stream, so chunks are tasks and partitioning has no part in the result. A task holds the stream of its chunk, 8 bytes times
+    ``block`` times clusters, as the stream can't be entered in its middle, and little beside it.
     """
     rows = sorted(((str(r[cluster]), r["total"], r["n"]) for r in cluster_sums(df, cluster, value).collect()))
     k = len(rows)
@@ -64,8 +73,11 @@ def bootstrap_bound(df: DataFrame, cluster: str, value: Column, label: str, repl
         for frame in frames:
             for c in frame["id"]:
                 b = min(block, replicates - int(c) * block)
-                at = draws(seed, label, int(c), b * k, k).reshape(b, k)
-                yield pd.DataFrame({"ratio": total[at].sum(1) / n[at].sum(1)})
+                words = stream(seed, label, int(c), b * k).reshape(b, k)
+                step = max(1, AT_ONCE // k)
+                for low in range(0, b, step):  # the stream is one piece, what is made of it isn't
+                    at = (words[low : low + step] % np.uint64(k)).astype(np.int64)
+                    yield pd.DataFrame({"ratio": total[at].sum(1) / n[at].sum(1)})
 
     count = -(-replicates // block)
     ratios = df.sparkSession.range(0, count, 1, min(count, 64)).mapInPandas(chunks, "ratio double")

@@ -27,9 +27,13 @@ def selected(messages: DataFrame, episode: str, turn: str, role: str, terminal_c
 def built(messages: DataFrame, chosen: DataFrame, episode: str, turn: str, role: str, text: str, budget: int, tokens: Column) -> DataFrame:
     """Views with their prompt (all turns before), completion, length and row id, in one table so that nothing is matched by
     position; a view over the token budget has ``kept`` false."""
-    before = Window.partitionBy(episode).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    prompt = messages.withColumn("_n", tokens).select(episode, turn, F.col(text).alias("completion"), F.array_join(F.collect_list(F.concat_ws(": ", role, text)).over(before), "\n").alias("prompt"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_n")).alias("n_tokens"))
-    out = chosen.join(prompt, [episode, turn])
+    lines = messages.groupBy(episode).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.concat_ws(": ", role, text).alias("line"), F.col(text).alias("text"), tokens.alias("n")))).alias("_lines"))
+    # one array a conversation, of which each chosen turn takes what stands before it
+    joined = chosen.join(lines, episode).withColumn("_at", F.array_position(F.transform("_lines", lambda x: x["turn"]), F.col(turn)).cast("int"))
+    before = F.slice("_lines", F.lit(1), F.col("_at") - 1)
+    own = F.get("_lines", F.col("_at") - 1)
+    sums = F.aggregate(before, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n"], F.lit(0)))
+    out = joined.where("_at > 0").select(*chosen.columns, own["text"].alias("completion"), F.array_join(F.transform(before, lambda x: x["line"]), "\n").alias("prompt"), (sums + own["n"]).alias("n_tokens"))
     key = row_id(F.col(episode).cast("string"), F.col(turn).cast("string"), F.col("view"), F.col("copy").cast("string"))
     return out.withColumn("row_id", key).withColumn("kept", F.col("n_tokens") <= budget)
 
