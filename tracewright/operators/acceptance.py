@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import boxed, committed, first_rejection, number
+from ..functions.structure import tool_pattern
 from ..functions.values import answers_match
 
 #: Tolerance of the trajectory filter, and the tools that it allows.
@@ -195,6 +196,33 @@ def certification_rows(specs: DataFrame) -> DataFrame:
     return specs.select("task_id", "family", "horizon", "split", "answer", tools.alias("tools"), need.alias("all_tools_required"), hidden.alias("hidden_key"), F.coalesce(F.array_contains(F.map_keys("kb"), hidden), F.lit(False)).alias("redactable"))
 
 
+def certification_specs(specs: DataFrame, contract: str, heldout: tuple[str, ...] = ()) -> DataFrame:
+    """The certification row of each task, with everything that an evaluator needs and nothing that it has to look up.
+
+    specs: task_id, suite, family, split, horizon, template_id, template, template_cluster_id, pattern_id, prompt, kb (a map by
+    record key), env, nodes array<struct<node, tool, args map<string,string>, expect>>, answer, answer_kind, faults
+    array<struct<fault_type, target_node, params map<string,string>>>, max_decisions, max_calls, secret_tokens, control,
+    control_meta map<string,string>, release_id.
+
+    The hidden key is that of the last lookup, and a task without one can only be redacted if it is so already. ``fault`` is the
+    one fault of a task that has one. A task of a held-out split without a release raises; rows carry the contract's digest.
+    """
+    tools = F.transform("nodes", lambda n: n["tool"])
+    looked_up = F.filter("nodes", lambda n: n["tool"] == "kb_lookup")
+    redacted = F.coalesce(F.col("control") == "redacted", F.lit(False))
+    place = lambda f: F.array_position(F.transform("nodes", lambda n: n["node"]), f["target_node"]).cast("int") - 1
+    faults = F.transform("faults", lambda f: F.struct(f["fault_type"].alias("class"), F.when(place(f) >= 0, place(f)).alias("node_index"), f["target_node"].alias("node"), f["params"].alias("params")))
+    unreleased = F.col("split").isin(*heldout) & F.col("release_id").isNull()
+    release = F.when(unreleased, F.raise_error(F.concat(F.lit("no release of held-out task "), F.col("task_id").cast("string")))).otherwise(F.col("release_id"))
+    return specs.select(
+        "task_id", "suite", "family", "split", "horizon", "template_id", F.sha2("template", 256).alias("template_hash"), "template_cluster_id", F.concat_ws("/", "suite", "split").alias("kb_namespace"), "pattern_id", tool_pattern(tools).alias("tool_pattern"),
+        (F.size(F.array_except(F.array(*map(F.lit, ALL_TOOLS)), tools)) == 0).alias("all_tools_required"), "prompt", "kb", "env", F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), n["tool"].alias("tool"), n["args"].alias("args"))).alias("oracle"), F.col("nodes").alias("oracle_nodes"), "answer", "answer_kind", F.lit("code").alias("answer_field"),
+        F.try_element_at(F.try_element_at(looked_up, F.lit(-1))["args"], F.lit("key")).alias("hidden_key"), (redacted | (F.size(looked_up) > 0)).alias("redactable"), F.lit(True).alias("counterfactual_sensitive"), F.when(F.size("faults") == 1, F.get(faults, F.lit(0))).alias("fault"), F.when(F.size("faults") > 0, faults).alias("faults"),
+        "max_decisions", "max_calls", "secret_tokens", release.cast("string").alias("heldout_release_id"), "control", F.when(redacted, F.col("control_meta")).alias("redaction"), F.when(F.col("control").isNotNull() & ~redacted, F.col("control_meta")).alias("permutation"),
+        *(F.when(F.col("control") == "permuted", F.try_element_at("control_meta", F.lit(field))).alias(name) for name, field in (("original_answer", "original_answer"), ("permuted_from", "donor_task_id"))), F.lit(contract).alias("environment_contract_sha256"),
+    )
+
+
 def message_map(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """(episode, call_id, assistant_index, result_index): the messages that a call was made in and answered by.
 

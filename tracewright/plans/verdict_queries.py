@@ -6,11 +6,13 @@ what has to come out.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structure, values
-from ..operators import acceptance, audits, completeness, controls, verifier, vetoes, views
+from ..operators import acceptance, audits, completeness, controls, leakage, verifier, vetoes, views
 from ..operators.shared import new_path
 from ..registry import query
 from ..streaming import journals
@@ -265,3 +267,36 @@ def streamed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, kind = F.col("user_id"), F.col("event_type")
     parts = stream.select(u.alias("rollout"), kind.alias("name"), F.when(kind == "view", u % 7).when(kind == "click", u % 5).otherwise(u % 3).cast("double").alias("score"), F.col("ts").cast("timestamp").alias("at"))
     return journals.run_to_end(journals.completed_rewards(parts, ("view", "click", "purchase"), (1.0, 0.2, 0.1), "3650 days"), new_path(spark, "rewards")).select("rollout", F.round("total", 4).alias("total"))
+
+
+_SUITE_KEYS = "x AS (SELECT o_orderkey AS k, (['train','dev','eval'])[(o_orderkey % 3 + 1)::INT] AS split, o_custkey AS c FROM orders), q AS (SELECT split, 'task_id' AS kind, CAST(k // 2 AS VARCHAR) AS value FROM x UNION SELECT split, 'kb_namespace', 's/' || split FROM x UNION SELECT split, 'template', CAST(c % 12 + CASE split WHEN 'eval' THEN 10 ELSE 0 END AS VARCHAR) FROM x UNION SELECT split, 'template_hash', sha256('t' || (k % 50)) FROM x UNION SELECT split, 'graph_signature', 'g' || (c % 40) FROM x WHERE c % 40 <> 7 UNION SELECT split, 'kb_key', 'K' || c FROM x UNION SELECT split, 'kb_key', 'N' || k FROM x)"
+
+
+@query(f"WITH {_SUITE_KEYS}, p AS (SELECT a.kind, a.split AS split_a, b.split AS split_b, a.value FROM q a JOIN q b ON a.kind = b.kind AND a.value = b.value AND a.split < b.split), r AS (SELECT *, row_number() OVER (PARTITION BY kind, split_a, split_b ORDER BY value) AS i FROM p) SELECT kind, split_a, split_b, count(*) AS n, string_agg(value, ',' ORDER BY value) FILTER (i <= 5) AS examples FROM r GROUP BY ALL")
+def suite_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six kinds of keys of a suite's tasks that two splits share, with the first examples."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    split = F.get(F.array(*map(F.lit, ("train", "dev", "eval"))), (k % 3).cast("int"))
+    text = lambda x: x.cast("string")
+    specs = table(spark, sf_dir, "orders").select(split.alias("split"), F.call_function("div", k, F.lit(2)).alias("task_id"), F.concat(F.lit("s/"), split).alias("kb_namespace"), (c % 12 + F.when(split == "eval", 10).otherwise(0)).alias("template_id"), F.sha2(F.concat(F.lit("t"), text(k % 50)), 256).alias("template_hash"), F.when(c % 40 != 7, F.concat(F.lit("g"), text(c % 40))).alias("graph_signature"), F.map_from_arrays(F.array(F.concat(F.lit("K"), text(c)), F.concat(F.lit("N"), text(k))), F.array(F.lit("a"), F.lit("b"))).alias("kb"))
+    return leakage.crossings(leakage.suite_keys(specs), "kind", "value", "split").select("kind", "split_a", "split_b", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query("""WITH x AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_custkey % 4 AS c FROM customer)
+SELECT k AS task_id, sha256('template ' || k % 12) AS template_hash, 'core/' || CASE WHEN c = 3 THEN 'eval' ELSE 'train' END AS kb_namespace, CASE c WHEN 0 THEN 'kb>uc>calc' WHEN 1 THEN 'wq>wu' ELSE 'kb>kb' END AS tool_pattern, c = 0 AS all_tools_required, CASE c WHEN 0 THEN 'A' WHEN 1 THEN NULL ELSE 'B' END AS hidden_key, c <> 1 OR k % 8 = 1 AS redactable, CASE WHEN c = 2 THEN 'transient@1' END AS fault, CASE c WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE NULL END AS n_faults, CASE WHEN c = 3 THEN 'r1' END AS release, CASE WHEN k % 8 = 1 THEN 'why' END AS redaction, CASE WHEN k % 8 = 2 THEN 'old' END AS original_answer, CASE WHEN k % 8 = 2 THEN 't9' END AS permuted_from, sha256('contract') AS contract FROM x""")
+def certification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's task as a certification row: patterns, hidden keys, faults by place, controls and releases."""
+    k, c = F.col("c_custkey").cast("long"), F.col("c_custkey") % 4
+    node = lambda name, tool, key=None: F.struct(F.lit(name).alias("node"), F.lit(tool).alias("tool"), (F.create_map(F.lit("key"), F.lit(key)) if key else F.create_map().cast("map<string,string>")).alias("args"), F.lit("x").alias("expect"))
+    nodes = F.when(c == 0, F.array(node("n0", "kb_lookup", "A"), node("n1", "unit_convert"), node("n2", "calculator"))).when(c == 1, F.array(node("n0", "warehouse_query"), node("n1", "warehouse_update"))).otherwise(F.array(node("n0", "kb_lookup", "A"), node("n1", "kb_lookup", "B")))
+    fault = lambda kind, target: F.struct(F.lit(kind).alias("fault_type"), F.lit(target).alias("target_node"), F.create_map().cast("map<string,string>").alias("params"))
+    faults = F.when(c == 2, F.array(fault("transient", "n1"))).when(c == 3, F.array(fault("transient", "n1"), fault("malformed", "n0"))).otherwise(F.array().cast("array<struct<fault_type:string,target_node:string,params:map<string,string>>>"))
+    split, text = F.when(c == 3, "eval").otherwise("train"), lambda x: F.lit(x).cast("string")
+    control = F.when(k % 8 == 1, "redacted").when(k % 8 == 2, "permuted")
+    meta = F.map_from_arrays(F.array(*map(F.lit, ("reason", "original_answer", "donor_task_id"))), F.array(*map(F.lit, ("why", "old", "t9"))))
+    specs = table(spark, sf_dir, "customer").select(
+        k.alias("task_id"), text("core").alias("suite"), text("f").alias("family"), split.alias("split"), F.lit(2).alias("horizon"), (k % 12).alias("template_id"), F.concat(F.lit("template "), (k % 12).cast("string")).alias("template"), text("tc").alias("template_cluster_id"), F.lit(1).alias("pattern_id"), text("p").alias("prompt"), F.create_map(F.lit("A"), F.lit("a")).alias("kb"), text(None).alias("env"),
+        nodes.alias("nodes"), text("ans").alias("answer"), text("token").alias("answer_kind"), faults.alias("faults"), F.lit(9).alias("max_decisions"), F.lit(9).alias("max_calls"), F.array().cast("array<string>").alias("secret_tokens"), control.alias("control"), meta.alias("control_meta"), F.when(c == 3, "r1").alias("release_id"),
+    )
+    rows = acceptance.certification_specs(specs, hashlib.sha256(b"contract").hexdigest(), ("eval",))
+    return rows.select("task_id", "template_hash", "kb_namespace", "tool_pattern", "all_tools_required", "hidden_key", "redactable", F.concat_ws("@", "fault.class", F.col("fault.node_index").cast("string")).alias("_f"), F.size("faults").alias("_n"), F.col("heldout_release_id").alias("release"), F.col("redaction")["reason"].alias("redaction"), "original_answer", "permuted_from", F.col("environment_contract_sha256").alias("contract")).withColumns({"fault": F.nullif("_f", F.lit("")), "n_faults": F.when(F.col("_n") > 0, F.col("_n"))}).drop("_f", "_n")
