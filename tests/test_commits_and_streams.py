@@ -1,6 +1,7 @@
 """Commits of concurrent writers, line numbers over splits, and stateful streams over several batches."""
 
 import json
+import os
 import subprocess
 import sys
 import threading
@@ -103,8 +104,12 @@ def stream_of(spark, folder, schema):
 
 
 def put(folder, name, rows):
+    """A file of rows; files named by a number are taken in that order, as files of one moment have none."""
     folder.mkdir(exist_ok=True)
-    (folder / f"{name}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    file = folder / f"{name}.json"
+    file.write_text("\n".join(json.dumps(r) for r in rows))
+    if name.isdigit():
+        os.utime(file, (1_600_000_000 + int(name),) * 2)
 
 
 @pytest.fixture
