@@ -243,7 +243,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 yield pa.record_batch([part.column(0), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs binary, times binary")
+    return texts.mapInArrow(vec.tidy(run), "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs binary, times binary")
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def pair_counts(linked: DataFrame) -> DataFrame:
         if held:
             yield pa.record_batch([pa.array(x) for x in added()], schema=schema)
 
-    counts = linked.select("pairs", "times").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = linked.select("pairs", "times").mapInArrow(vec.tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = settle(counts, "pairs")
     most = counts.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")).agg(F.max("n").alias("most"))
     both = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))).join(most, "b")
@@ -317,7 +317,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BR
                     column.append(value)
             yield pa.record_batch([*(batch.column(c) for c in kept), *(pa.array(x, schema.field(len(kept) + i).type) for i, x in enumerate(out))], schema=schema)
 
-    scored = rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, row long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,times:long>>")
+    scored = rows.mapInArrow(vec.tidy(run), "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, row long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,times:long>>")
     if not low:
         return scored.select(*COLUMNS)
     scored = settle(scored, "scored")

@@ -67,7 +67,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 total = np.bincount(of, minlength=len(langs))
                 yield pa.record_batch([langs.cast(pa.string()), pa.nulls(len(langs), pa.string()), pa.nulls(len(langs), pa.int64()), pa.array(total.astype(np.int64))], schema=schema)
 
-    counted = _texts(docs).mapInArrow(run, "lang string, word string, name long, f long").groupBy("lang", "word").agg(F.min("name").alias("name"), F.sum("f").alias("f"))
+    counted = _texts(docs).mapInArrow(vec.tidy(run), "lang string, word string, name long, f long").groupBy("lang", "word").agg(F.min("name").alias("name"), F.sum("f").alias("f"))
     return counted.where(F.col("word").isNull() | (F.col("f") >= LEAST))
 
 
@@ -95,7 +95,7 @@ def _filter(names: DataFrame) -> Filter:
             at = np.concatenate(Filter.places(np.asarray(batch.column(0)).view(np.uint64)))
             yield pa.record_batch([pa.array(at >> 3), pa.array(1 << (at & 7))], schema=schema)
 
-    found = names.mapInArrow(run, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").cast("short").alias("bits")).toArrow()
+    found = names.mapInArrow(vec.tidy(run), "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").cast("short").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS >> 3, np.uint8)
     bits[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
     return Filter(bits)
@@ -168,7 +168,7 @@ def encoded(docs: DataFrame, codes) -> DataFrame:
                 spread = np.where(paired, spread, np.uint64(0))[keep]
                 yield pa.record_batch([pa.array([spread.astype(own.kind).tobytes()], pa.binary())], names=["ids"])
 
-    return _texts(docs).mapInArrow(run, "ids binary")
+    return _texts(docs).mapInArrow(vec.tidy(run), "ids binary")
 
 
 def _added(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -283,9 +283,9 @@ def phrases(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> tuple[Da
     texts = settle(encoded(docs, codes), "encoded")
     found, before = [], None
     for n in range(2, LONGEST + 1):
-        keys = settle(texts.mapInArrow(_packed(n, codes, before), "key binary, times long"), f"keys-{n}")
+        keys = settle(texts.mapInArrow(vec.tidy(_packed(n, codes, before)), "key binary, times long"), f"keys-{n}")
         dealt = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-        counted = settle(dealt.mapInArrow(_runs(n, codes), "phrase array<long>, f long, name long"), f"phrases-{n}")
+        counted = settle(dealt.mapInArrow(vec.tidy(_runs(n, codes)), "phrase array<long>, f long, name long"), f"phrases-{n}")
         found.append(counted.select("phrase", "f"))
         if n < LONGEST:
             before = spark.sparkContext.broadcast(_filter(counted.select("name")))

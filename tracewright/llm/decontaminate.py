@@ -95,7 +95,7 @@ def _hashed(table: DataFrame, id_col: str, name: str) -> DataFrame:
             for part in vec.slices(batch, "text"):
                 yield pa.record_batch([part.column(0), pa.array([w.view(np.int64) for w in word_hashes(part.column(1))], pa.list_(pa.int64()))], schema=schema)
 
-    return table.select(F.col(id_col).cast("long").alias(name), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{name} long, words array<long>")
+    return table.select(F.col(id_col).cast("long").alias(name), F.col("text").cast("string").alias("text")).mapInArrow(vec.tidy(run), f"{name} long, words array<long>")
 
 
 class Items:
@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 if rows:
                     yield _arrow(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(vec.tidy(run), FOUND)
 
 
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str = "doc_id") -> DataFrame:
@@ -209,7 +209,7 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col:
                         seed, n = np.unique(seeds(own, size), return_counts=True)
                         yield pa.record_batch([pa.array(np.full(len(seed), row_id)), pa.array(np.full(len(seed), size, np.int32)), pa.array(seed.view(np.int64)), pa.array(n.astype(np.int32))], schema=schema)
 
-        return df.select(row, "words").mapInArrow(run, f"{row} long, size int, seed long, places int")
+        return df.select(row, "words").mapInArrow(vec.tidy(run), f"{row} long, size int, seed long, places int")
 
     own = of(items, "item_row", False)
     sizes = [r["size"] for r in own.select("size").distinct().collect()]  # at most LEAST of them
@@ -225,7 +225,7 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col:
             if rows:
                 yield _arrow(rows)
 
-    return both.mapInArrow(run, FOUND)
+    return both.mapInArrow(vec.tidy(run), FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -246,4 +246,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 keep = [not any(_result(None, None, words, known.rows[i][1])["coverage"] >= coverage for i in known.met(words, coverage).tolist()) for words in word_hashes(part.column(at))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(vec.tidy(run), T.StructType(docs.schema.fields))

@@ -266,16 +266,16 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
     rows = texts.count()
     while slots < min(SLOTS[1], 4 * rows):
         slots *= 2
-    first = settle(texts.mapInArrow(_first_pass(k, slots), "doc_id long, n int, class long, part int, counts binary"), "sets")
+    first = settle(texts.mapInArrow(vec.tidy(_first_pass(k, slots)), "doc_id long, n int, class long, part int, counts binary"), "sets")
     documents = first.where("part is null").select("doc_id", "n", "class")
-    parts = first.where("part is not null").select("part", "counts").repartition(max(1, slots // PART // 8), "part").mapInArrow(_summed, "part int, counts binary")
+    parts = first.where("part is not null").select("part", "counts").repartition(max(1, slots // PART // 8), "part").mapInArrow(vec.tidy(_summed), "part int, counts binary")
     whole = np.zeros(slots, np.int32)
     for r in parts.toLocalIterator():  # a fixed number of bytes, whatever the input
         whole[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int32)
     sketch = spark.sparkContext.broadcast(whole.tobytes())
 
-    lead = texts.mapInArrow(_leading(k, p, q, sketch, slots), "column long, block int, band int, rank int, n int, class long, pos int")
-    made = settle(lead.repartition("column", "block").sortWithinPartitions("column", "block", "band", "rank", "class").mapInArrow(_products(p, q), PAIRS), "products")
+    lead = texts.mapInArrow(vec.tidy(_leading(k, p, q, sketch, slots)), "column long, block int, band int, rank int, n int, class long, pos int")
+    made = settle(lead.repartition("column", "block").sortWithinPartitions("column", "block", "band", "rank", "class").mapInArrow(vec.tidy(_products(p, q)), PAIRS), "products")
 
     least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / F.lit(p + q))
     tail = lambda n: F.ceil(F.lit(p) * F.col(n) / F.lit(q))
@@ -329,14 +329,14 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, p: in
     while size < min(most, each * n):
         size *= 2
     if 2 * size >= each * n:
-        words = wanted.select("doc_id").mapInArrow(_filter_words(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        words = wanted.select("doc_id").mapInArrow(vec.tidy(_filter_words(size)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
         bitmap = np.zeros(size // 64, np.int64)
         for r in words.toLocalIterator():  # size / 64 rows at most
             bitmap[r["word"]] = r["bits"]
         bits = texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
     else:
         bits, texts = None, texts.join(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = texts.mapInArrow(_members(bits, k), "class long, members array<long>")
+    sets = texts.mapInArrow(vec.tidy(_members(bits, k)), "class long, members array<long>")
     sets = sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("members").alias("members"))
     sets = settle(sets, "members")
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")

@@ -125,7 +125,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
                     own, seen = np.unique(names[(langs == lang)[of]], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(seen.astype(np.int64))], schema=schema)
 
-    counted = rows.select("text", "lang").mapInArrow(run, "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
+    counted = rows.select("text", "lang").mapInArrow(vec.tidy(run), "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
     counted = settle(counted, "grams")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     languages = list(totals)
@@ -143,7 +143,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
                 for at in slots_of(np.asarray(batch.column(0)).view(np.uint64)):
                     yield pa.record_batch([pa.array(at), batch.column(1), batch.column(2)], schema=slot_schema)
 
-        for r in own.mapInArrow(slotted, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        for r in own.mapInArrow(vec.tidy(slotted), "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
             masks[r["word"]][r["slot"]] = np.uint64(r["mask"] % 2**64)
     return Filter(languages, masks)
 
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
                 lang, score = _predicted(sent.value, part.column(2))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(), F.col("text").cast("string")).toDF("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out(), F.col("text").cast("string")).toDF("doc_id", "held_out", "text").mapInArrow(vec.tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -213,4 +213,4 @@ def identified(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFr
                     stays = grams(part.column(at))[2] > 0
                 yield part.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(vec.tidy(run), docs.schema)

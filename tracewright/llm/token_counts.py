@@ -35,7 +35,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 yield pa.record_batch([part.column(0), pa.array(np.diff(ends)), pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, counts array<int>")
+    return texts.mapInArrow(vec.tidy(run), "doc_id long, n_bytes long, n_tokens long, counts array<int>")
 
 
 def tokens_of_prefix(n_chars: Column | int) -> Column:

@@ -73,7 +73,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, pad: bool
         pairs.ids_of.clear()  # a worker lives on for other stages, and what is kept for this one would be memory that they lack
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
-    return texts.mapInArrow(run, "doc_id long, row long, seqs int, seq_no int, n_tokens int, tokens binary")
+    return texts.mapInArrow(vec.tidy(run), "doc_id long, row long, seqs int, seq_no int, n_tokens int, tokens binary")
 
 
 def training_shards(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
@@ -152,7 +152,7 @@ def write_shards(placed: DataFrame, path: str, length: int = SEQUENCE, per_shard
 
     files, root = _opened(path)
     files.create_dir(root, recursive=True)
-    placed.select("slot", "shard", "tokens").mapInArrow(run, "shard long, first long, rows long, bytes long").write.mode("overwrite").parquet(f"{path}/_shards")
+    placed.select("slot", "shard", "tokens").mapInArrow(vec.tidy(run), "shard long, first long, rows long, bytes long").write.mode("overwrite").parquet(f"{path}/_shards")
     shards = placed.sparkSession.read.parquet(f"{path}/_shards")
     total = shards.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     stride = (total["bytes"] or 0) // max(total["rows"] or 0, 1)
@@ -206,4 +206,4 @@ def read_shards(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
                         begin += n
 
     shards = spark.read.parquet(f"{path}/_shards").where(F.col("first") + F.col("rows") > slot)
-    return shards.select("shard", "rows").repartition("shard").mapInArrow(run, "slot long, tokens binary")
+    return shards.select("shard", "rows").repartition("shard").mapInArrow(vec.tidy(run), "slot long, tokens binary")
