@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .store import settle
+from .store import settle, swept
 
 #: Rows up to which all pairs of a column are counted.
 SMALL = 16
@@ -276,6 +276,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
 
     lead = texts.mapInArrow(vec.tidy(_leading(k, p, q, sketch, slots)), "column long, block int, band int, rank int, n int, class long, pos int")
     made = settle(lead.repartition("column", "block").sortWithinPartitions("column", "block", "band", "rank", "class").mapInArrow(vec.tidy(_products(p, q)), PAIRS), "products")
+    swept(spark)  # the leading columns of all sets have been moved and aren't needed again
 
     least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / F.lit(p + q))
     tail = lambda n: F.ceil(F.lit(p) * F.col(n) / F.lit(q))
@@ -289,6 +290,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, p: int = 85, q: int = 100, id_c
     pairs = settle(counted.union(starred).union(between).distinct(), "pairs")
     reps = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     links = settle(_verified(texts, reps, pairs, k, p, q), "links")
+    swept(spark)
 
     labels = components(links)
     rows = large.select("column", F.col("a").alias("class"), F.col("na").alias("n"), "pos").distinct().join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -339,6 +341,7 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, p: in
     sets = texts.mapInArrow(vec.tidy(_members(bits, k)), "class long, members array<long>")
     sets = sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("members").alias("members"))
     sets = settle(sets, "members")
+    swept(texts.sparkSession)
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
     two = one.join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
     met = two.select("a", "b", F.size(F.array_intersect("ma", "mb")).alias("overlap"), F.size("ma").alias("na"), F.size("mb").alias("nb"))

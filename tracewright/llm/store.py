@@ -29,3 +29,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is settled: its cleaner does so for plans that the driver's memory no longer
+    has, and a driver that is seldom full keeps them long."""
+    spark.sparkContext._jvm.System.gc()
