@@ -15,6 +15,7 @@ from ..functions import structure, values
 from ..operators import acceptance, audits, completeness, controls, leakage, verifier, vetoes, views
 from ..operators.shared import new_path
 from ..registry import query
+from ..sources import jsonl
 from ..streaming import journals
 from .proxies import table
 
@@ -300,3 +301,12 @@ def certification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = acceptance.certification_specs(specs, hashlib.sha256(b"contract").hexdigest(), ("eval",))
     return rows.select("task_id", "template_hash", "kb_namespace", "tool_pattern", "all_tools_required", "hidden_key", "redactable", F.concat_ws("@", "fault.class", F.col("fault.node_index").cast("string")).alias("_f"), F.size("faults").alias("_n"), F.col("heldout_release_id").alias("release"), F.col("redaction")["reason"].alias("redaction"), "original_answer", "permuted_from", F.col("environment_contract_sha256").alias("contract")).withColumns({"fault": F.nullif("_f", F.lit("")), "n_faults": F.when(F.col("_n") > 0, F.col("_n"))}).drop("_f", "_n")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 IN (1, 2) THEN 'held-out release' WHEN doc_id % 6 = 3 THEN 'receipt of its own' WHEN doc_id % 6 = 4 THEN 'plaintext secret' END AS refusal FROM documents")
+def publication_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some paths a bulk publication may not carry."""
+    i = F.col("doc_id")
+    name = i.cast("string")
+    path = F.when(i % 6 == 1, F.concat(F.lit("./data/HeldOut/"), name)).when(i % 6 == 2, F.concat(F.lit("data\\held-out\\"), name)).when(i % 6 == 3, "results/locks.json").when(i % 6 == 4, "/out/run.hex").otherwise(F.concat(F.lit("results/locks.json."), name))
+    return table(spark, sf_dir, "documents").select("doc_id", jsonl.publication_refusal(path, ("results/locks.json",), ("out/run.hex",)).alias("refusal"))

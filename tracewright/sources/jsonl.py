@@ -105,3 +105,18 @@ def refusal(path: Column) -> Column:
 
 def is_hash(text: str) -> bool:
     return re.fullmatch(r"[0-9a-f]{64}", text) is not None
+
+
+#: Marks of a held-out release in a path.
+HELD_OUT = ("heldout", "held_out", "held-out")
+
+
+def publication_refusal(path: Column, receipts: tuple[str, ...], secrets: tuple[str, ...]) -> Column:
+    """Why a bulk publication may not carry a path, below its folder; null if it may.
+
+    Anything of a held-out release, by the shape of its path; receipts that have a publication of their own; plaintext secrets.
+    Separators of either kind and leading dots and slashes don't matter.
+    """
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^[./]+", "")
+    held = F.rlike(F.lower(plain), F.lit("|".join(map(re.escape, HELD_OUT))))
+    return F.when(held, "held-out release").when(plain.isin(*receipts), "receipt of its own").when(plain.isin(*secrets), "plaintext secret")
