@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structure, values
 from ..operators import acceptance, audits, completeness, controls, leakage, verifier, vetoes, views
-from ..operators.shared import new_path
+from ..operators.shared import new_path, settle
 from ..registry import query
 from ..sources import jsonl
 from ..streaming import journals
@@ -78,7 +78,8 @@ def strict_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k AS episode, ledger AS ledger_ok, ledger AND (c IN (0, 12) OR d = 1) AND d <> 3 AS certified, CASE WHEN d = 2 THEN 'receipts_ok' ELSE '' END AS mismatches, (c IN (0, 12) OR d = 1) AND d <> 3 AND NOT ledger AS contradiction, ledger AND NOT ((c IN (0, 12) OR d = 1) AND d <> 3) AS strict_refusal, NOT ((c IN (0, 12) OR d = 1) AND d <> 3) AND reasons = '' AS unexplained FROM r""")
 def ledger_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the ledger supports, against recorded verdicts of which a quarter is certified, has another receipt flag, or is refused."""
-    v, d = _strict(spark, sf_dir), F.call_function("div", F.col("episode"), F.lit(16)) % 4
+    v = settle(_strict(spark, sf_dir).select("episode", "answer_ok", "receipts_ok", "sourced", "runaway", "hallucinated", "answer_call", "certified", "reasons"), "verdicts")  # once, for both sides
+    d = F.call_function("div", F.col("episode"), F.lit(16)) % 4
     recorded = v.select("episode", F.col("answer_ok").alias("raw_success"), F.when(d == 2, ~F.col("receipts_ok")).otherwise(F.col("receipts_ok")).alias("receipts_ok"), "runaway", "hallucinated", "answer_call", ((F.col("certified") | (d == 1)) & (d != 3)).alias("certified"), "reasons")
     return verifier.certified_from_ledger(v, recorded).select("episode", "ledger_ok", "certified", F.array_join("mismatches", ",").alias("mismatches"), "contradiction", "strict_refusal", "unexplained")
 
