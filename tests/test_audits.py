@@ -61,3 +61,13 @@ def test_warehouse(spark):
     actions = spark.createDataFrame([("o", i, *s.split()) for i, s in enumerate(steps)], "order_id string, call_id long, action string, line string")
     got = [(r["ok"], r["error"], r["mutated"], r["replay"], r["funds"]) for r in tasks.warehouse(actions, orders).orderBy("call_id").collect()]
     assert got == [(True, None, True, False, 40.0), (True, None, False, True, 40.0), (False, "insufficient_funds", False, False, 40.0), (False, "incomplete_order", False, False, 40.0), (True, None, True, False, 100.0), (False, "unknown_token", False, False, 100.0), (True, None, True, False, 50.0), (False, "unknown_token", False, False, 50.0)]
+
+
+def test_a_mean_at_the_threshold(spark, tmp_path):
+    """The mean of these values is 30, to the last bit; scaled by a hundredth they were just below."""
+    from tracewright.plans import ledger_queries
+
+    values = [7.25, 19.96, 43.29, 42.67, 56.19, 25.33, 49.8, -4.49]
+    rows = [(i, 1, i, "view", v, "{}") for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r["rolling"], r["abort"]) for r in ledger_queries.clip_guard(spark, str(tmp_path)).orderBy("event_id").collect()] == [(None, False)] * 7 + [(30.0, True)]

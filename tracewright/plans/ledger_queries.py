@@ -62,8 +62,9 @@ def ordered_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CALLS} SELECT event_id, round(CASE WHEN count(value) OVER w = 8 THEN avg(value) OVER w END, 6) AS rolling, coalesce(CASE WHEN count(value) OVER w = 8 THEN avg(value) OVER w END >= 30, false) AS abort FROM calls WINDOW w AS (PARTITION BY episode ORDER BY call_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)")
 def clip_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of the last eight values against a threshold; silent until the window is full."""
-    c = calls(spark, sf_dir).withColumn("value", F.col("value") / 100)
-    return le.clip_guard(c, "episode", ["call_id"], "value", 8, 0.3).select("event_id", r6(F.col("rolling") * 100, "rolling"), "abort")
+    # a power of two scales a double without rounding, so means and the threshold of 30 are those of the values themselves
+    c = calls(spark, sf_dir).withColumn("value", F.col("value") / 128)
+    return le.clip_guard(c, "episode", ["call_id"], "value", 8, 30 / 128).select("event_id", r6(F.col("rolling") * 128, "rolling"), "abort")
 
 
 @query("WITH j AS (SELECT user_id AS journal_id, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'close' ELSE 'heartbeat' END AS event, ts, event_id FROM events), m AS (SELECT *, sum((event = 'open')::INT) OVER (PARTITION BY journal_id ORDER BY ts, event_id) AS o FROM j), l AS (SELECT *, max(o) OVER (PARTITION BY journal_id) AS lo FROM m) SELECT journal_id, min(ts) FILTER (event = 'open') AS opened_at, max(ts) AS last_at, bool_or(event = 'close') AS closed FROM l WHERE o = lo AND lo > 0 GROUP BY journal_id")
