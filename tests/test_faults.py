@@ -90,3 +90,10 @@ def test_targets(spark):
     none = spark.createDataFrame([(1, "00" * 32, nodes[:1], [("wrong_unit", False)])], df.schema)
     with pytest.raises(Exception, match="no node is left"):
         faults.targeted(none).collect()
+
+
+def test_a_plan_of_targets_stays_small(spark):
+    """Neither a draw nor the plan is repeated wherever it is used: what reads targets reads a written table."""
+    rows = spark.createDataFrame([("00" * 32, [("n1", "unit_convert", False, None, "kg")], [("wrong_unit", False)])], "seed string, nodes array<struct<node:string,tool:string,mutating:boolean,action:string,unit:string>>, faults array<struct<kind:string,ambiguous:boolean>>")
+    read = faults.targeted(rows).select(F.posexplode("targets"))
+    assert len(read._jdf.queryExecution().optimizedPlan().toString()) < 5_000 and read.count() == 1

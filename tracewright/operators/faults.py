@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..functions.bind import let
 from ..functions.numbers import wrong_units
 from .order import numbered
+from .shared import settle
 
 #: Fault classes in their order; weights of tasks with and without a unit conversion; weights of the evaluation
 #: by family (a short fulfillment is as a lookup chain); splits without faults; every fourth malformed fault of a fulfillment
@@ -94,20 +96,30 @@ def targeted(tasks: DataFrame, bytes_drawn: int = 512) -> DataFrame:
     of a wrong-unit fault, all from the one stream of the task's ``seed`` (hexadecimal); tasks without a node left raise.
 
     tasks: seed, nodes as ``eligible`` takes them, faults as ``planned`` gives them. A task's nodes are a bounded list.
+    The plan and the targets are written once: what reads them would else put the whole plan in for each mention of a fault.
     """
+    tasks = settle(tasks, "planned").repartition("seed")  # a small file is one task, whose rows are costly
     ranked = F.array_sort(F.transform("faults", lambda f, i: F.struct(F.size(eligible(F.col("nodes"), f["kind"], f["ambiguous"])).alias("fits"), i.alias("i"), f["kind"].alias("kind"), f["ambiguous"].alias("ambiguous"))))
     kind = "array<struct<i:int,kind:string,ambiguous:boolean,node:string,wrong_unit:string>>"
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
+    # each step is a value that the next one is a function of, so the plan doesn't repeat a draw wherever it is used
     def take(acc: Column, f: Column) -> Column:
         taken = F.transform(acc["out"], lambda x: x["node"])
-        left = F.filter(eligible(F.col("nodes"), f["kind"], f["ambiguous"]), lambda n: ~F.array_contains(taken, n["node"]))
-        one = draws.next_below(F.col("_stream"), acc["at"], F.when(F.size(left) > 0, F.size(left)).otherwise(F.raise_error(F.concat(F.lit("no node is left for "), f["kind"])).cast("int")))
-        node = F.get(left, one["value"].cast("int"))
-        others = wrong_units(node["unit"])
-        two = F.when(f["kind"] == "wrong_unit", draws.next_below(F.col("_stream"), one["at"], F.size(others)))
-        entry = F.struct(f["i"].alias("i"), f["kind"].alias("kind"), f["ambiguous"].alias("ambiguous"), node["node"].alias("node"), F.get(others, two["value"].cast("int")).alias("wrong_unit"))
-        return F.struct(F.coalesce(two["at"], one["at"]).cast("long").alias("at"), F.concat(acc["out"], F.array(entry)).cast(kind).alias("out"))
+        free = F.filter(eligible(F.col("nodes"), f["kind"], f["ambiguous"]), lambda n: ~F.array_contains(taken, n["node"]))
+
+        def of_nodes(left: Column) -> Column:
+            some = F.when(F.size(left) > 0, F.size(left)).otherwise(F.raise_error(F.concat(F.lit("no node is left for "), f["kind"])).cast("int"))
+            return let(draws.next_below(F.col("_stream"), acc["at"], some), lambda one: of_units(one, F.get(left, one["value"].cast("int"))))
+
+        def of_units(one: Column, node: Column) -> Column:
+            entry = lambda unit: F.struct(f["i"].alias("i"), f["kind"].alias("kind"), f["ambiguous"].alias("ambiguous"), node["node"].alias("node"), unit.cast("string").alias("wrong_unit"))
+            after = lambda at, unit: F.struct(at.cast("long").alias("at"), F.concat(acc["out"], F.array(entry(unit))).cast(kind).alias("out"))
+            drawn = lambda others: let(draws.next_below(F.col("_stream"), one["at"], F.size(others)), lambda two: after(F.coalesce(two["at"], one["at"]), F.get(others, two["value"].cast("int"))))
+            return F.when(f["kind"] == "wrong_unit", let(wrong_units(node["unit"]), drawn)).otherwise(after(one["at"], F.lit(None)))
+
+        return let(free, of_nodes)
 
     drawn = tasks.withColumn("_stream", draws.blocks(F.col("seed"), -(-bytes_drawn // 32))).withColumn("_targets", F.aggregate(ranked, start, take, lambda a: F.array_sort(a["out"])))
-    return drawn.withColumn("targets", F.transform("_targets", lambda x: F.struct(x["kind"].alias("kind"), x["ambiguous"].alias("ambiguous"), x["node"].alias("node"), x["wrong_unit"].alias("wrong_unit")))).drop("_stream", "_targets")
+    out = drawn.withColumn("targets", F.transform("_targets", lambda x: F.struct(x["kind"].alias("kind"), x["ambiguous"].alias("ambiguous"), x["node"].alias("node"), x["wrong_unit"].alias("wrong_unit")))).drop("_stream", "_targets")
+    return settle(out, "targets")
