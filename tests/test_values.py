@@ -84,3 +84,12 @@ def test_text_feeds_are_those_of_all_pairs(spark):
     want = a.join(b, "episode").where("a < b").where(values.feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct().collect()
     got = audits.text_feeds(df, df).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 100
+
+
+def test_an_observation_is_parsed_by_need(spark):
+    """``ok`` is looked up in a line once, and the work on a small file of events is dealt out."""
+    from tracewright.plans import verdict_queries
+
+    plan = spark.range(1).select(F.lit(None).cast("string").alias("t")).select(values.is_error(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "schema_of_variant" not in plan
+    assert "RepartitionByExpression" in verdict_queries.observed_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -121,11 +121,14 @@ def observation(text: Column) -> Column:
     return F.struct(objects.alias("objects"), receipt.alias("receipt"), F.exists(lines, lambda x: x == CUT_OFF).alias("cut_off"))
 
 
+def _ok(line: Column) -> Column:
+    """The field ``ok`` of a JSON line, as JSON; the line is parsed once."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(line), "$.ok", "variant"))
+
+
 def is_error(text: Column) -> Column:
     """Whether an observation has an object whose ``ok`` is the boolean false; the text "false" doesn't count."""
-    ok = lambda x: F.try_variant_get(F.try_parse_json(x), "$.ok", "variant")
-    failed = lambda x: (F.schema_of_variant(ok(x)) == "BOOLEAN") & (F.try_variant_get(F.try_parse_json(x), "$.ok", "boolean") == F.lit(False))
-    return F.exists(_lines(text), lambda x: F.coalesce(x.startswith("{") & failed(x), F.lit(False)))
+    return F.exists(_lines(text), lambda x: F.coalesce(x.startswith("{") & (_ok(x) == "false"), F.lit(False)))
 
 
 #: The tokens of a JSON text.
@@ -146,7 +149,9 @@ def _scalars(text: Column) -> Column:
         names = quoted & acc["key"]
         ends = token.isin("}", "]")
         scalar = ~names & ~token.isin("{", "}", "[", "]", ",", ":")
-        plain = F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+        # only a text with escapes needs a parser
+        escaped = F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+        plain = F.when(F.contains(token, F.lit("\\")), escaped).otherwise(F.substr(token, F.lit(2), F.char_length(token) - 2))
         shown = F.when(quoted, plain).when(token.isin("true", "false"), F.initcap(token)).otherwise(token)
         after = F.when(token == "{", F.concat(acc["open"], F.lit("o"))).when(token == "[", F.concat(acc["open"], F.lit("a"))).when(ends, F.left(acc["open"], depth - 1)).otherwise(acc["open"])
         closes = (acc["hidden"] == depth) & ((token == "}") | (token == ","))
@@ -163,8 +168,7 @@ def exposed_values(text: Column) -> Column:
     Scalars that stand in a list aren't named by a key and don't count. Values come in the order in which they stand. A line
     that isn't JSON, or names a key twice, shows nothing.
     """
-    ok = lambda x: F.try_variant_get(F.try_parse_json(x), "$.ok", "variant")
-    good = lambda x: F.coalesce(x.startswith("{") & (F.schema_of_variant(ok(x)) == "BOOLEAN") & F.try_variant_get(F.try_parse_json(x), "$.ok", "boolean"), F.lit(False))
+    good = lambda x: F.coalesce(x.startswith("{") & (_ok(x) == "true"), F.lit(False))
     return F.flatten(F.transform(F.filter(_lines(text), good), _scalars))
 
 

@@ -213,7 +213,8 @@ def observed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(text, F.when(i % 3 == 0, F.concat(F.lit("\nreceipt: r-"), i.cast("string"))).otherwise(""))
     node = F.concat(F.lit('{"n1":{"value":'), v, F.lit(',"record":{"kind":"'), kind, F.lit('"}}}'))
     ref = F.when(i % 4 == 0, F.lit('{"$from":"n1"}')).when(i % 4 == 1, F.lit('{"$from":"n1","field":"kind"}')).when(i % 4 == 2, F.lit('{"$from":"n1","format":"{}*2"}')).otherwise(F.lit('{"$from":"n2"}'))
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", text.alias("text"), node.alias("prior"), F.concat(F.lit('{"b":1,"a":'), ref, F.lit("}")).alias("arguments"), F.concat(F.lit("**`"), F.upper("event_type"), F.lit("\\_x`**.")).alias("quoted"), F.when(i % 5 == 1, "").otherwise(F.concat(F.lit("got KAB234567 and "), v)).alias("seen"), F.when(i % 2 == 0, "use KAB234567").otherwise("use 0.123456789").alias("used"))
+    # dealt by id first: a small file is one task, whose rows are costly
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value").repartition("event_id").select("event_id", "event_type", text.alias("text"), node.alias("prior"), F.concat(F.lit('{"b":1,"a":'), ref, F.lit("}")).alias("arguments"), F.concat(F.lit("**`"), F.upper("event_type"), F.lit("\\_x`**.")).alias("quoted"), F.when(i % 5 == 1, "").otherwise(F.concat(F.lit("got KAB234567 and "), v)).alias("seen"), F.when(i % 2 == 0, "use KAB234567").otherwise("use 0.123456789").alias("used"))
     o = values.observation(F.col("text"))
     return e.select("event_id", F.array_join(values.exposed_values(F.col("text")), ",").alias("shown"), F.size(o["objects"]).alias("objects"), o["receipt"].alias("receipt"), o["cut_off"].alias("cut_off"), values.is_error(F.col("text")).alias("is_error"), values.token_value(F.col("quoted")).alias("token"), values.consumes(F.col("seen"), F.col("used")).alias("consumes"), values.resolved_arguments(F.col("arguments"), F.col("prior")).alias("resolved"))
 
