@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.draws import base32, hex_token
 
 
@@ -17,7 +18,8 @@ def lookup_chains(labels: DataFrame, secret: bytes) -> DataFrame:
     A key's draws come from the task and the key's place, so rows don't depend on partitioning or order.
     """
     seed = lambda what: F.sha2(F.concat(F.lit(secret), F.encode(F.concat_ws("|", F.col("task_id"), what), "UTF-8")), 256)
-    labels = labels.select(F.col("task_id").cast("string"), F.col("horizon").cast("int"))
+    # labels are a few bytes and a chain is costly, so the labels' files don't say how many tasks share the work
+    labels = labels.select(F.col("task_id").cast("string"), F.col("horizon").cast("int")).repartition("task_id")
     keys = F.transform(F.sequence(F.lit(1), F.col("horizon")), lambda i: F.concat(F.lit("K"), base32(seed(i.cast("string")), 16)))
     made = labels.withColumn("keys", keys).withColumn("answer", hex_token(seed(F.lit("answer"))))
     node = lambda k, i: F.struct(F.concat(F.lit("n"), (i + 1).cast("string")).alias("node"), F.lit("kb_lookup").alias("tool"), k.alias("key"), F.coalesce(F.get("keys", i + 1), F.col("answer")).alias("next"))
@@ -27,8 +29,9 @@ def lookup_chains(labels: DataFrame, secret: bytes) -> DataFrame:
 def walked(chains: DataFrame) -> DataFrame:
     """Each chain followed from its first key: the end reached and whether it is the answer, so a generated task is solvable."""
     table = F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["key"].alias("k"), n["next"].alias("v"))))
-    end = F.aggregate(F.sequence(F.lit(1), F.col("horizon")), F.element_at("nodes", 1)["key"], lambda at, _: F.try_element_at(table, at))
-    return chains.select("task_id", "horizon", end.alias("reached"), (end == F.col("answer")).alias("solved"))
+    end = let(table, lambda t: F.aggregate(F.sequence(F.lit(1), F.col("horizon")), F.element_at("nodes", 1)["key"], lambda at, _: F.try_element_at(t, at)))
+    both = let(end, lambda e: F.struct(e.alias("reached"), (e == F.col("answer")).alias("solved")))
+    return chains.select("task_id", "horizon", F.inline(F.array(both)))
 
 
 WAREHOUSE = "order_id string, call_id long, ok boolean, error string, mutated boolean, replay boolean, funds double, stock string"
