@@ -90,9 +90,12 @@ def shard_gaps(shards: DataFrame, rows: DataFrame, receipts: DataFrame) -> DataF
     shards: shard, rollouts array<string>. rows: shard, rollout. receipts: shard, rows, digest, rows_digest (of the file as it
     is), sealed.
     """
-    planned = shards.select("shard", F.explode("rollouts").alias("rollout")).distinct().withColumn("planned", F.lit(True))
-    seen = rows.groupBy("shard", "rollout").agg(F.count("*").alias("seen"))
-    both = planned.join(seen, ["shard", "rollout"], "full_outer").groupBy("shard").agg(F.count_if(F.col("seen").isNull()).alias("missing"), F.count_if(F.col("planned").isNull()).alias("extra"), F.count_if(F.col("seen") > 1).alias("twice"), F.coalesce(F.sum("seen"), F.lit(0)).alias("n"))
+    owed = shards.select("shard", F.explode("rollouts").alias("rollout"), F.lit(True).alias("planned"))
+    # a row without a name is nobody's: what is owed and what is there don't meet in it
+    nameless = F.when(F.col("shard").isNull() | F.col("rollout").isNull(), F.col("planned"))
+    dealt = owed.union(rows.select("shard", "rollout", F.lit(False))).withColumn("side", nameless).repartition("shard")
+    each = dealt.groupBy("shard", "rollout", "side").agg(F.bool_or("planned").alias("planned"), F.count_if(~F.col("planned")).alias("seen"))
+    both = each.groupBy("shard").agg(F.count_if(F.col("seen") == 0).alias("missing"), F.count_if(~F.col("planned")).alias("extra"), F.count_if(F.col("seen") > 1).alias("twice"), F.sum("seen").alias("n"))
     x = both.join(receipts.withColumnRenamed("rows", "receipt_rows").withColumn("_r", F.lit(True)), "shard", "left")
     return _gaps(x, "shard", [("rollouts missing", F.col("missing") > 0), ("rollouts that aren't owed", F.col("extra") > 0), ("rollouts twice", F.col("twice") > 0), ("no receipt", F.col("_r").isNull()), ("another number of rows", F.col("receipt_rows") != F.col("n")), ("bytes differ", F.col("digest") != F.col("rows_digest")), ("seal doesn't hold", ~F.col("sealed"))])
 
