@@ -76,7 +76,7 @@ def reached(start: DataFrame, edges: DataFrame, in_task: int = IN_TASK) -> DataF
     comes to the driver but whether there is a large group, and whether a round found something.
     """
     start = start.where("grp is not null and node is not null")
-    edges = edges.where("grp is not null and node is not null and next is not null")
+    edges = settle(edges.where("grp is not null and node is not null and next is not null").select("grp", "node", "next"), "edges")  # once, for the count and the ways
     large = settle(edges.groupBy("grp").count().where(F.col("count") > in_task).select("grp"), "large")
     if large.isEmpty():
         return _within(start, edges)
