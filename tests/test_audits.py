@@ -71,3 +71,42 @@ def test_a_mean_at_the_threshold(spark, tmp_path):
     rows = [(i, 1, i, "view", v, "{}") for i, v in enumerate(values)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert [(r["rolling"], r["abort"]) for r in ledger_queries.clip_guard(spark, str(tmp_path)).orderBy("event_id").collect()] == [(None, False)] * 7 + [(30.0, True)]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_dataflow_of_texts_moves_each_side_once(spark):
+    df = spark.createDataFrame([("e", 1, 1, ["7", "7"], ["x"]), ("e", 1, 1, ["7"], ["x"]), ("e", 2, 2, ["y"], ["7 + 7", "7"])], "episode string, call_id int, decision_id int, gives array<string>, takes array<string>")
+    feeds = audits.text_feeds(df, df)
+    assert exchanges(feeds) <= 3 and [tuple(r) for r in feeds.collect()] == [("e", 1, 2)]
+
+
+def test_shards_are_dealt_once_and_nameless_rows_are_nobodys(spark):
+    from tracewright.operators import completeness
+
+    shards = spark.createDataFrame([("a", ["1", None, "1"]), ("b", ["1"])], "shard string, rollouts array<string>")
+    rows = spark.createDataFrame([("a", "1"), ("a", None), ("b", "1"), ("b", "1")], "shard string, rollout string")
+    receipts = spark.createDataFrame([("a", 2, "d", "d", True), ("b", 2, "d", "d", True)], "shard string, rows long, digest string, rows_digest string, sealed boolean")
+    gaps = completeness.shard_gaps(shards, rows, receipts)
+    assert sorted(map(tuple, gaps.collect())) == [("a", "rollouts missing"), ("a", "rollouts that aren't owed"), ("b", "rollouts twice")]
+    assert gaps._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_edges_are_made_once(spark):
+    """The count of a group's edges and the ways along them read one written table."""
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import closure
+
+    made = spark.sparkContext.accumulator(0)
+    edges = spark.sparkContext.parallelize([(1, i, i + 1) for i in range(5)], 1).map(lambda r: (made.add(1), r)[1]).toDF("grp long, node long, next long")
+    start = spark.createDataFrame([(1, 0)], "grp long, node long")
+    assert closure.reached(start, edges).agg(F.max("node")).first()[0] == 5 and made.value == 5
+
+
+def test_few_small_labels_are_dealt_to_several_tasks(spark):
+    labels = spark.range(100).selectExpr("concat('t', id) as task_id", "id % 3 + 2 as horizon").coalesce(1)
+    chains = tasks.walked(tasks.lookup_chains(labels, b"s"))
+    assert exchanges(chains) == 1 and {r["solved"] for r in chains.collect()} == {True}

@@ -98,10 +98,11 @@ def text_feeds(events: DataFrame, calls: DataFrame) -> DataFrame:
     numbers are in the same or the next step, a number within an argument ends in a whole word of it, and a longer value
     within another begins with a stretch of it).
     """
-    a = events.select("episode", F.col("call_id").alias("a"), F.col("decision_id").alias("da"), F.explode("gives").alias("value")).distinct()
-    b = calls.select("episode", F.col("call_id").alias("b"), F.col("decision_id").alias("db"), F.explode("takes").alias("taken")).distinct()
+    a = events.select("episode", F.col("call_id").alias("a"), F.col("decision_id").alias("da"), F.explode(F.array_distinct("gives")).alias("value"))
+    b = calls.select("episode", F.col("call_id").alias("b"), F.col("decision_id").alias("db"), F.explode(F.array_distinct("takes")).alias("taken"))
     a, b = a.withColumn("name", F.explode(_given_keys(F.col("value")))), b.withColumn("name", F.explode(_taken_keys(F.col("taken"))))
-    met = a.join(b, ["episode", "name"]).where(F.col("da") < F.col("db")).select("episode", "a", "b", "value", "taken").distinct()
+    met = a.join(b, ["episode", "name"]).where(F.col("da") < F.col("db"))
+    # a pair that shares several names is tested for each; that costs less than to move the texts once more
     return met.where(feeds_match(F.col("value"), F.col("taken"))).select("episode", "a", "b").distinct()
 
 
