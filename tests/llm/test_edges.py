@@ -58,3 +58,14 @@ def test_stages_keep_columns(spark, docs, empty, benchmark, stage):
         assert out.where("doc_id = 5").count() == 1
     if stage == "identified":
         assert not {60, 61, 62, 68} & set(rows)
+
+
+def test_the_floor_is_measured_on_all_held_out_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracewright.llm import langid
+
+    asked = []
+    monkeypatch.setattr(langid, "predict", lambda rows, model: asked.append(rows.count()) or rows.select(F.lit("en").alias("lang_pred"), F.lit(0.5).alias("score")))
+    held = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.lit("en").alias("lang"))
+    assert langid.floor_of(held, langid.Filter(["en"], [__import__("numpy").zeros(langid.SLOTS, "uint64")])) == langid.FLOOR * 0.5 and asked == [12_000]

@@ -23,8 +23,8 @@ SAMPLE = 20_000
 #: An n-gram belongs to a language in which it is seen so often, and no rarer than this share of where it is commonest.
 LEAST_SEEN, SHARE = 3, 0.25
 #: A text is in none of the learned languages below this share of the score that all but a hundredth of held-out texts reach.
-#: The floor is measured on about MEASURED of them; with fewer than LEAST_MEASURED nothing is rejected by its score.
-FLOOR, MEASURED, LEAST_MEASURED = 0.5, 5_000, 30
+#: The floor is measured on all of them; with fewer than LEAST_MEASURED nothing is rejected by its score.
+FLOOR, LEAST_MEASURED = 0.5, 30
 NONE = "und"
 
 
@@ -184,8 +184,6 @@ def languages(docs: DataFrame) -> DataFrame:
 def floor_of(held: DataFrame, model: Filter) -> float:
     """The least score of a text in a learned language, from held-out rows (doc_id, text, lang); 0 where they are too few."""
     rows = held.where("lang is not null and text is not null").where(F.col("lang").isin(model.languages))
-    n = max(rows.count(), 1)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("floor")), F.lit(1 << 20)) < min(1 << 20, math.ceil((1 << 20) * MEASURED / n)))
     seen = predict(rows, model).where(F.col("lang_pred") != NONE).agg(F.count("*").alias("n"), F.percentile_approx("score", 0.01).alias("low")).first()
     return FLOOR * seen["low"] if seen["n"] >= LEAST_MEASURED else 0.0
 
