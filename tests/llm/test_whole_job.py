@@ -218,3 +218,52 @@ def test_a_preamble_of_many_items_makes_no_pairs(spark):
     assert items.met(whole, 0.6).tolist() == [7]
     got = decontaminate.contaminated(spark.createDataFrame([(1, "x " * 30 + " ".join(preamble)), (2, "z " * 40 + rows[7][1])], "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 7)] and np.isclose(got[0]["coverage"], 1.0)
+
+
+def test_references_are_learned_from_all_texts(spark):
+    """45,000 different texts: a sample of any size would miss the exact shares of two words."""
+    import numpy as np
+
+    from tracewright.llm import divergence
+
+    docs = spark.range(45_000).selectExpr("id AS doc_id", "concat_ws(' ', if(id % 3 = 0, 'third', 'other'), 'w' || id) AS text", "'en' AS lang")
+    known = divergence.learn(docs)
+    of = dict(zip(known.words[0].tolist(), known.shares[0].tolist(), strict=False))
+    name = lambda w: int(divergence._terms(pa.array([w]))[0][0])
+    assert known.languages == ["en"] and set(of) == {name("third"), name("other")}
+    assert np.allclose([of[name("third")], of[name("other")], known.shares[0][-1]], [1 / 6, 1 / 3, 1 / 2], rtol=0, atol=1e-11)
+
+
+@pytest.mark.parametrize("first", [1, 7, 1024])
+def test_references_by_a_plain_version(spark, monkeypatch, first):
+    """Copies count once, also where they put words of one text before all others, and texts of the same words aren't copies."""
+    import collections
+
+    import numpy as np
+
+    from tracewright.llm import divergence
+
+    rng = random.Random(31)
+    texts = [(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))), lang) for lang in ("en", "de") for _ in range(60)]
+    texts += [(" ".join(f"rare{i}" for i in range(40)), "en")] * 300 + [("A b", "en"), ("a B", "en"), ("a b", "de"), ("", "de"), ("?!", "en"), ("?!", "xx")] * 5
+    texts += [("-- !", "marks")] * 25 + [("b a", None), (None, "en")]
+    monkeypatch.setattr(divergence, "FIRST_ROUND", first)
+    monkeypatch.setattr(divergence, "COMMON", 9)
+    known = divergence.learn(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5))
+    assert known.languages == ["de", "en", "marks"]
+    name = lambda w: int(divergence._terms(pa.array([w]))[0][0])
+    for at, lang in enumerate(known.languages):
+        own = sorted({t for t, x in texts if x == lang and t is not None})
+        words = [[name(w) for w in re.findall("[a-z0-9]+", t.lower())] for t in own]
+        have = collections.Counter(w for ws in words for w in set(ws))
+        enough = max(2, -(-len(own) // 50))
+        signed = lambda w: w - (w >> 63 << 64)
+        common = sorted((w for w in have if have[w] >= enough), key=lambda w: (-have[w], signed(w)))[:9]
+        assert known.words[at].tolist() == sorted(common)
+        shares = [[ws.count(w) / len(ws) for w in sorted(common)] + [sum(w not in common for w in ws) / len(ws)] for ws in words if ws]
+        total = np.sum(shares, 0) if shares else np.zeros(1)
+        assert np.allclose(known.shares[at], total / (total.sum() or 1), rtol=0, atol=1e-10)
+        kinds = divergence.class_counts(pa.array(own))
+        kinds = kinds[kinds.sum(1) > 0]
+        total = (kinds / kinds.sum(1)[:, None]).sum(0)
+        assert np.allclose(known.classes[at], total / total.sum(), rtol=0, atol=1e-10)

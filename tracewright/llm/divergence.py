@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -15,10 +15,14 @@ from .store import settle
 #: Base rules: least words, and the share of words in windows of WIDTH words that occur again, in per cent.
 LEAST_WORDS, MOST_REPEATED, WIDTH = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
-#: A reference is learned from about SAMPLE different texts of its language; a language of fewer than LEAST_TEXTS has none.
-SAMPLE, LEAST_TEXTS = 20_000, 20
+#: A reference is learned from all different texts of its language; a language of fewer rows than LEAST_TEXTS has none.
+LEAST_TEXTS = 20
 #: The common words of a language: its COMMON most frequent ones among those in this share of its texts.
 COMMON, LEAST_SHARE = 150, 0.02
+#: Words of a language whose different texts are counted in the first round, and words of all languages in one round at most.
+FIRST_ROUND, MOST_IN_ROUND = 1024, 1_000_000
+#: Shares of a text are added up in whole numbers of 1 / UNIT, so that sums don't depend on their order.
+UNIT = 1 << 40
 #: Texts of fewer words of letters or digits, or characters in words, aren't judged by the distance.
 JUDGED_WORDS, JUDGED_CHARS = 50, 200
 #: Largest distance (0 to 1) from a reference, after what chance gives a text of that length is taken off.
@@ -117,11 +121,6 @@ class References:
     def __init__(self, languages: list[str], classes: np.ndarray, words: list[np.ndarray], shares: list[np.ndarray]):
         self.languages, self.classes, self.words, self.shares = languages, classes, words, shares
 
-    def histograms(self, column: pa.Array, which: int) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of the common words of one language and of all others, words of each text)."""
-        names, of, sizes = _terms(column)
-        return self._counted(names, of, sizes, which), sizes
-
     def _counted(self, names, of, sizes, which: int) -> np.ndarray:
         known = self.words[which]
         out = np.zeros((len(sizes), len(known) + 1))
@@ -153,28 +152,14 @@ class References:
         return best[0], best[1], sizes
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> References:
-    """References from the rows of ``docs`` that have a text and a ``lang``.
-
-    About ``sample`` different texts of each language are learned from, taken by a hash of the text, so that copies count
-    once. What comes to the driver: one number a language, and of each language the shares of its classes and common words.
-    """
-    rows = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return References([], np.zeros((0, len(CLASSES))), [], [])
-    least = {lang: min(1 << 20, math.ceil((1 << 20) * sample / sizes[lang])) for lang in languages}
-    below = F.try_element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, least[lang]))), F.col("lang"))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("references")), F.lit(1 << 20)) < below)
-    rows = settle(rows.groupBy(F.xxhash64("text").alias("name"), "lang").agg(F.min("text").alias("text")).select("text", "lang"), "references")
-
-    seen_schema = pa.schema([("lang", pa.string()), ("word", pa.int64()), ("texts", pa.int64())])
+def _upper(rows: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(lang, word, texts): the rows of a language that have a word, copies included, where they are ``least`` or more."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.int64()), ("texts", pa.int64())])
 
     def seen(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                names, of, sizes = _terms(part.column(0))
+                names, of, _ = _terms(part.column(0))
                 langs = np.array(part.column(1).to_pylist(), object)
                 if len(names):
                     order = np.lexsort((of, names))
@@ -183,35 +168,102 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> References:
                     names, of = names[first], of[first]
                 for lang in sorted(set(langs.tolist())):
                     own, times = np.unique(names[(langs == lang)[of]], return_counts=True)
-                    yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(times.astype(np.int64))], schema=seen_schema)
-
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    enough = F.try_element_at(F.create_map(*(F.lit(x) for lang in texts for x in (lang, float(max(2, math.ceil(LEAST_SHARE * texts[lang])))))), F.col("lang"))
-    counted = rows.mapInArrow(vec.tidy(seen), "lang string, word long, texts long").groupBy("lang", "word").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= enough)
-    top = counted.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("texts"), "word"))), 1, COMMON).alias("top"))
-    common = {r["lang"]: np.sort(np.array([x["word"] for x in r["top"]], np.int64).view(np.uint64)) for r in top.collect()}
-    words = [common.get(lang, np.zeros(0, np.uint64)) for lang in languages]
-    empty = References(languages, np.zeros((len(languages), len(CLASSES))), words, [])
-    sent = docs.sparkSession.sparkContext.broadcast(empty)
-    sum_schema = pa.schema([("lang", pa.int64()), ("kind", pa.int64()), ("place", pa.int64()), ("share", pa.float64())])
-
-    def summed(batches):
-        known = sent.value
+                    yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+
+    enough = F.try_element_at(F.create_map(*(F.lit(x) for lang in least for x in (lang, least[lang]))), F.col("lang"))
+    return rows.select("text", "lang").mapInArrow(vec.tidy(seen), "lang string, word long, texts long").groupBy("lang", "word").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= enough)
+
+
+#: Places before those of words: the character classes, then all words of a text.
+_ALL = len(CLASSES)
+
+
+def _sums(rows: DataFrame, words: dict[str, np.ndarray], classes: bool) -> DataFrame:
+    """(lang, place, texts, times, share) over the different texts of the languages of ``words``.
+
+    ``texts`` have something at a place, ``times`` in all; ``share`` is the sum of their shares, in 1 / UNIT. Places are
+    the classes, if asked for, all words, and after these the given words. Of each text only its counts at these places
+    are moved, under the text's 128-bit name, and copies fall away there.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("lang", pa.string()), ("name", pa.int64()), ("other", pa.int64()), ("chars", pa.int64()), ("words", pa.int64()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+    def counted(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                langs = np.array([known.languages.index(x) for x in part.column(1).to_pylist()])
-                kinds = class_counts(part.column(0))
-                for i in sorted(set(langs.tolist())):
-                    counts, sizes = known.histograms(part.column(0), i)
-                    for kind, own, n in ((0, kinds, kinds.sum(1)), (1, counts, sizes)):
-                        judged = (langs == i) & (n > 0)
-                        share = (own[judged] / n[judged][:, None]).sum(0)
-                        yield pa.record_batch([pa.array(np.full(len(share), i)), pa.array(np.full(len(share), kind)), pa.array(np.arange(len(share))), pa.array(share)], schema=sum_schema)
-
-    sums = rows.mapInArrow(vec.tidy(summed), "lang long, kind long, place long, share double").groupBy("lang", "kind", "place").agg(F.sum(F.col("share").cast("decimal(38,18)")).cast("double").alias("share"))
-    classes, shares = np.zeros((len(languages), len(CLASSES))), [np.zeros(len(w) + 1) for w in words]
-    for r in sums.collect():
-        (classes[r["lang"]] if r["kind"] == 0 else shares[r["lang"]])[r["place"]] = r["share"]
+                names, of, sizes = _terms(part.column(0))
+                langs = np.array(part.column(1).to_pylist(), object)
+                kinds = class_counts(part.column(0)) if classes else np.zeros((len(sizes), _ALL), np.int64)
+                fixed = np.concatenate((kinds, sizes[:, None]), 1)
+                found = [(*np.nonzero(fixed), fixed[np.nonzero(fixed)])]
+                for lang in sorted(set(langs.tolist())):
+                    known = sent.value[lang]
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                        hit = (known[place] == names) & (langs == lang)[of]
+                        key, times = np.unique(of[hit] * len(known) + place[hit], return_counts=True)
+                        found.append((key // len(known), _ALL + 1 + key % len(known), times))
+                text, place, times = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((place, text))
+                at = pa.array(np.searchsorted(text[order], np.arange(len(sizes) + 1)).astype(np.int32))
+                places, counts = (pa.ListArray.from_arrays(at, pa.array(x[order].astype(t))) for x, t in ((place, np.int32), (times, np.int64)))
+                yield pa.record_batch([part.column(1).cast(pa.string()), part.column(2), part.column(3), pa.array(kinds.sum(1)), pa.array(sizes.astype(np.int64)), places, counts], schema=schema)
+
+    own = rows.where(F.col("lang").isin(sorted(words))).mapInArrow(vec.tidy(counted), "lang string, name long, other long, chars long, words long, places array<int>, counts array<long>")
+    each = own.dropDuplicates(["lang", "name", "other"]).select("lang", "chars", "words", F.inline(F.arrays_zip("places", "counts")).alias("place", "count"))
+    share = F.rint(F.col("count") * F.lit(float(UNIT)) / F.when(F.col("place") < _ALL, F.col("chars")).otherwise(F.col("words")))
+    return each.groupBy("lang", "place").agg(F.count("*").alias("texts"), F.sum("count").alias("times"), F.sum(share.cast("decimal(20,0)")).alias("share"))
+
+
+def learn(docs: DataFrame) -> References:
+    """References from all rows of ``docs`` that have a text and a ``lang``; copies of a text count once in a language.
+
+    Common words are found in rounds. The rows that have a word, copies included, bound its texts from above; a round counts
+    the different texts of the words with the largest bounds, and a language is done when no bound that is left reaches the
+    last of its common words. Nearly always that is after one round; with many copies more follow, each of twice the words.
+    What comes to the driver: two numbers a language, and of each language the classes and the words of a round.
+    """
+    rows = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.select("text", "lang", F.xxhash64("text").alias("name"), F.xxhash64(F.lit("references"), "text").alias("other"))
+    sizes = rows.groupBy("lang", "name", "other").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("n") >= LEAST_TEXTS)
+    texts = {r["lang"]: r["texts"] for r in sizes.collect()}
+    languages = sorted(texts)
+    if not languages:
+        return References([], np.zeros((0, len(CLASSES))), [], [])
+    rows = rows.where(F.col("lang").isin(languages))
+    least = {lang: max(2, math.ceil(LEAST_SHARE * texts[lang])) for lang in languages}
+    upper = settle(_upper(rows, least), "references")
+    by_bound = Window.partitionBy("lang").orderBy(F.desc("texts"), "word")
+
+    classes, common = np.zeros((len(languages), len(CLASSES))), {lang: [] for lang in languages}
+    whole, open_, at, size = {}, languages, 0, FIRST_ROUND
+    while open_:
+        size = max(1, min(size, MOST_IN_ROUND // len(open_)))
+        ranked = upper.where(F.col("lang").isin(open_)).withColumn("rank", F.row_number().over(by_bound)).where((F.col("rank") > at) & (F.col("rank") <= at + size))
+        bounds = {lang: [] for lang in open_}
+        for r in ranked.collect():
+            bounds[r["lang"]].append((r["word"], r["texts"]))
+        words = {lang: np.sort(np.array([w for w, _ in bounds[lang]], np.int64).view(np.uint64)) for lang in open_ if bounds[lang] or not at}
+        for r in _sums(rows, words, not at).collect() if words else ():
+            lang, place, share = r["lang"], r["place"], int(r["share"])
+            if place < _ALL:
+                classes[languages.index(lang), place] = share
+            elif place == _ALL:
+                whole[lang] = (r["times"], share)
+            elif r["texts"] >= least[lang]:
+                common[lang].append((-r["texts"], int(words[lang][place - _ALL - 1].astype(np.int64)), r["times"], share))
+        common = {lang: sorted(found)[:COMMON] for lang, found in common.items()}
+        open_ = [lang for lang in open_ if len(bounds[lang]) == size and not (len(common[lang]) == COMMON and -common[lang][-1][0] > min(n for _, n in bounds[lang]))]
+        at, size = at + size, 2 * size
+
+    words, shares = [], []
+    for lang in languages:
+        names = np.array([w for _, w, _, _ in common[lang]], np.int64).view(np.uint64)
+        order = np.argsort(names)
+        times, share = whole.get(lang, (0, 0))
+        rest = max(share - sum(x[3] for x in common[lang]), 0) if times > sum(x[2] for x in common[lang]) else 0
+        words.append(names[order])
+        shares.append(np.concatenate((np.array([x[3] for x in common[lang]], float)[order], [float(rest)])))
     scaled = lambda x: x / x.sum() if x.sum() else x
     return References(languages, np.array([scaled(c) for c in classes]), words, [scaled(s) for s in shares])
 
