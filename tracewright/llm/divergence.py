@@ -20,7 +20,7 @@ LEAST_TEXTS = 20
 #: The common words of a language: its COMMON most frequent ones among those in this share of its texts.
 COMMON, LEAST_SHARE = 150, 0.02
 #: Words of a language whose different texts are counted in the first round, and words of all languages in one round at most.
-FIRST_ROUND, MOST_IN_ROUND = 1024, 1_000_000
+FIRST_ROUND, MOST_IN_ROUND = 1024, 200_000
 #: Shares of a text are added up in whole numbers of 1 / UNIT, so that sums don't depend on their order.
 UNIT = 1 << 40
 #: Texts of fewer words of letters or digits, or characters in words, aren't judged by the distance.
